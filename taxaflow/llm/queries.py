@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, packing, pii, quality, simhash
+from . import chat, decontaminate, html, packing, pii, quality, secrets, simhash, toxicity, warc
 from .common import table
 
 
@@ -21,10 +21,29 @@ def op1_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents")).drop("row_key")
 
 
+def op2_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op3_capture_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(spark, table(spark, sf_dir, "pages"))
+
+
+def op4_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values leave as digests only."""
+    found = secrets.findings(table(spark, sf_dir, "documents"))
+    digest = F.sha2(F.col("value").cast("binary"), 256).alias("value_sha256")
+    return found.select("doc_id", "at", F.length("value").cast("long").alias("length"), "times", digest, "score", "is_secret")
+
+
 def op5_anchor_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(table(spark, sf_dir, "documents"))
 
 
+def op6_boosted_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_dp_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary())
 
@@ -38,8 +57,16 @@ def op9_grammar_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.op9(spark, sf_dir)
 
 
+def op10_consensus_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.main_text(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_frequency, op5_anchor_expansion, op7_dp_packing, op8_segment_popcount, op9_grammar_round_trip)}
+    ops = (
+        op1_line_frequency, op2_spaced_seeds, op3_capture_index, op4_secret_forest, op5_anchor_expansion,
+        op6_boosted_toxicity, op7_dp_packing, op8_segment_popcount, op9_grammar_round_trip, op10_consensus_paths,
+    )
+    return {f.__name__: f for f in ops}
 
 
 _W = r"[^\x20\x09-\x0D]+"
@@ -69,6 +96,24 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_re
 from o
 """
 
+_MASKED = " union all ".join(
+    "select doc_id, item_id, d.i as i, d.i - b.i as diagonal, d.v as v, b.v as u from d join b on "
+    + " and ".join(f"d.v[{k + 1}] = b.v[{k + 1}]" for k in mask)
+    for mask in decontaminate.MASKS
+)
+
+OP2_SQL = rf"""
+with dw as (select doc_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') as ws from documents where text is not null),
+bw as (select item_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') as ws from benchmark where text is not null),
+d as (select doc_id, i, ws[i:i+11] as v from (select doc_id, ws, unnest(range(1, len(ws) - 10)) as i from dw where len(ws) >= 12)),
+b as (select item_id, i, ws[i:i+11] as v from (select item_id, ws, unnest(range(1, len(ws) - 10)) as i from bw where len(ws) >= 12)),
+h as ({_MASKED}),
+p as (select distinct doc_id, item_id, diagonal, i + k - 1 as place from (select *, unnest(range(1, 13)) as k from h) where v[k] = u[k]),
+s as (select doc_id, item_id, diagonal, count(*) as matched, max(place) - min(place) + 1 as stretch from p group by all)
+select doc_id, item_id, max(matched)::bigint as matched, count(*)::bigint as n_stretches
+from s where matched >= 12 and matched >= 0.7 * stretch group by doc_id, item_id
+"""
+
 OP9_SQL = r"""
 with t as (
   select conv_id::bigint as conv_id, turn::bigint as turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
@@ -87,4 +132,4 @@ from q group by conv_id
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_frequency": OP1_SQL, "op9_grammar_round_trip": OP9_SQL}
+    return {"op1_line_frequency": OP1_SQL, "op2_spaced_seeds": OP2_SQL, "op9_grammar_round_trip": OP9_SQL}
