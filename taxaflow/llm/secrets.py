@@ -180,9 +180,10 @@ def mask_secrets(docs: DataFrame, mask: str = MASK, id_col: str = "doc_id", text
     ordered = F.array_sort(F.collect_set(F.struct((-F.length("value")).alias("n"), "value")))
     bad = bad.groupBy(F.col("doc_id").alias("__id"), F.col("row_key").alias("__key")).agg(F.transform(ordered, lambda x: x["value"]).alias("__values"))
     key = row_key(docs[id_col].cast("long"), docs[text_col].cast("string"))
-    out = docs.join(bad, (key == bad["__key"]) & docs[id_col].cast("long").eqNullSafe(bad["__id"]), "left")
-    clean = F.when(F.col("__values").isNull(), docs[text_col]).otherwise(F.aggregate("__values", docs[text_col].cast("string"), lambda t, v: F.replace(t, v, F.lit(mask))))
-    out = out.withColumn(text_col, clean)
+    values, text = bad["__values"], docs[text_col]
+    clean = F.when(values.isNull(), text).otherwise(F.aggregate(values, text.cast("string"), lambda t, v: F.replace(t, v, F.lit(mask))))
+    kept = {c: docs[c] for c in docs.columns} | {text_col: clean}
     if length_col and length_col in docs.columns:
-        out = out.withColumn(length_col, F.when(F.col("__values").isNull(), F.col(length_col)).otherwise(F.length(text_col).cast(docs.schema[length_col].dataType)))
-    return out.select(*docs.columns)
+        kept[length_col] = F.when(values.isNull(), docs[length_col]).otherwise(F.length(clean).cast(docs.schema[length_col].dataType))
+    joined = docs.join(bad, (key == bad["__key"]) & docs[id_col].cast("long").eqNullSafe(bad["__id"]), "left")
+    return joined.select(*[c.alias(n) for n, c in kept.items()])
