@@ -42,17 +42,37 @@ TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']+
 ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 NOT_WORD = re.compile(r"[^a-z]+")
 
-Block = tuple[str, int, tuple[int, ...]]
+Block = tuple[str, int, int]
 
 
 class Page:
-    """The blocks of a page: text, characters in links, and the open elements; and the path of each element."""
+    """The blocks of a page: text, characters in links, and the element around; the parent and the path of each element.
+
+    Elements point to their parents and paths to the path above, so a page costs memory in proportion, however deep it is.
+    """
 
     def __init__(self, source: str):
         self.blocks: list[Block] = []
-        self.paths: list[str] = []
+        self.parents: list[int] = []
+        self.path_of: list[int] = []
+        self._names: list[tuple[int, str]] = []  # of each path: the path above and the last name
+        self._path_ids: dict[tuple[int, str], int] = {}
         self._read(source)
 
+    def _path_id(self, above: int, name: str) -> int:
+        key = (above, name)
+        if key not in self._path_ids:
+            self._path_ids[key] = len(self._names)
+            self._names.append(key)
+        return self._path_ids[key]
+
+    def path(self, element: int) -> str:
+        names, k = [], self.path_of[element]
+        while k >= 0:
+            k, name = self._names[k]
+            names.append(name)
+        return ">".join(reversed(names))
+
     def _read(self, source: str) -> None:
         stack: list[tuple[str, int, bool, bool]] = []  # tag, element number, skipped, in an article
         parts: list[str] = []
@@ -63,7 +83,7 @@ class Page:
             if parts:
                 text = " ".join(references.unescape("".join(parts)).split())
                 if text and not (stack and stack[-1][2]):
-                    self.blocks.append((text, min(links, len(text)), tuple(x[1] for x in stack)))
+                    self.blocks.append((text, min(links, len(text)), stack[-1][1] if stack else -1))
                 parts.clear()
             links = 0
 
@@ -132,38 +152,51 @@ class Page:
                             skipped |= any(w in SKIPPED_WORDS or w in HEAD_WORDS and not above[3] for w in found)
                         if key == "class" and found:
                             name += "." + ".".join(found[:3])
-            number = len(self.paths)
             if tag in INLINE:
                 stack.append((tag, above[1], skipped, in_article))
                 in_link += tag == "a"
             else:
-                base = self.paths[above[1]] if above[1] >= 0 and above[0] != "html" else ""
-                self.paths.append("html" if tag == "html" else f"{base}>{name}" if base and base != "html" else name)
-                stack.append((tag, number, skipped, in_article))
+                # The root isn't part of a path: pages with and without its tag agree.
+                over = self.path_of[above[1]] if above[1] >= 0 and above[0] != "html" else -1
+                stack.append((tag, len(self.parents), skipped, in_article))
+                self.parents.append(above[1])
+                self.path_of.append(self._path_id(over, name))
         end_block()
 
     def best(self) -> tuple[int, float]:
         """The element with the most running text, and its score: its blocks count in full, those a level down by half, links against it."""
         score: dict[int, float] = {}
-        for text, links, around in self.blocks:
+        for text, links, element in self.blocks:
             value = max(0.0, len(text) - 2.0 * links) + 20.0 * text.count(",")
-            chain = [*dict.fromkeys(around)]
-            chain = chain[:-1] or chain  # the block's own element is a paragraph, not a container
-            for depth, e in enumerate(reversed(chain[-4:])):
+            # A block's own element is a paragraph, not a container, unless nothing is around it.
+            e = self.parents[element] if element >= 0 and self.parents[element] >= 0 else element
+            for depth in range(3):
+                if e < 0:
+                    break
                 score[e] = score.get(e, 0.0) + value / (1 << depth)
+                e = self.parents[e]
         if not score:
             return -1, 0.0
         return max(score.items(), key=lambda x: (x[1], x[0]))
 
+    def _under(self, chosen: set[int]) -> list[str]:
+        """The blocks inside any of the chosen elements. Parents come before their children."""
+        inside: list[bool] = []
+        for e, parent in enumerate(self.parents):
+            inside.append(e in chosen or parent >= 0 and inside[parent])
+        return [text for text, _, e in self.blocks if e >= 0 and inside[e]]
+
     def text(self, paths: list[str]) -> str:
         """The blocks under the first of `paths` that the page has, else under its own best container, joined by blank lines."""
         for path in paths:
-            under = {i for i, p in enumerate(self.paths) if p == path}
-            found = [t for t, _, around in self.blocks if under and any(e in under for e in around)]
+            k: int | None = -1
+            for name in path.split(">"):
+                k = None if k is None else self._path_ids.get((k, name))
+            found = [] if k is None else self._under({e for e, p in enumerate(self.path_of) if p == k})
             if found:
                 return "\n\n".join(found)
         own = self.best()[0]
-        return "\n\n".join(t for t, _, around in self.blocks if own < 0 or own in around)
+        return "\n\n".join(self._under({own}) if own >= 0 else [t for t, _, _ in self.blocks])
 
 
 def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,7 +207,7 @@ def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             e, score = page.best()
             if e >= 0 and score > 0:
                 hosts.append(host)
-                paths.append(page.paths[e])
+                paths.append(page.path(e))
                 scores.append(score)
         yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(paths, pa.string()), pa.array(scores, pa.float64())], names=["host", "path", "score"])
 

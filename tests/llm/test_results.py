@@ -251,5 +251,10 @@ def test_page_parts():
         "<html><head><title>t</title></head><body><div class='cookie-notice'>We use</div><header>H</header><nav>n</nav><main><div class='post-12'><h1>T &amp; x</h1>"
         "<p>Hello, <a href=x>link</a> world<br>more<p>Second, with&nbsp;commas, here<ul><li>one<li>two</ul><form>f</form><!-- no --><div id=comments>c</div></div></main><aside>s</aside><script>if (a<b) '</p>'</script></body></html>"
     )
-    assert page.paths[page.best()[0]] == "body>main>div.post"
+    assert page.path(page.best()[0]) == "body>main>div.post"
     assert page.text([]) == "T & x\n\nHello, link world more\n\nSecond, with commas, here\n\none\n\ntwo"
+
+
+def test_deep_pages_cost_in_proportion():
+    page = Page("<div>x" * 20_000 + "<font>y" * 20_000)
+    assert len(page.blocks) == 20_000 and page.text([]).startswith("x\n\nx")
