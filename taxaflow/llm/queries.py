@@ -114,6 +114,17 @@ select doc_id, item_id, max(matched)::bigint as matched, count(*)::bigint as n_s
 from s where matched >= 12 and matched >= 0.7 * stretch group by doc_id, item_id
 """
 
+_ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+_BASE32 = " || ".join(f"substr('{_ALPHABET}', ((('0x' || substr(h, {5 * k + 1}, 5))::bigint >> {shift}) & 31)::integer + 1, 1)" for k in range(8) for shift in (15, 10, 5, 0))
+
+OP3_SQL = f"""
+with p as (select page_id, coalesce(html, '') as html, sha1(coalesce(html, '')) as h from pages),
+f as (select *, min(page_id) over (partition by h) as first_id from p)
+select page_id, strlen(html)::bigint as payload_bytes, {_BASE32} as payload_digest,
+  case when page_id is not distinct from first_id then 'response' else 'revisit' end as record_type, case when page_id is distinct from first_id then first_id end as refers_to
+from f
+"""
+
 OP9_SQL = r"""
 with t as (
   select conv_id::bigint as conv_id, turn::bigint as turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
@@ -132,4 +143,4 @@ from q group by conv_id
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_frequency": OP1_SQL, "op2_spaced_seeds": OP2_SQL, "op9_grammar_round_trip": OP9_SQL}
+    return {"op1_line_frequency": OP1_SQL, "op2_spaced_seeds": OP2_SQL, "op3_capture_index": OP3_SQL, "op9_grammar_round_trip": OP9_SQL}
