@@ -3,17 +3,26 @@
 from __future__ import annotations
 
 import math
+import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def _set_checkpoint_dir(spark: SparkSession) -> None:
+    """The cluster's shared folder; a local one only where none is named (tests)."""
+    sc = spark.sparkContext
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="taxaflow-"))
+
+
 def em_abundance(hits: DataFrame, tol: float = 0.01, max_iter: int = 50, checkpoint_every: int = 4) -> DataFrame:
     """(sample, taxon_id, value) from hits(sample, read_id, taxon_id, loglik).
 
     E: P(t | r) is proportional to f(t) exp(loglik); M: f(t) is the mean of P over the sample's reads. Ends when no sample's log likelihood
     gains `tol`. Each round is one join and two aggregates; lineage is cut in the shared checkpoint folder.
     """
+    _set_checkpoint_dir(hits.sparkSession)
     best = hits.groupBy("sample", "read_id").agg(F.max("loglik").alias("top"))
     like = hits.join(best, ["sample", "read_id"]).select("sample", "read_id", "taxon_id", F.exp(F.col("loglik") - F.col("top")).alias("l"), "top").checkpoint()
     reads = like.groupBy("sample").agg(F.count_distinct("read_id").alias("n"))
