@@ -2,12 +2,44 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, LongType
 
 OFFSET = 33
 
 
+def _sums(quals: pa.Array, table) -> pa.Array:
+    """For each string the sum of `table` over its bytes: one vector operation for a batch. Null stays null, an empty string gives 0."""
+    import numpy as np
+
+    strings = quals.cast(pa.large_binary())
+    offsets = np.frombuffer(strings.buffers()[1], np.int64)[strings.offset : strings.offset + len(strings) + 1]
+    data = table[np.frombuffer(strings.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]] if len(strings) else table[:0]
+    out = np.zeros(len(strings), table.dtype)
+    some = np.flatnonzero(np.diff(offsets))
+    if len(some):
+        out[some] = np.add.reduceat(data, offsets[some] - offsets[0])
+    return pa.array(out, mask=np.asarray(quals.is_null()))
+
+
+# A lambda over the characters of a quality string costs five times as much as these, Arrow transfer included.
+@F.arrow_udf(LongType())
+def _symbol_sum(quals: pa.Array) -> pa.Array:
+    import numpy as np
+
+    return _sums(quals, np.arange(256, dtype=np.int64))
+
+
+@F.arrow_udf(DoubleType())
+def _error_sum(quals: pa.Array) -> pa.Array:
+    """Of 10 ^ (-symbol / 10); the offset is a factor and comes later."""
+    import numpy as np
+
+    return _sums(quals, 10.0 ** (-np.arange(256) / 10.0))
+
+
 def revcomp(seq: Column) -> Column:
     """Reverse complement in upper case; N stays N."""
     return F.reverse(F.translate(F.upper(seq), "ACGTN", "TGCAN"))
@@ -31,12 +63,47 @@ def hit_positions(window: Column, pattern: Column, k: int) -> Column:
     return F.when((last >= 1) & (F.length(pattern) > 0), F.filter(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), fits)).otherwise(F.array().cast("array<int>"))
 
 
+def find_pattern(window: Column, pattern: str, k: int, last: bool = False) -> Column:
+    """1-based place of the first (or last) fit of a fixed pattern with at most k mismatches, null without one.
+
+    A batch of windows is one byte matrix that is compared with the pattern a letter at a time, so the work is a vector operation for
+    each letter and not a lambda for each place.
+    """
+    import numpy as np
+
+    letters = np.frombuffer(pattern.encode(), np.uint8)
+
+    @F.arrow_udf(IntegerType())
+    def find(windows: pa.Array) -> pa.Array:
+        texts = [(t or "").encode() for t in windows.to_pylist()]
+        out: list[int | None] = []
+        for start in range(0, len(texts), 4096):
+            part = texts[start : start + 4096]
+            width = max(map(len, part), default=0)
+            places = width - len(letters) + 1
+            if not len(letters) or places < 1:
+                out += [None] * len(part)
+                continue
+            grid = np.frombuffer(b"".join(t.ljust(width, b"\0") for t in part), np.uint8).reshape(len(part), width)
+            wrong = np.zeros((len(part), places), np.uint8)
+            for j, letter in enumerate(letters):
+                if letter != ord("N"):
+                    wrong += grid[:, j : j + places] != letter
+            fits = (wrong <= k) & (np.arange(places) + len(letters) <= np.array([len(t) for t in part])[:, None])
+            at = places - fits[:, ::-1].argmax(axis=1) if last else fits.argmax(axis=1) + 1
+            out += [int(p) if ok else None for p, ok in zip(at, fits.any(axis=1), strict=True)]
+        return pa.array(out, pa.int32())
+
+    return find(window)
+
+
 def primer_in_window(window: Column, primers: list[str], k: int) -> Column:
-    """Whether any primer or its reverse complement lies in the window. The primers are few: they become literals of the plan."""
-    both = [x for p in primers for x in (F.lit(p), revcomp(F.lit(p)))]
+    """Whether any primer or its reverse complement lies in the window."""
+    complement = str.maketrans("ACGTN", "TGCAN")
     found = F.lit(False)
-    for p in both:
-        found = found | (F.size(hit_positions(F.upper(window), p, k)) > 0)
+    for p in primers:
+        for pattern in (p, p[::-1].translate(complement)):
+            found = found | find_pattern(F.upper(window), pattern, k).isNotNull()
     return found
 
 
@@ -57,25 +124,21 @@ def n_count(seq: Column) -> Column:
     return F.length(seq) - F.length(F.translate(seq, "Nn", ""))
 
 
-def _symbols(qual: Column) -> Column:
-    return F.filter(F.split(qual, ""), lambda c: c != "")
-
-
 def quality_sum(seq: Column, qual: Column, offset: int = OFFSET) -> Column:
     """Sum of Phred values over the places that have a base and a quality."""
     n = F.least(F.length(seq), F.length(qual))
-    return F.aggregate(_symbols(F.substring(qual, F.lit(1), n)), F.lit(0).cast("long"), lambda a, c: a + F.ascii(c) - offset)
+    return _symbol_sum(F.substring(qual, F.lit(1), n)) - n * offset
 
 
 def read_mean_q(seq: Column, qual: Column, offset: int = OFFSET) -> Column:
     """Arithmetic mean Phred of a read; null without a base or quality."""
     n = F.least(F.length(seq), F.length(qual))
-    return F.when(n > 0, quality_sum(seq, qual, offset) / n)
+    return quality_sum(seq, qual, offset) / F.when(n > 0, n)
 
 
 def error_sum(qual: Column, offset: int = OFFSET) -> Column:
     """Sum of the error probabilities of a read's bases."""
-    return F.aggregate(_symbols(qual), F.lit(0.0), lambda a, c: a + F.pow(F.lit(10.0), -(F.ascii(c) - offset) / 10.0))
+    return _error_sum(qual) * 10.0 ** (offset / 10.0)
 
 
 def phred_from_p(p: Column) -> Column:

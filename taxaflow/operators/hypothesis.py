@@ -50,7 +50,7 @@ def permuted_labels(samples: DataFrame, label: str, n_perm: int, seed: int, by:
 def permanova(distances: DataFrame, groups: DataFrame, n_perm: int = 999, seed: int = 42, tol: float = 0.0, by: list[str] | None = None) -> DataFrame:
     """(by, n, k, f, r2, p): one-way, on samples that have a group; p counts permutations with F* >= F - tol.
 
-    distances(by, a, b, d); groups(by, sample, grp). SST needs no permutation; SSW sums d2 of pairs with one label over the label's size.
+    distances(by, a, b, d); groups(by, sample, grp). SST sums d2 of all pairs over n; SSW sums those of pairs with one label over the label's size.
     """
     by = by or []
     labels = permuted_labels(groups, "grp", n_perm, seed, by)
@@ -58,14 +58,14 @@ def permanova(distances: DataFrame, groups: DataFrame, n_perm: int = 999, seed:
     d2 = kept.select(*by, "a", "b", (F.col("d") * F.col("d")).alias("q"))
     sizes = groups.groupBy(*by, F.col("grp").alias("label")).agg(F.count("*").alias("ng"))
     shape = sizes.groupBy(*by).agg(F.sum("ng").cast("double").alias("n"), F.count("*").cast("double").alias("k"))
-    sst = d2.groupBy(*by).agg(F.sum("q").alias("q"))
-    sst = sst.join(shape, by) if by else sst.crossJoin(shape)
-    sst = sst.select(*by, "n", "k", (F.col("q") / F.col("n")).alias("sst"))
     la = labels.select(*by, "perm", F.col("sample").alias("a"), "label")
     lb = labels.select(*by, F.col("perm").alias("perm_b"), F.col("sample").alias("b"), F.col("label").alias("label_b"))
-    within = d2.join(la, [*by, "a"]).join(lb, [*by, "b"]).where("perm = perm_b and label = label_b").groupBy(*by, "perm", "label").agg(F.sum("q").alias("q"))
-    ssw = within.join(sizes, [*by, "label"]).groupBy(*by, "perm").agg(F.sum(F.col("q") / F.col("ng")).alias("ssw"))
-    all_of = ssw.join(sst, by) if by else ssw.crossJoin(F.broadcast(sst))
+    # Pairs meet each permutation's labels once: all of them add up to SST, those with one label to SSW.
+    pairs = d2.join(la, [*by, "a"]).join(lb, [*by, "b"]).where("perm = perm_b").groupBy(*by, "perm", "label")
+    sums = pairs.agg(F.sum("q").alias("q"), F.sum(F.when(F.col("label") == F.col("label_b"), F.col("q")).otherwise(0.0)).alias("w"))
+    ss = sums.join(sizes, [*by, "label"]).groupBy(*by, "perm").agg(F.sum("q").alias("q"), F.sum(F.col("w") / F.col("ng")).alias("ssw"))
+    all_of = ss.join(shape, by) if by else ss.crossJoin(F.broadcast(shape))
+    all_of = all_of.withColumn("sst", F.col("q") / F.col("n"))
     f = ((F.col("sst") - F.col("ssw")) / (F.col("k") - 1)) / F.nullif(F.col("ssw") / (F.col("n") - F.col("k")), F.lit(0.0))
     all_of = all_of.withColumn("f", F.round(f, 9))
     real = all_of.where("perm = 0").select(*by, "n", "k", "f", ((F.col("sst") - F.col("ssw")) / F.col("sst")).alias("r2"))
@@ -75,9 +75,12 @@ def permanova(distances: DataFrame, groups: DataFrame, n_perm: int = 999, seed:
     return out.select(*by, F.col("n").cast("long").alias("n"), F.col("k").cast("long").alias("k"), "f", "r2", "p")
 
 
-def mantel(d1: DataFrame, d2: DataFrame, n_perm: int = 999, seed: int = 42) -> DataFrame:
-    """(n, r, p): Pearson of two distance lists over common pairs; two-sided p by relabelling the second list's samples."""
-    names = d1.select(F.col("a").alias("sample")).union(d1.select("b")).distinct()
+def mantel(d1: DataFrame, d2: DataFrame, n_perm: int = 999, seed: int = 42, samples: DataFrame | None = None) -> DataFrame:
+    """(n, r, p): Pearson of two distance lists over common pairs; two-sided p by relabelling the second list's samples.
+
+    samples(sample), if given, spares a pass over the first list.
+    """
+    names = d1.select(F.col("a").alias("sample")).union(d1.select("b")).distinct() if samples is None else samples.select("sample").distinct()
     to = permuted_labels(names.select("sample", F.col("sample").alias("name")), "name", n_perm, seed)
     one = lambda side: to.select(F.col("perm").alias(f"p{side}"), F.col("sample").alias(side), F.col("label").alias(f"to_{side}"))
     moved = d1.join(one("a"), "a").join(one("b"), "b").where("pa = pb").select(F.col("pa").alias("perm"), F.col("d").alias("x"), F.least("to_a", "to_b").alias("u"), F.greatest("to_a", "to_b").alias("v"))

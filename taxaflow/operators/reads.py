@@ -92,10 +92,10 @@ def orient_and_trim(reads: DataFrame, forward: str, reverse: str, window: int =
     The forward primer is looked for in the head and the reverse primer's complement in the tail, on the read and on its complement; the
     first strand with both wins. Status: low quality, unclassified (no strand has both), too short, else classified.
     """
-    after_forward = lambda s: F.get(S.hit_positions(S.head_window(s, window), F.lit(forward), k), 0) + len(forward)
-    back = S.revcomp(F.lit(reverse))
+    after_forward = lambda s: S.find_pattern(S.head_window(s, window), forward, k) + len(forward)
+    back = reverse[::-1].translate(str.maketrans("ACGTN", "TGCAN"))
     tail_start = lambda s: F.greatest(F.length(s) - window, F.lit(0))
-    before_reverse = lambda s: F.try_element_at(S.hit_positions(F.substring(s, tail_start(s) + 1, F.lit(window)), back, k), F.lit(-1)) + tail_start(s)
+    before_reverse = lambda s: S.find_pattern(F.substring(s, tail_start(s) + 1, F.lit(window)), back, k, last=True) + tail_start(s)
     cut = reads.withColumn("plus", F.upper("seq")).withColumn("minus", S.revcomp(F.col("seq")))
     for strand in ("plus", "minus"):
         cut = cut.withColumn(f"{strand}_from", after_forward(F.col(strand))).withColumn(f"{strand}_to", before_reverse(F.col(strand)))
