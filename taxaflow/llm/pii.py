@@ -1,7 +1,7 @@
 """Personal data by anchor expansion: an Aho-Corasick automaton finds cues, local parsers grow and check what lies around each.
 
 Cues are at-signs, a digit before a dot (ip), pairs of digits with at most one blank or hyphen between (card), a plus before a digit
-(phone) and account words (IBAN). A parser reads left and right of its cue only as far as its own characters go, so a text costs one
+(phone), schemes (tel: and ://, for a user in a URL) and account words (IBAN, account, SSN, passport). A parser reads left and right of its cue only as far as its own characters go, so a text costs one
 pass of the automaton and time in proportion to what is found.
 """
 
@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 KINDS = ("email", "ip", "card", "phone")
-EXTRA_KINDS = ("account",)
+EXTRA_KINDS = ("account", "url")
 SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
 DIGITS = frozenset("0123456789")
 _ALNUM = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
@@ -24,9 +24,14 @@ _LOCAL = _ALNUM | frozenset("._%+-")
 _LABEL = _ALNUM | frozenset("-")
 _PHONE = DIGITS | frozenset(" ().-")
 _IBAN_CUES = ("IBAN", "Iban", "iban")
+_ACCOUNT_CUES = ("account", "Account", "ACCOUNT", "acct", "Acct", "SSN", "ssn", "passport", "Passport")
 #: A number as people write it, to find one inside a longer run that isn't valid as a whole.
 _NATIONAL = re.compile(r"\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})[ .-]?[0-9]{3,4}[ .-]?[0-9]{4}(?![0-9])")
 _IBAN = re.compile(r"[\s:#.]{0,3}([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30})(?![A-Za-z0-9])")
+#: A number right after an account cue, and what ends a URL's authority.
+_ACCOUNT = re.compile(r"(?:\s{1,2}(?:number|no|nr|num))?\.?\s{0,2}[:#=]?\s{0,2}([A-Z]{0,3}[0-9](?:[ -]?[0-9]){5,22})(?![0-9A-Za-z])")
+_AUTHORITY = re.compile(r"[^\s/?#\"'<>]+")
+_LETTERS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")
 
 Span = tuple[str, int, int]
 
@@ -59,7 +64,12 @@ def automaton():
             a.add_word(f"{c} {d}", ("card", 3))
             a.add_word(f"{c}-{d}", ("card", 3))
     for cue in _IBAN_CUES:
+        a.add_word(cue, ("iban", len(cue)))
+    for cue in _ACCOUNT_CUES:
         a.add_word(cue, ("account", len(cue)))
+    for cue in ("tel:", "Tel:", "TEL:"):
+        a.add_word(cue, ("tel", 4))
+    a.add_word("://", ("url", 3))
     a.make_automaton()
     return a
 
@@ -136,7 +146,7 @@ def scan(text: str, cues) -> tuple[list[Span], list[Span]]:
     """(base spans, added spans) of one text, each by kind as listed and then start; ends are exclusive, in code points."""
     base: list[Span] = []
     added: list[Span] = []
-    ends = dict.fromkeys((*KINDS, *EXTRA_KINDS), 0)
+    ends = dict.fromkeys((*KINDS, *EXTRA_KINDS, "iban", "tel"), 0)
     for last, (kind, size) in cues.iter(text):
         at = last - size + 1
         done = ends[kind]
@@ -169,13 +179,30 @@ def scan(text: str, cues) -> tuple[list[Span], list[Span]]:
                     base.append((kind, at, end))
                 elif m := _NATIONAL.match(text, at, end):
                     added.append((kind, at, m.end()))
+        elif kind == "tel":
+            start = last + 1 + (text[last + 1 : last + 2] == " ")
+            end = _right(text, start, _PHONE) if text[start : start + 1] in DIGITS | {"("} else start
+            while end > start and text[end - 1] not in DIGITS:
+                end -= 1
+            if end > start and 7 <= sum(c in DIGITS for c in text[start:end]) <= 15:
+                ends[kind] = end
+                added.append(("phone", start, end))
+        elif kind == "url":
+            start = _left(text, at, _LETTERS, done)
+            if start < at and (m := _AUTHORITY.match(text, last + 1)) and m[0].rfind("@") > 0:
+                ends[kind] = m.end()
+                added.append((kind, start, m.end()))
+        elif kind == "account":
+            if m := _ACCOUNT.match(text, last + 1):
+                ends[kind] = m.end()
+                added.append((kind, m.start(1), m.end(1)))
         elif m := _IBAN.match(text, last + 1):
             value = m[1]
             while value and not (15 <= len(x := value.replace(" ", "")) <= 34 and iban_valid(x)):
                 value = value[: value.rindex(" ")] if " " in value else ""  # words in capitals may follow
             if value:
                 ends[kind] = m.start(1) + len(value)
-                added.append((kind, m.start(1), ends[kind]))
+                added.append(("account", m.start(1), ends[kind]))
     order = {k: i for i, k in enumerate((*KINDS, *EXTRA_KINDS))}
     key = lambda s: (order[s[0]], s[1], s[2])
     return sorted(base, key=key), sorted(added, key=key)
@@ -204,7 +231,8 @@ def _arrow_scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each row of `docs`: counts of the four base kinds, the digest of their spans, and all spans.
 
-    Kinds added to the base: cards inside longer digit chains, numbers inside longer phone runs, and IBANs after their cue. A null text
+    Added to the base: cards inside longer digit chains, numbers inside longer phone runs and after tel:, URLs with a user, and account
+    numbers after their cue (an IBAN must check out). A null text
     is empty; an empty one has no spans, and its digest is that of the empty string. Repeated rows each give a row, null ids stay null.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))

@@ -104,7 +104,7 @@ CUES = pii.automaton()
 
 
 @settings(max_examples=600, deadline=None)
-@given(st.text(alphabet="ab19.05@-+ ()%é:IBAN", max_size=60))
+@given(st.text(alphabet="ab19.05@-+ ()%é:IBANtel/SN", max_size=60))
 def test_base_spans_are_those_of_the_patterns(text):
     assert pii.scan(text, CUES)[0] == plain(text)
 
@@ -117,6 +117,12 @@ def test_added_spans():
     assert [s for s in base if s[0] == "phone"] == [] and added[-1] == ("phone", 5, 22)
 
 
+def test_schemes_and_account_cues():
+    text = "tel: (663) 555-6869, http://ann:pw@host.example/x http://host.example/a@b account number: 1234-5678-90 and SSN 123-45-6789; account of 12"
+    got = [(k, text[a:b]) for k, a, b in pii.scan(text, CUES)[1]]
+    assert got == [("phone", "(663) 555-6869"), ("account", "1234-5678-90"), ("account", "123-45-6789"), ("url", "http://ann:pw@host.example")]
+
+
 def test_personal_data_of_documents(spark, tables):
     docs = dict(tables.sql("select doc_id, text from documents").fetchall())
     for r in queries.op5_anchor_expansion(spark, DIR).collect():
