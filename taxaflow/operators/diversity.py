@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .abundance import to_relative
@@ -50,19 +50,23 @@ def _shared(ab1: DataFrame, ab2: DataFrame, on, *terms) -> DataFrame:
     return a.join(b, "taxon_id").where(on).groupBy("a", "b").agg(*terms)
 
 
-def _totals(ab: DataFrame, side: str, *terms) -> DataFrame:
-    return ab.groupBy(F.col("sample").alias(side)).agg(*terms)
+def _pairs(ab: DataFrame, *terms: Column, other: DataFrame | None = None) -> DataFrame:
+    """(a, b, each term as name_a and name_b): pairs a < b of samples, or all pairs with another study's, with sums over each sample.
 
-
-def _on_pairs(pairs: DataFrame, shared: DataFrame, ta: DataFrame, tb: DataFrame) -> DataFrame:
-    return pairs.join(shared, ["a", "b"], "left").join(ta, "a").join(tb, "b")
+    The sums are a row for each sample; they make the list of pairs too, so the abundances are read once for both.
+    """
+    side = lambda t, s: t.groupBy(F.col("sample").alias(s)).agg(*terms)
+    a, b = side(ab, "a"), side(ab if other is None else other, "b")
+    names = [c for c in a.columns if c != "a"]
+    a, b = a.select("a", *[F.col(c).alias(f"{c}_a") for c in names]), b.select("b", *[F.col(c).alias(f"{c}_b") for c in names])
+    return a.join(b, F.col("a") < F.col("b")) if other is None else a.crossJoin(b)
 
 
 def bray_curtis(ab: DataFrame) -> DataFrame:
     """1 - 2 sum(min) / (Sa + Sb), 0 for two empty samples; pairs that share nothing come from the list of pairs."""
     shared = _shared(ab, ab, F.col("a") < F.col("b"), F.sum(F.least("x", "y")).alias("m"))
-    out = _on_pairs(sample_pairs(ab), shared, _totals(ab, "a", F.sum("value").alias("sa")), _totals(ab, "b", F.sum("value").alias("sb")))
-    total = F.col("sa") + F.col("sb")
+    out = _pairs(ab, F.sum("value").alias("s")).join(shared, ["a", "b"], "left")
+    total = F.col("s_a") + F.col("s_b")
     return out.select("a", "b", F.when(total > 0, 1 - 2 * F.coalesce("m", F.lit(0.0)) / F.nullif(total, F.lit(0.0))).otherwise(0.0).alias("d"))
 
 
@@ -71,9 +75,8 @@ def jaccard(ab: DataFrame, mode: str = "presence") -> DataFrame:
     pos = ab.where(F.col("value") > 0)
     ones = F.count("*").alias("s") if mode == "presence" else F.count_if(F.col("x") == F.col("y")).alias("s")
     shared = _shared(pos, pos, F.col("a") < F.col("b"), ones, F.count("*").alias("both"))
-    count = lambda side, name: _totals(ab, side, F.count_if(F.col("value") > 0).alias(name))
-    out = _on_pairs(sample_pairs(ab), shared, count("a", "na"), count("b", "nb"))
-    union = F.col("na") + F.col("nb") - F.coalesce("both", F.lit(0))
+    out = _pairs(ab, F.count_if(F.col("value") > 0).alias("n")).join(shared, ["a", "b"], "left")
+    union = F.col("n_a") + F.col("n_b") - F.coalesce("both", F.lit(0))
     return out.select("a", "b", F.when(union > 0, 1 - F.coalesce("s", F.lit(0)) / F.nullif(union, F.lit(0))).otherwise(1.0).alias("d"))
 
 
@@ -91,10 +94,9 @@ def aitchison(ab: DataFrame) -> DataFrame:
     lx = ab.select("sample", "taxon_id", F.log1p("value").alias("value"))
     d = ab.agg(F.count_distinct("taxon_id").cast("double").alias("d"))
     shared = _shared(lx, lx, F.col("a") < F.col("b"), F.sum(F.col("x") * F.col("y")).alias("xy"))
-    terms = lambda side: _totals(lx, side, F.sum("value").alias(f"s{side}"), F.sum(F.col("value") * F.col("value")).alias(f"q{side}"))
-    out = _on_pairs(sample_pairs(ab), shared, terms("a"), terms("b")).crossJoin(F.broadcast(d))
-    gap = (F.col("sa") - F.col("sb")) / F.col("d")
-    square = F.col("qa") + F.col("qb") - 2 * F.coalesce("xy", F.lit(0.0)) - F.col("d") * gap * gap
+    out = _pairs(lx, F.sum("value").alias("s"), F.sum(F.col("value") * F.col("value")).alias("q")).join(shared, ["a", "b"], "left").crossJoin(F.broadcast(d))
+    gap = (F.col("s_a") - F.col("s_b")) / F.col("d")
+    square = F.col("q_a") + F.col("q_b") - 2 * F.coalesce("xy", F.lit(0.0)) - F.col("d") * gap * gap
     return out.select("a", "b", F.sqrt(F.greatest(square, F.lit(0.0))).alias("d"))
 
 
@@ -119,6 +121,5 @@ def bc_between(ab1: DataFrame, ab2: DataFrame) -> DataFrame:
     """Bray-Curtis between each sample of one study and each of another on shares, and whether it's the same sample."""
     r1, r2 = to_relative(ab1), to_relative(ab2)
     shared = _shared(r1, r2, F.lit(True), F.sum(F.least("x", "y")).alias("m"))
-    pairs = r1.select(F.col("sample").alias("a")).distinct().crossJoin(r2.select(F.col("sample").alias("b")).distinct())
-    out = _on_pairs(pairs, shared, _totals(r1, "a", F.sum("value").alias("sa")), _totals(r2, "b", F.sum("value").alias("sb")))
-    return out.select("a", "b", (F.col("a") == F.col("b")).alias("same"), (1 - 2 * F.coalesce("m", F.lit(0.0)) / (F.col("sa") + F.col("sb"))).alias("d"))
+    out = _pairs(r1, F.sum("value").alias("s"), other=r2).join(shared, ["a", "b"], "left")
+    return out.select("a", "b", (F.col("a") == F.col("b")).alias("same"), (1 - 2 * F.coalesce("m", F.lit(0.0)) / (F.col("s_a") + F.col("s_b"))).alias("d"))
