@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from taxaflow.llm import chat, decontaminate, html, packing, pii, quality, secrets, simhash, toxicity, warc
+from taxaflow.llm import chat, common, decontaminate, html, packing, pii, quality, secrets, simhash, toxicity, warc
 from taxaflow.llm.common import connected_components
 from taxaflow.llm.queries import vocabulary
 
@@ -101,6 +101,15 @@ def test_stages_do_what_they_say(spark, tmp_path):
     assert masked[1]["text"] == clean and len(masked) == 5
 
 
+def test_stages_shuffle_what_they_do_not_broadcast(spark, tmp_path, monkeypatch):
+    bench(spark, [(1, PROSE)]).write.parquet(str(tmp_path / "benchmark.parquet"))
+    d = docs(spark, [(1, f'{PROSE} x token = "9c8b45435718dcc700c184a7e303cdc64c6a8f7f" y', "a"), (2, "unlike text of its own " * 3, "a"), (None, "too short", None), (3, None, "a"), (3, None, "a")])
+    run = lambda: [sorted(map(str, stage(spark, d, str(tmp_path)).collect())) for _, stage in corpus_pipeline.STAGES[:4]]
+    few = run()
+    monkeypatch.setattr(common, "bounded_broadcast", lambda df, n: df)
+    assert run() == few and len(few[3]) == 5
+
+
 def test_repeated_rows_of_one_id_leave_one(spark):
     got = simhash.drop_near_duplicates(docs(spark, [(1, PROSE, "a"), (1, PROSE, "a"), (None, "other text here", "a")])).collect()
     assert sorted(str(r["doc_id"]) for r in got) == ["1", "None"]
