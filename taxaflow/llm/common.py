@@ -43,6 +43,15 @@ def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
+#: Decisions (an id, a key and what was found in a row) up to which they go to the rows; beyond, rows and decisions are shuffled.
+MAX_BROADCAST_DECISIONS = 400_000
+
+
+def decisions(df: DataFrame, what: str, max_rows: int = MAX_BROADCAST_DECISIONS) -> DataFrame:
+    """A few columns for the rows that a filter concerns, saved, and broadcast if they are few: texts then stay where they are."""
+    return bounded_broadcast(saved(df, what), max_rows)
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """`body(value)`, with `value` computed once per row."""
     return F.transform(F.array(value), body)[0]

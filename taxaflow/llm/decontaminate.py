@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_broadcast, row_key
+from .common import bounded_broadcast, decisions, row_key
 
 #: Places that each mask selects in a window of SPAN words. Of random sets these find most regions with a fifth of the words replaced.
 SPAN = 12
@@ -80,5 +80,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of `docs` that overlap no benchmark item. Rows that repeat stay or go together."""
     bad = overlaps(docs, benchmark, id_col, text_col, **options).select(F.col("doc_id").alias("__bad_id"), F.col("row_key").alias("__bad_key")).distinct()
+    bad = decisions(bad, "contaminated")
     key = row_key(docs[id_col].cast("long"), docs[text_col].cast("string"))
     return docs.join(bad, (key == bad["__bad_key"]) & docs[id_col].cast("long").eqNullSafe(bad["__bad_id"]), "left_anti")

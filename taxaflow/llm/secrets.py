@@ -15,7 +15,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import let, row_key, saved
+from .common import MAX_BROADCAST_DECISIONS, decisions, let, row_key, saved
 
 #: Words beside a candidate that name a credential, or say that it is something else; key formats; paths of tests. Fixed values.
 CREDENTIAL = r"(?:token|secret|passwd|password|pwd|api[_ -]?key|access[_ -]?key|private[_ -]?key|auth|bearer|credential)"
@@ -179,6 +179,7 @@ def mask_secrets(docs: DataFrame, mask: str = MASK, id_col: str = "doc_id", text
     bad = findings(docs, id_col=id_col, text_col=text_col, **options).where("is_secret")
     ordered = F.array_sort(F.collect_set(F.struct((-F.length("value")).alias("n"), "value")))
     bad = bad.groupBy(F.col("doc_id").alias("__id"), F.col("row_key").alias("__key")).agg(F.transform(ordered, lambda x: x["value"]).alias("__values"))
+    bad = decisions(bad, "secrets", MAX_BROADCAST_DECISIONS // 8)  # a row holds its values too
     key = row_key(docs[id_col].cast("long"), docs[text_col].cast("string"))
     values, text = bad["__values"], docs[text_col]
     clean = F.when(values.isNull(), text).otherwise(F.aggregate(values, text.cast("string"), lambda t, v: F.replace(t, v, F.lit(mask))))

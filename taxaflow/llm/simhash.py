@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, saved
+from .common import connected_components, decisions, saved
 
 MAX_BITS, SHINGLE, SEED = 4, 4, 42
 #: 2-bit segments of each of the three parts: 11, 11 and 10.
@@ -141,6 +141,11 @@ def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
 
     A row without id stays only if its component has no id at all, and then one of them.
     """
-    found = near_duplicates(docs, **options)
+    found = saved(near_duplicates(docs, **options).select("doc_id", "component_id"), "near-duplicates")
     losers = found.where("component_id is not null and not (doc_id <=> component_id)").select(F.col("doc_id").alias("__lost")).distinct()
-    return docs.join(losers, docs["doc_id"].eqNullSafe(losers["__lost"]), "left_anti").dropDuplicates(["doc_id"])
+    again = found.groupBy(F.col("doc_id").alias("__again")).agg(F.count("*").alias("n")).where("n > 1").select("__again")
+    losers, again = decisions(losers, "losers"), decisions(again, "repeated-ids")
+    kept = docs.join(losers, docs["doc_id"].eqNullSafe(losers["__lost"]), "left_anti")
+    # Only ids that come more than once need their rows together; the other rows stay where they are.
+    repeats = kept["doc_id"].eqNullSafe(again["__again"])
+    return kept.join(again, repeats, "left_anti").union(kept.join(again, repeats, "left_semi").dropDuplicates(["doc_id"]))
