@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,7 +36,20 @@ def saved(df: DataFrame, what: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, what)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PATHS[out] = path
+    return out
+
+
+#: Where tables of `saved` lie, as long as they are in use.
+_PATHS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
+
+def forget(df: DataFrame) -> None:
+    """Deletes a table of `saved` that nothing will read again."""
+    spark, path = df.sparkSession, _PATHS.pop(df)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
@@ -65,7 +79,7 @@ def row_key(*cols: Column) -> Column:
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, root) of an undirected graph given as edges (u, v) of longs; root is the smallest node of the component.
 
-    Alternates large-star and small-star steps; each round is saved, so lineage stays short. Only nodes with an edge appear.
+    Alternates large-star and small-star steps; each round is saved and the one before deleted, so lineage stays short. Only nodes with an edge appear.
     """
     e = saved(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "edges")
     digest = lambda d: d.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -76,7 +90,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         large = both.join(low, F.col("u") == F.col("n")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low.withColumnRenamed("u", "n"), F.col("u") == F.col("n")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(low)
-        e = saved(small.distinct(), "edges")
+        last, e = e, saved(small.distinct(), "edges")
+        forget(last)
         after = digest(e)
         if after == before:
             break

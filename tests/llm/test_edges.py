@@ -1,5 +1,7 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables and clashing columns, for every operator and stage."""
 
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -157,3 +159,11 @@ def test_components(spark):
     got = {r["node"]: r["root"] for r in connected_components(edges).collect()}
     assert got == {1: 1, 2: 1, 3: 1, 4: 1, 8: 8, 9: 8, **dict.fromkeys(range(20, 26), 20)}
     assert connected_components(edges.where(F.lit(False))).collect() == []
+
+
+def test_saved_tables_go_when_forgotten(spark):
+    kept = common.saved(spark.range(3), "kept")
+    path = Path(common._PATHS[kept].removeprefix("file:"))
+    assert path.exists() and kept.count() == 3
+    common.forget(kept)
+    assert not path.exists()
