@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, let, row_key
+from .common import MAX_BROADCAST_DECISIONS, SPACE_CLASS, decisions, let, row_key
 
 #: Texts of a host that may share a line, and the least share of its words that a document must keep.
 MAX_LINE_DOCS, MIN_LEFT = 20, 0.5
@@ -104,7 +104,7 @@ def frequent_lines(lines: DataFrame, max_line_docs: int = MAX_LINE_DOCS) -> Data
 
 
 def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_line_docs: int = MAX_LINE_DOCS, min_left: float = MIN_LEFT) -> DataFrame:
-    """A row for each row of `docs`: the base columns, words in removed lines, and the verdict `kept`.
+    """A row for each row of `docs`: the base columns, words in removed lines, the verdict `kept`, and the places of the removed lines.
 
     A null text is an empty one: no words, so base_failed. Rows without host are a host of their own. Rows that repeat in id, host and
     text each give a row with the same values. Copies of a text count once in a line's frequency. Other columns are ignored.
@@ -115,7 +115,7 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hos
     hit = lines.join(often, lines["host"].eqNullSafe(often["host"]) & (lines["line"] == often["line"])).where(~F.coalesce(lines["doc_id"] == often["first_doc"], F.lit(False)))
     # Rows that repeat have the same places: each place counts once.
     places = hit.select(F.col("key").alias("hit_key"), lines["doc_id"].alias("hit_doc"), "pos", "n").distinct()
-    removed = places.groupBy("hit_key", "hit_doc").agg(F.sum("n").alias("removed"))
+    removed = places.groupBy("hit_key", "hit_doc").agg(F.sum("n").alias("removed"), F.sort_array(F.collect_list("pos")).alias("removed_lines"))
     base = base_measures(rows)
     out = base.join(removed, (base["key"] == removed["hit_key"]) & base["doc_id"].eqNullSafe(removed["hit_doc"]), "left")
     return out.select(
@@ -123,4 +123,37 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hos
         F.coalesce("removed", F.lit(0)).cast("long").alias("n_removed_words"),
         (~F.col("base_failed") & (F.coalesce("removed", F.lit(0)) <= (1 - min_left) * F.col("n_words"))).alias("kept"),
         F.col("key").alias("row_key"),
+        "removed_lines",
     )
+
+
+def without_lines(text: Column, places: Column) -> Column:
+    """`text` without its lines at the rising `places` (from 0); what lies between two places stays as it is."""
+
+    def between(lines: Column, ends: Column) -> Column:
+        return F.flatten(F.transform(F.sequence(F.lit(1), F.size(ends) - 1), lambda k: F.slice(lines, ends[k - 1] + 2, ends[k] - ends[k - 1] - 1)))
+
+    def joined(lines: Column) -> Column:
+        return F.array_join(let(F.concat(F.array(F.lit(-1)), places, F.array(F.size(lines))), lambda ends: between(lines, ends)), "\n")
+
+    return let(F.split(text, "\n"), joined)
+
+
+def apply_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", length_col: str | None = "n_chars", **options) -> DataFrame:
+    """The rows of `docs` that `quality` keeps, without their removed lines, and `length_col` counted again where the text changed.
+
+    Rows that lose no line keep their text as it is.
+    """
+    found = quality(docs, id_col, text_col, host_col, **options).where("not kept or removed_lines is not null")
+    found = found.select(F.col("doc_id").alias("__id"), F.col("row_key").alias("__key"), F.col("kept").alias("__kept"), F.when(F.col("kept"), F.col("removed_lines")).alias("__places"))
+    found = decisions(found.dropDuplicates(["__id", "__key"]), "rejected", MAX_BROADCAST_DECISIONS // 4)  # a row holds its places too
+    text = docs[text_col].cast("string")
+    key = row_key(docs[id_col].cast("long"), docs[host_col].cast("string"), F.coalesce(text, F.lit("")))
+    joined = docs.join(found, (key == found["__key"]) & docs[id_col].cast("long").eqNullSafe(found["__id"]), "left")
+    joined = joined.where(F.coalesce(found["__kept"], F.lit(True)))
+    places = found["__places"]
+    clean = F.when(places.isNull(), text).otherwise(without_lines(text, places))
+    kept = {c: docs[c] for c in docs.columns} | {text_col: clean}
+    if length_col and length_col in docs.columns:
+        kept[length_col] = F.when(places.isNull(), docs[length_col]).otherwise(F.length(clean).cast(docs.schema[length_col].dataType))
+    return joined.select(*[c.alias(n) for n, c in kept.items()])

@@ -18,7 +18,7 @@ def vocabulary() -> str:
 
 
 def op1_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.quality(table(spark, sf_dir, "documents")).drop("row_key")
+    return quality.quality(table(spark, sf_dir, "documents")).drop("row_key", "removed_lines")
 
 
 def op2_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
