@@ -8,7 +8,7 @@ along it are counted, so substitutions cost their own place only.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bounded_broadcast, decisions, row_key
@@ -72,14 +72,60 @@ def overlaps(
     return found.where((F.col("matched") >= min_matched) & (F.col("matched") >= min_identity * (F.col("last_word") - F.col("first_word") + 1)))
 
 
+def stretches(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    item_col: str = "item_id",
+    item_text_col: str = "text",
+    min_matched: int = MIN_MATCHED,
+    min_identity: float = MIN_IDENTITY,
+    max_broadcast_rows: int = MAX_BROADCAST_ROWS,
+) -> DataFrame:
+    """(doc_id, item_id, diagonal, last_word, row_key): words of a document at which a stretch that a benchmark item holds ends.
+
+    Where a seed hits, the whole diagonal is read: every agreeing word counts, also between and beside the hits. A stretch is any part of it
+    from one agreeing word to another with `min_matched` agreeing words and `min_identity` of its length (in whole percent), so what else
+    agrees on the diagonal can't undo one. Rows are judged as in `overlaps`, which judges each diagonal's hits as one stretch.
+    """
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    source = source.withColumn("row_key", row_key(F.col("doc_id"), F.col("text")))
+    rows = source.select("doc_id", "row_key", word_hashes(F.col("text")).alias("words"))
+    items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), word_hashes(F.col(item_text_col).cast("string")).alias("words"))
+    items = items.where(F.size("words") >= SPAN).withColumn("item_key", F.xxhash64("words")).distinct()
+    of_items = seeds(windows(items, ["item_id", "item_key"])).select("seed", "item_id", "item_key", F.col("pos").alias("item_pos"))
+    hits = seeds(windows(rows, ["doc_id", "row_key"])).join(bounded_broadcast(of_items, max_broadcast_rows), "seed")
+    hits = hits.select("doc_id", "row_key", "item_id", "item_key", (F.col("pos") - F.col("item_pos")).alias("diagonal")).distinct()
+    diagonals = ["doc_id", "row_key", "item_id", "item_key", "diagonal"]
+    hit = decisions(hits.select(*[F.col(c).alias(f"hit_{c}") for c in diagonals]), "diagonals", max_broadcast_rows)
+    read = source.join(hit, (source["row_key"] == hit["hit_row_key"]) & source["doc_id"].eqNullSafe(hit["hit_doc_id"]))
+    read = read.select("text", *[F.col(f"hit_{c}").alias(c) for c in diagonals])
+    theirs = bounded_broadcast(items.select(F.col("item_id").alias("their_id"), F.col("item_key").alias("their_key"), F.col("words").alias("theirs")), max_broadcast_rows // SPAN)
+    both = read.join(theirs, (read["item_key"] == theirs["their_key"]) & read["item_id"].eqNullSafe(theirs["their_id"]))
+    first = F.greatest(F.col("diagonal"), F.lit(0))
+    n = F.least(F.size("words") - first, F.size("theirs") - (first - F.col("diagonal")))
+    pairs = F.arrays_zip(F.slice("words", first + 1, n).alias("a"), F.slice("theirs", first - F.col("diagonal") + 1, n).alias("b"))
+    at = both.withColumn("words", word_hashes(F.col("text"))).select(*diagonals, first.alias("first"), F.posexplode(pairs).alias("k", "w"))
+    at = at.where("w.a = w.b").select(*diagonals, (F.col("first") + F.col("k")).alias("at")).distinct()
+    # The k-th agreeing word lies at p: from word a to word b there are k_b - k_a + 1 of p_b - p_a + 1, a share of at least x if
+    # k - x p has not fallen by more than 1 - x. Of the words far enough back, the one where it is least decides.
+    percent = round(100 * min_identity)
+    along = Window.partitionBy(*diagonals).orderBy("at")
+    scored = at.withColumn("level", 100 * F.row_number().over(along) - percent * F.col("at"))
+    least = F.min("level").over(along.rowsBetween(Window.unboundedPreceding, 1 - min_matched))
+    ends = scored.withColumn("least", least).where(F.col("level") - F.col("least") + (100 - percent) >= 0)
+    return ends.select("doc_id", "item_id", "diagonal", F.col("at").cast("long").alias("last_word"), "row_key")
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """(doc_id, item_id, matched, n_stretches): for each document and item that overlap, the words of the longest stretch."""
     return overlaps(docs, benchmark, **options).groupBy("doc_id", "item_id").agg(F.max("matched").alias("matched"), F.count("*").alias("n_stretches"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of `docs` that overlap no benchmark item. Rows that repeat stay or go together."""
-    bad = overlaps(docs, benchmark, id_col, text_col, **options).select(F.col("doc_id").alias("__bad_id"), F.col("row_key").alias("__bad_key")).distinct()
+    """The rows of `docs` that hold no stretch of a benchmark item. Rows that repeat stay or go together."""
+    bad = stretches(docs, benchmark, id_col, text_col, **options).select(F.col("doc_id").alias("__bad_id"), F.col("row_key").alias("__bad_key")).distinct()
     bad = decisions(bad, "contaminated")
     key = row_key(docs[id_col].cast("long"), docs[text_col].cast("string"))
     return docs.join(bad, (key == bad["__bad_key"]) & docs[id_col].cast("long").eqNullSafe(bad["__bad_id"]), "left_anti")

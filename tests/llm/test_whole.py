@@ -1,10 +1,12 @@
 """Each operator and stage on what it once left out."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from taxaflow.llm import common, quality
+from taxaflow.llm import common, decontaminate, quality
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -33,3 +35,33 @@ def test_quality_rules_take_frequent_lines_out(spark, tmp_path, monkeypatch):
 def test_lines_between_places(spark, places, want):
     one = spark.range(1).select(quality.without_lines(F.lit("a\nb\n\nc\n"), F.array(*map(F.lit, places))).alias("t"))
     assert one.first()["t"] == want
+
+
+def held(words, item) -> bool:
+    """By every part of every diagonal with a seed hit: 12 agreeing words and 70 % of the part."""
+    for d in range(-len(item), len(words)):
+        same = [i for i in range(max(0, d), min(len(words), d + len(item))) if words[i] == item[i - d]]
+        hit = any(all(i + k in same for k in mask) and d <= i and i + 12 <= min(len(words), d + len(item)) for i in range(max(0, d), len(words)) for mask in decontaminate.MASKS)
+        if hit and any(10 * (k - j + 1) >= 7 * (same[k] - same[j] + 1) for j in range(len(same)) for k in range(j + 11, len(same))):
+            return True
+    return False
+
+
+def test_decontamination_judges_every_part_of_a_diagonal(spark, tmp_path):
+    rng = random.Random(4)
+    item = [f"w{i}" for i in range(59)]
+    part = lambda spans: [w if any(a <= i < b for a, b in spans) else f"o{rng.randrange(9999)}" for i, w in enumerate(item)]
+    texts = {
+        1: part([(0, 14), (45, 59)]),  # two parts, the middle rewritten
+        2: ["x"] * 7 + part([(0, 14)]),
+        3: part([(0, 8), (50, 59)]),  # neither part is long enough
+        4: [w if i in (0, 1, 3, 7, 9, 10, 11) or 12 <= i < 40 and i % 4 else "o" for i, w in enumerate(item)],  # only one seed hits
+        5: [f"n{i}" for i in range(60)],
+    }
+    for i in range(6, 46):
+        share = rng.choice((0.1, 0.25, 0.35, 0.5))
+        texts[i] = ["y"] * rng.randrange(4) + [w if rng.random() > share else "o" for w in item[rng.randrange(20) :]]
+    spark.createDataFrame([(1, " ".join(item)), (1, " ".join(item)), (None, "z " * 20)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    kept = {r["doc_id"] for r in corpus_pipeline.decontamination(spark, docs(spark, [(i, " ".join(t), "a") for i, t in texts.items()]), str(tmp_path)).collect()}
+    assert kept == {i for i, t in texts.items() if not held(t, item)}
+    assert 1 not in kept and 2 not in kept and 4 not in kept and {3, 5} <= kept
