@@ -28,18 +28,26 @@ SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 
 
 def tokenizer(path: str):
-    """The ids of the byte-level BPE vocabulary at `path` (tokenizers' JSON), as an encoder and each id's bytes."""
+    """The ids of the byte-level BPE vocabulary at `path` (tokenizers' JSON), as an encoder and each id's bytes.
+
+    tiktoken stands in for tokenizers, with the same ids: the file's added tokens are found inside texts too. Those with options that
+    tiktoken doesn't know are refused.
+    """
     import json
 
     import tiktoken
 
     with open(path, encoding="utf-8") as f:
-        vocab = json.load(f)["model"]["vocab"]
+        data = json.load(f)
+    vocab, added = data["model"]["vocab"], data["added_tokens"]
+    if any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in added):
+        raise ValueError("an added token takes more or less than its own characters")
+    special = {t["content"]: t["id"] for t in added}
     # A byte-level vocabulary spells each byte as a printable character: those that print as themselves, the others from U+0100 on.
     own = [*range(33, 127), *range(161, 173), *range(174, 256)]
     spelt = {chr(b): b for b in own} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in own)}
-    ranks = {bytes(spelt[c] for c in word): i for word, i in vocab.items() if all(c in spelt for c in word) and not word.startswith("<|")}
-    return tiktoken.Encoding("packing", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}), {i: w for w, i in ranks.items()}
+    ranks = {bytes(spelt[c] for c in word): i for word, i in vocab.items() if word not in special}
+    return tiktoken.Encoding("packing", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special), {i: w for w, i in ranks.items()} | {i: t.encode() for t, i in special.items()}
 
 
 def cuts(bounds, costs, length: int = LENGTH) -> list[int]:
@@ -130,7 +138,7 @@ def _packer(path: str, length: int, sentence_cost: int, split_cost: int, end_id:
 
         for b in batches:
             for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                ids = encoder.encode_ordinary(text.as_py() or "")
+                ids = encoder.encode(text.as_py() or "", allowed_special="all")
                 ids.append(end_id)
                 held.append((doc, np.array(ids, np.uint32)))
                 size += len(ids)

@@ -1,12 +1,15 @@
 """Each operator and stage on what it once left out."""
 
 import random
+import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from taxaflow.llm import common, decontaminate, quality
+from taxaflow.llm import common, decontaminate, packing, quality
+from taxaflow.llm.queries import vocabulary
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -65,3 +68,17 @@ def test_decontamination_judges_every_part_of_a_diagonal(spark, tmp_path):
     kept = {r["doc_id"] for r in corpus_pipeline.decontamination(spark, docs(spark, [(i, " ".join(t), "a") for i, t in texts.items()]), str(tmp_path)).collect()}
     assert kept == {i for i, t in texts.items() if not held(t, item)}
     assert 1 not in kept and 2 not in kept and 4 not in kept and {3, 5} <= kept
+
+
+def test_added_tokens_inside_texts_are_found(spark):
+    from tokenizers import Tokenizer
+
+    texts = ["a <|endoftext|> b", "<|endoftext|><|endoftext|>", "x<|endoftext|", "Ends.<|endoftext|>\n\n Then"]
+    t = Tokenizer.from_file(vocabulary())
+    want = {i: [*t.encode(x, add_special_tokens=False).ids, 0] for i, x in enumerate(texts)}
+    assert want[0][2] == 50256
+    rows = packing.pack(docs(spark, [(i, x, "a") for i, x in enumerate(texts)]), vocabulary()).collect()
+    assert {r["doc_id"] for r in rows} == set(want)
+    for r in rows:
+        own = want[r["doc_id"]]
+        assert r["doc_tokens"] == len(own) and r["ids_crc32"] == zlib.crc32(np.array(own[r["start"] : r["start"] + r["length"]], "<u4").tobytes())
