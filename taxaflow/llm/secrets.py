@@ -39,28 +39,45 @@ def candidate_values(text: Column) -> Column:
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source") -> DataFrame:
-    """(doc_id, row_key, path, value, at, times, before, after): a row for each different candidate of a document; `at` is its first place.
+    """(doc_id, row_key, row, path, value, at, times, before, after): what lies around each different candidate of a document.
 
-    Only what lies around a candidate leaves the row; the text itself isn't carried along.
+    A row for each place of the value that differs in `before` or `after`; `at` is the value's first place. Places inside a longer run of
+    letters and digits are another value's, so they don't count. Rows of `docs` that repeat differ in `row`. The text itself isn't carried along.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(path_col).cast("string"), F.lit("")).alias("path"), F.col(text_col).cast("string").alias("text"))
     text = F.col("text")
 
+    def starts(v: Column, between: Column) -> Column:
+        none = F.struct(F.array().cast("array<int>").alias("starts"), F.lit(1).alias("next"))
+        step = lambda s, x: F.struct(F.concat(s["starts"], F.array(s["next"] + F.length(x))).alias("starts"), (s["next"] + F.length(x) + F.length(v)).alias("next"))
+        return F.aggregate(F.slice(between, F.lit(1), F.size(between) - 1), none, step, lambda s: s["starts"])
+
+    def around(v: Column, at: Column) -> Column:
+        before = F.substring(text, F.greatest(F.lit(1), at - AROUND), F.least(F.lit(AROUND), at - 1))
+        return F.struct(before.alias("before"), F.substring(text, at + F.length(v), F.lit(AROUND)).alias("after"))
+
+    def own(v: Column, places: Column) -> Column:
+        alone = lambda at: ~F.substring(text, F.greatest(F.lit(1), at - 1), F.least(F.lit(1), at - 1)).rlike("[A-Za-z0-9]") & ~F.substring(text, at + F.length(v), F.lit(1)).rlike("[A-Za-z0-9]")
+        return let(F.filter(places, alone), lambda x: F.when(F.size(x) > 0, x).otherwise(places))
+
     def found(v: Column) -> Column:
-        return let(
-            F.instr(text, v),
-            lambda at: F.struct(
-                v.alias("value"),
-                (at - 1).cast("long").alias("at"),
-                F.try_divide(F.length(text) - F.length(F.replace(text, v, F.lit(""))), F.length(v)).cast("long").alias("times"),
-                F.substring(text, F.greatest(F.lit(1), at - AROUND), F.least(F.lit(AROUND), at - 1)).alias("before"),
-                F.substring(text, at + F.length(v), F.lit(AROUND)).alias("after"),
-            ),
-        )
+        def shown(places: Column) -> Column:
+            return let(
+                own(v, places),
+                lambda x: F.struct(
+                    v.alias("value"),
+                    (x[0] - 1).cast("long").alias("at"),
+                    F.size(places).cast("long").alias("times"),
+                    F.array_distinct(F.transform(x, lambda at: around(v, at))).alias("shown"),
+                ),
+            )
+
+        # A candidate has no backslash, so it can be quoted.
+        return let(let(F.split(text, F.concat(F.lit("\\Q"), v, F.lit("\\E"))), lambda between: starts(v, between)), shown)
 
     key = row_key(F.col("doc_id"), text)
-    out = rows.select("doc_id", key.alias("row_key"), "path", F.explode(F.transform(candidate_values(text), found)).alias("c"))
-    return out.select("doc_id", "row_key", "path", "c.*")
+    out = rows.select("doc_id", key.alias("row_key"), F.monotonically_increasing_id().alias("row"), "path", F.explode(F.transform(candidate_values(text), found)).alias("c"))
+    return out.select("doc_id", "row_key", "row", "path", "c.value", "c.at", "c.times", F.inline("c.shown"))
 
 
 def word_runs(value: Column) -> Column:
@@ -151,6 +168,8 @@ def made_findings(spark: SparkSession, n: int = MADE) -> DataFrame:
 def findings(docs: DataFrame, labelled: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source", threshold: float = THRESHOLD, max_labelled: int = MAX_LABELLED) -> DataFrame:
     """(doc_id, row_key, value, at, times, score, is_secret): every candidate of every document with the forest's verdict.
 
+    A value is judged at each of its places in a document; the highest score counts.
+
     labelled: (path, value, before, after, label) to learn from, at most `max_labelled` rows in the order of a hash; without it, findings
     of `docs` that `rule_label` decides, to the same bound. Null and empty texts have no candidates; a null path is an empty one; a null id
     stays null. Documents that repeat in id and text give their findings once for each row. An empty table gives no rows.
@@ -168,7 +187,8 @@ def findings(docs: DataFrame, labelled: DataFrame | None = None, id_col: str = "
     forest = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED, featureSubsetStrategy="sqrt", minInstancesPerNode=2).fit(train)
     scored = forest.transform(with_features(found).withColumn("features", array_to_vector("features")))
     score = F.round(vector_to_array("probability")[1], 6)
-    return scored.select("doc_id", "row_key", "value", "at", "times", score.alias("score"), (score >= threshold).alias("is_secret"))
+    best = scored.select("doc_id", "row_key", "row", "value", "at", "times", score.alias("score")).groupBy("doc_id", "row_key", "row", "value", "at", "times").agg(F.max("score").alias("score"))
+    return best.select("doc_id", "row_key", "value", "at", "times", "score", (F.col("score") >= threshold).alias("is_secret"))
 
 
 def mask_secrets(docs: DataFrame, mask: str = MASK, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars", **options) -> DataFrame:

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from taxaflow.llm import common, decontaminate, packing, quality
+from taxaflow.llm import common, decontaminate, packing, quality, secrets
 from taxaflow.llm.queries import vocabulary
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -82,3 +82,21 @@ def test_added_tokens_inside_texts_are_found(spark):
     for r in rows:
         own = want[r["doc_id"]]
         assert r["doc_tokens"] == len(own) and r["ids_crc32"] == zlib.crc32(np.array(own[r["start"] : r["start"] + r["length"]], "<u4").tobytes())
+
+
+def test_secrets_are_judged_at_each_place(spark, tmp_path):
+    key = "9c8b45435718dcc700c184a7e303cdc64c6a8f7f"
+    other = key[::-1]
+    texts = {
+        1: f'river stone commit {key} of the window\nand then with api_key = "{key}" in the garden',
+        2: f'api_key = "{key}" river stone\nand then commit {key} of the window',
+        3: f"river stone commit {other} of the window",
+        4: f'river x{key}9 stone https://example.org/{key} then token = "{key}" in',
+    }
+    rows = docs(spark, [*((i, t, "a") for i, t in texts.items()), (1, texts[1], "a")])
+    found = [r for r in secrets.findings(rows).collect() if r["value"] in (key, other)]
+    assert sorted((r["doc_id"], r["is_secret"]) for r in found) == [(1, True), (1, True), (2, True), (3, False), (4, True)]
+    assert all(texts[r["doc_id"]][r["at"] :].startswith(r["value"]) and r["times"] == texts[r["doc_id"]].count(r["value"]) for r in found)
+    assert {r["at"] for r in found if r["doc_id"] == 4} == {texts[4].index("/" + key) + 1}
+    out = {r["doc_id"]: r["text"] for r in corpus_pipeline.secret_scan(spark, rows, str(tmp_path)).collect()}
+    assert all(key not in t for t in out.values()) and out[3] == texts[3]
