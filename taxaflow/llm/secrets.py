@@ -1,7 +1,7 @@
 """Secret scans with a random forest over candidates, in DataFrame functions and the JVM's own forest only.
 
 Candidates are runs of 16 or more characters that keys are written in, with a digit and a letter, and values of 8 or more assigned to a
-credential's name. A forest removes the false positives. Its features are the length, how characters change within the candidate, how
+credential's name, both without a name before them and punctuation after them, and known key formats wherever they stand alone. A forest removes the false positives. Its features are the length, how characters change within the candidate, how
 much of it the corpus knows as words, what its path looks like, and the words beside it. It is trained from labelled findings: a given
 table, else findings of the corpus that a rule can label with confidence; findings made by rule show it every class in any case.
 """
@@ -20,10 +20,13 @@ from .common import MAX_BROADCAST_DECISIONS, decisions, let, row_key, saved
 #: Words beside a candidate that name a credential, or say that it is something else; key formats; paths of tests. Fixed values.
 CREDENTIAL = r"(?:token|secret|passwd|password|pwd|api[_ -]?key|access[_ -]?key|private[_ -]?key|auth|bearer|credential)"
 HARMLESS = r"(?i)(?:sha-?(?:1|256)|md5|commit|checksum|digest|etag|uuid|guid|isbn|doi|href|src|url|version|example|sample|placeholder)[^A-Za-z0-9]*$"
-KNOWN = r"^(?:AKIA[0-9A-Z]{16}|gh[opsu]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_-]{35}|sk-[A-Za-z0-9_-]{20,}|eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*)$"
+FORMATS = r"(?:AKIA[0-9A-Z]{16}|gh[opsu]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_-]{35}|sk-[A-Za-z0-9_-]{20,}|eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*)"
+KNOWN, KNOWN_INSIDE = f"^{FORMATS}$", f"(?<![A-Za-z0-9]){FORMATS}(?![A-Za-z0-9])"
 TEST_PATH = r"(?i)(?:test|example|sample|mock|fixture|spec)(?:[^a-z]|$)"
 RUN = r"[A-Za-z0-9+/_=.~-]{16,}+"
 ASSIGNED = rf"(?i){CREDENTIAL}[\"']?\s{{0,3}}[:=]\s{{0,3}}[\"']?([A-Za-z0-9+/_=.~!@#$%^&*-]{{8,}}+)"
+#: What is no part of a run: a name before its value, and punctuation after it.
+NAME, END = r"^.*=(?=[^=])", r"[.~-]+$"
 #: Characters read on each side of a candidate. Labelled findings of the corpus, and made ones, that the forest learns from at most.
 AROUND, MAX_LABELLED, MADE = 48, 8_000, 2_000
 #: A run of letters is a word if the corpus has it this often; looked-up runs up to which they are broadcast.
@@ -34,8 +37,11 @@ MASK = "[SECRET]"
 
 def candidate_values(text: Column) -> Column:
     """The different candidates of a text."""
-    runs = F.filter(F.regexp_extract_all(text, F.lit(RUN), F.lit(0)), lambda v: v.rlike("[0-9]") & v.rlike("[A-Za-z]"))
-    return F.array_distinct(F.concat(runs, F.regexp_extract_all(text, F.lit(ASSIGNED), F.lit(1))))
+    bare = lambda v: F.regexp_replace(v, END, "")
+    runs = F.transform(F.regexp_extract_all(text, F.lit(RUN), F.lit(0)), lambda v: bare(F.regexp_replace(v, NAME, "")))
+    runs = F.filter(runs, lambda v: (F.length(v) >= 16) & v.rlike("[0-9]") & v.rlike("[A-Za-z]"))
+    assigned = F.filter(F.transform(F.regexp_extract_all(text, F.lit(ASSIGNED), F.lit(1)), bare), lambda v: F.length(v) >= 8)
+    return F.array_distinct(F.concat(runs, assigned, F.regexp_extract_all(text, F.lit(KNOWN_INSIDE), F.lit(0))))
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source") -> DataFrame:

@@ -100,3 +100,23 @@ def test_secrets_are_judged_at_each_place(spark, tmp_path):
     assert {r["at"] for r in found if r["doc_id"] == 4} == {texts[4].index("/" + key) + 1}
     out = {r["doc_id"]: r["text"] for r in corpus_pipeline.secret_scan(spark, rows, str(tmp_path)).collect()}
     assert all(key not in t for t in out.values()) and out[3] == texts[3]
+
+
+def test_keys_at_sentence_ends_and_behind_other_names(spark, tmp_path):
+    known = "AKIA" + "Q7XK2M9ZB4TR8WVN"
+    hexes = "9c8b45435718dcc700c184a7e303cdc64c6a8f7f"
+    texts = {
+        1: f"river stone then {known}. And the window",
+        2: f"river aws_id={known} stone",
+        3: f"river stone/{known}/window, and",
+        4: f"river TOKEN={hexes}. And the window",
+        5: f'river stone "{known}..." then',
+        6: f"river stone X{known}9 then",
+    }
+    rows = docs(spark, [(i, t, "a") for i, t in texts.items()])
+    found = {(r["doc_id"], r["value"]) for r in secrets.findings(rows).collect() if r["is_secret"]}
+    assert {(i, known) for i in (1, 2, 5)} | {(4, hexes)} <= found
+    values = {(r["doc_id"], r["value"]) for r in secrets.candidates(rows).collect()}
+    assert (3, known) in values and (6, known) not in values and not any(v.endswith(".") or "=" in v for _, v in values)
+    out = {r["doc_id"]: r["text"] for r in corpus_pipeline.secret_scan(spark, rows, str(tmp_path)).collect()}
+    assert out[1] == "river stone then [SECRET]. And the window" and out[2] == "river aws_id=[SECRET] stone" and out[4] == "river TOKEN=[SECRET]. And the window"
