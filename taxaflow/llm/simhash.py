@@ -8,7 +8,7 @@ grid cells within that distance in each part. Every candidate is verified on the
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -22,14 +22,14 @@ PARTS = ((0, 11), (11, 22), (22, 32))
 ODD = 0x5555555555555555
 
 
-def simhash(data: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
-    """The unsigned fingerprint of UTF-8 `data`: A-Z lowered, words between ASCII white space, shingles with repeats."""
+def shingle_hashes(data: bytes, shingle: int = SHINGLE, seed: int = SEED):
+    """The hashes of the shingles of UTF-8 `data`, with repeats: A-Z lowered, words between ASCII white space."""
     import numpy as np
     import xxhash
 
     words = data.lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     text, n = memoryview(b" ".join(words)), len(words)
     if n <= shingle:
         cuts = [(0, len(text))]
@@ -38,7 +38,14 @@ def simhash(data: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
         starts = np.concatenate(([0], ends[:-1] + 1))
         cuts = zip(starts[: n - shingle + 1].tolist(), ends[shingle - 1 :].tolist(), strict=True)
     digest = xxhash.xxh64_intdigest
-    h = np.array([digest(text[a:b], seed) for a, b in cuts], np.uint64)
+    return np.array([digest(text[a:b], seed) for a, b in cuts], np.uint64)
+
+
+def simhash(data: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
+    """The unsigned fingerprint of UTF-8 `data`, by its shingles with repeats; without words it is 0."""
+    import numpy as np
+
+    h = shingle_hashes(data, shingle, seed)
     count = np.zeros(64, np.int64)
     for i in range(0, len(h), 8192):
         count += np.unpackbits(h[i : i + 8192].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -136,12 +143,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return of.join(roots.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, find: Callable[..., DataFrame] = near_duplicates, **options) -> DataFrame:
     """The rows of `docs` that have the smallest doc_id of their component; of rows that repeat an id, one stays.
 
     A row without id stays only if its component has no id at all, and then one of them.
     """
-    found = saved(near_duplicates(docs, **options).select("doc_id", "component_id"), "near-duplicates")
+    found = saved(find(docs, **options).select("doc_id", "component_id"), "near-duplicates")
     losers = found.where("component_id is not null and not (doc_id <=> component_id)").select(F.col("doc_id").alias("__lost")).distinct()
     again = found.groupBy(F.col("doc_id").alias("__again")).agg(F.count("*").alias("n")).where("n > 1").select("__again")
     losers, again = decisions(losers, "losers"), decisions(again, "repeated-ids")

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from taxaflow.llm import common, decontaminate, packing, quality, secrets
+from taxaflow.llm import common, decontaminate, minhash, packing, quality, secrets
 from taxaflow.llm.queries import vocabulary
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -120,3 +120,31 @@ def test_keys_at_sentence_ends_and_behind_other_names(spark, tmp_path):
     assert (3, known) in values and (6, known) not in values and not any(v.endswith(".") or "=" in v for _, v in values)
     out = {r["doc_id"]: r["text"] for r in corpus_pipeline.secret_scan(spark, rows, str(tmp_path)).collect()}
     assert out[1] == "river stone then [SECRET]. And the window" and out[2] == "river aws_id=[SECRET] stone" and out[4] == "river TOKEN=[SECRET]. And the window"
+
+
+def test_near_copies_by_brute_force(spark, tmp_path):
+    rng = random.Random(8)
+    texts = {}
+    for i in range(120):
+        words = prose(i % 12, 150).split()
+        for k in rng.sample(range(150), rng.choice((0, 1, 2, 3, 4, 6, 9))):
+            words[k] = f"new{rng.randrange(10**6)}"
+        texts[i] = " ".join(words)
+    texts |= {200: "", 201: None, 202: "two words", 203: "Two  words", 204: "other words"}
+
+    def cut(t):
+        w = (t or "").lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    sets = {i: cut(t) for i, t in texts.items()}
+    link = lambda a, b: a == b or 100 * len(a & b) >= 80 * len(a | b) > 0
+    want = {i: i for i in texts}
+    for i in texts:
+        for j in texts:
+            if i < j and link(sets[i], sets[j]) and want[i] != want[j]:
+                low, high = sorted((want[i], want[j]))
+                want = {k: low if c == high else c for k, c in want.items()}
+    rows = docs(spark, [(i, t, "a") for i, t in texts.items()])
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_copies(rows).collect()}
+    assert got == want and len(set(want.values())) < 110
+    assert {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, rows, str(tmp_path)).collect()} == set(want.values())
