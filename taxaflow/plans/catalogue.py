@@ -891,6 +891,6 @@ def rarefaction_expected(v: Views) -> DataFrame:
 @query()
 def em_abundance(v: Views) -> DataFrame:
     """Lines as reads whose part is one of two neighbours; the first of two is a little likelier."""
-    li = v.table("lineitem").select(F.col("l_suppkey").cast("string").alias("sample"), F.concat_ws("-", "l_orderkey", "l_linenumber").alias("read_id"), (F.col("l_partkey") % 200).alias("t"))
-    hits = li.select("sample", "read_id", F.explode(F.array(F.struct(F.col("t"), F.lit(-1.0).alias("loglik")), F.struct(((F.col("t") + 1) % 200).alias("t"), F.lit(-1.5).alias("loglik")))).alias("h"))
-    return em.em_abundance(hits.select("sample", "read_id", F.col("h.t").cast("string").alias("taxon_id"), "h.loglik"), max_iter=8)
+    li = v.table("lineitem").select(F.col("l_suppkey").cast("string").alias("sample"), F.concat_ws("-", "l_orderkey", "l_linenumber").alias("read_id"), F.col("l_partkey").alias("t"))
+    hits = li.select("sample", "read_id", F.explode(F.array(F.struct(F.col("t"), F.lit(-1.0).alias("loglik")), F.struct((F.col("t") + 1).alias("t"), F.lit(-1.5).alias("loglik")))).alias("h"))
+    return em.em_abundance(hits.select("sample", "read_id", F.col("h.t").cast("string").alias("taxon_id"), "h.loglik"))
