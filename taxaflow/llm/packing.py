@@ -4,12 +4,11 @@ The documents of a partition form one stream of token ids in their stored order.
 stream one after another; cuts may fall after a document (no penalty), after a sentence, or, where a sentence is longer than a window,
 after any id. A cut costs the padding of the window it ends plus the penalty of its kind. With P the ids before a boundary,
 best(j) = min over i in reach of best(i) + padding(P_j - P_i) + penalty(j); as padding is length - (P_j - P_i) but for powers of two, the
-first part needs the least best(i) + P_i among the boundaries in reach, which a monotone queue holds; powers of two are looked up singly.
+first part needs the least best(i) + P_i among the boundaries in reach, which a monotone queue holds; powers of two, which don't pad, are all looked up.
 """
 
 from __future__ import annotations
 
-import base64
 import zlib
 from collections.abc import Iterator
 
@@ -20,8 +19,8 @@ from pyspark.sql import functions as F
 LENGTH = 1024
 #: Ids of padding that a cut inside a document is worth: after a sentence, and inside one.
 SENTENCE_COST, SPLIT_COST = 12, 48
-#: Ids that one run of the dynamic programme holds; a longer document makes a longer run.
-BLOCK_IDS = 500_000
+#: Ids that one run of the dynamic programme holds; a longer document makes a longer run. The windows at its end are cut again in the next.
+BLOCK_IDS, AGAIN = 500_000, 64
 #: The published pattern of the vocabulary, with possessive repeats, which match alike and need no way back. Fixed value.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -67,11 +66,10 @@ def cuts(bounds, costs, length: int = LENGTH) -> list[int]:
             head += 1
         i = held[head]
         value = keys[head] + length - p
-        if value > best[i]:  # it pads: a power of two might not
-            for w in powers:
-                k = at.get(p - w)
-                if k is not None and best[k] < value:
-                    value, i = best[k], k
+        for w in powers:  # those don't pad, wherever their best stands in the queue
+            k = at.get(p - w)
+            if k is not None and best[k] < value:
+                value, i = best[k], k
         best[j] = value = value + costs[j]
         back[j] = i
         value += p
@@ -113,40 +111,48 @@ def _packer(path: str, length: int, sentence_cost: int, split_cost: int, end_id:
         for i, w in words.items():
             ends[i] = w.rstrip(b" \n\r\t")[-1:] in (b".", b"!", b"?") or b"\n" in w
         sequence = TaskContext.get().partitionId() << 40
-        held: list[tuple[int | None, np.ndarray]] = []
-        size = 0
-
-        def emit() -> pa.RecordBatch:
-            nonlocal sequence
-            ids = np.concatenate([x for _, x in held])
-            doc_ends = np.cumsum([len(x) for _, x in held])
+        held: list[tuple[int | None, np.ndarray, int]] = []  # document, its ids, and how many of them lie in windows already given
+        size, due = 0, block_ids
+
+        def emit(last: bool) -> pa.RecordBatch:
+            """The windows of what is held; but for the last time, those at its end stay held, to be cut with what follows."""
+            nonlocal sequence, held, size, due
+            ids = np.concatenate([x[done:] for _, x, done in held])
+            doc_ends = np.cumsum([len(x) - done for _, x, done in held])
             bounds, costs = boundaries(ids, doc_ends, ends, length, sentence_cost, split_cost)
             cut = cuts(bounds, costs, length)
-            raw = ids.astype("<u4").tobytes()
-            rows, k = [], 0
-            for (doc, own), end in zip(held, doc_ends.tolist(), strict=True):
-                first = at = end - len(own)
-                while at < end:
+            if not last:
+                cut = cut[: max(1, len(cut) - AGAIN)]
+            raw, stop = ids.astype("<u4").tobytes(), cut[-1]
+            rows, rest, k = [], [], 0
+            for (doc, own, done), end in zip(held, doc_ends.tolist(), strict=True):
+                first = end - len(own)
+                at = first + done
+                while at < min(end, stop):
                     while cut[k + 1] <= at:
                         k += 1
                     to = min(end, cut[k + 1])
                     rows.append((doc, at - first, to - at, zlib.crc32(raw[4 * at : 4 * to]), len(own), sequence + k, at - cut[k]))
                     at = to
+                if at < end:
+                    rest.append((doc, own, at - first))
             sequence += len(cut) - 1
+            held, size = rest, len(ids) - stop
+            due = size + block_ids
             names = [x.split()[0] for x in SCHEMA.split(", ")]
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=names)
+            columns = list(zip(*rows, strict=True)) or [()] * len(names)
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
 
         for b in batches:
             for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 ids = encoder.encode(text.as_py() or "", allowed_special="all")
                 ids.append(end_id)
-                held.append((doc, np.array(ids, np.uint32)))
+                held.append((doc, np.array(ids, np.uint32), 0))
                 size += len(ids)
-                if size >= block_ids:
-                    yield emit()
-                    held, size = [], 0
+                if size >= due:
+                    yield emit(False)
         if held:
-            yield emit()
+            yield emit(True)
 
     return run
 
@@ -157,7 +163,8 @@ def pack(docs: DataFrame, vocabulary: str, length: int = LENGTH, sentence_cost:
     Each document is its ids and then `end_id`; a null or empty text is `end_id` alone. Documents keep the order in which a partition
     stores them, pieces the order of the document; each id lies in exactly one piece, also of repeated rows (which are documents of
     their own). Sequence ids differ across partitions and don't change if a lost task runs again. An empty table gives no rows.
-    Nothing is shuffled: each partition (and in it each block of about `block_ids` ids) ends one sequence early at most.
+    Nothing is shuffled: each partition ends one sequence early at most. The programme runs over about `block_ids` ids at a time; the
+    last `AGAIN` windows of a run are cut again with what follows, so no window ends for the sake of a run.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(_packer(vocabulary, length, sentence_cost, split_cost, end_id, block_ids), SCHEMA)
