@@ -1,8 +1,8 @@
 """Quality rules by cross-document line frequency, in DataFrame functions only.
 
-Lines are normalised and hashed; a line's frequency on a host is the number of different texts there that hold it. A line above the
-limit is taken out of every document of the host but the one with the smallest id, so that what many pages share survives once. A
-document that then has too few of its words left is rejected.
+Lines are normalised and hashed; a line's frequency on a host is the number of documents there that hold it. A line above the limit is
+taken out of the host's documents, and a document that then has too few of its words left is rejected. As an option the document with
+the smallest id keeps such a line, so that what many pages share survives once.
 """
 
 from __future__ import annotations
@@ -10,9 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import MAX_BROADCAST_DECISIONS, SPACE_CLASS, decisions, let, row_key
+from .common import MAX_BROADCAST_DECISIONS, SPACE_CLASS, bounded_broadcast, decisions, let, row_key, saved
 
-#: Texts of a host that may share a line, and the least share of its words that a document must keep.
+#: Documents of a host that may share a line, and the least share of its words that a document must keep.
 MAX_LINE_DOCS, MIN_LEFT = 20, 0.5
 MIN_WORDS, WINDOW, MAX_REPEAT_PERCENT = 20, 8, 30
 SPACES, SYMBOLS = " \t\n\x0b\x0c\r", "#*$%&|<>"
@@ -80,42 +80,56 @@ def normalised(line: Column) -> Column:
 
 
 def line_words(docs: DataFrame) -> DataFrame:
-    """(key, doc_id, host, text_hash, pos, line, n): the lines with a word, hashed, and their words."""
+    """(key, doc_id, pos, line, n): the lines with a word, hashed with their host, and their words."""
     lines = docs.select(
         "doc_id",
         "host",
         row_key(F.col("doc_id"), F.col("host"), F.col("text")).alias("key"),
-        F.xxhash64("text").alias("text_hash"),
         F.posexplode(F.split("text", "\n")).alias("pos", "raw"),
     ).withColumn("line", normalised(F.col("raw")))
     n = F.length("line") - F.length(F.translate("line", " ", "")) + 1
-    return lines.where("line <> ''").select("key", "doc_id", "host", "text_hash", "pos", F.xxhash64("line").alias("line"), n.alias("n"))
+    return lines.where("line <> ''").select("key", "doc_id", "pos", row_key(F.col("host"), F.col("line")).alias("line"), n.alias("n"))
 
 
-def frequent_lines(lines: DataFrame, max_line_docs: int = MAX_LINE_DOCS) -> DataFrame:
-    """(host, line, first_doc): lines that more than `max_line_docs` different texts of a host hold.
+def frequent_lines(lines: DataFrame, max_line_docs: int = MAX_LINE_DOCS) -> tuple[DataFrame, DataFrame]:
+    """(line, first_doc) of the lines that more than `max_line_docs` documents of a host hold, and all places of at least these lines.
 
-    The first aggregate has a row for each text of a line, the second one for each line; both combine before they shuffle, so a line
-    that a third of all documents share costs a row for each task.
+    First all places are counted, which combines before it shuffles: a line that a third of all documents share costs a row for each
+    task. Only lines with enough places can have enough documents, and only theirs are counted one by one. Rows that repeat an id are
+    one document; rows without id are one for each different text.
     """
-    once = lines.groupBy("host", "line", "text_hash").agg(F.min("doc_id").alias("first_doc"))
-    counted = once.groupBy("host", "line").agg(F.count("*").alias("texts"), F.min("first_doc").alias("first_doc"))
-    return counted.where(F.col("texts") > max_line_docs).select("host", "line", "first_doc")
-
-
-def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_line_docs: int = MAX_LINE_DOCS, min_left: float = MIN_LEFT) -> DataFrame:
+    often = lines.groupBy("line").agg(F.count("*").alias("places")).where(F.col("places") > max_line_docs).select(F.col("line").alias("often"))
+    often = decisions(often, "often")
+    places = saved(lines.join(often, lines["line"] == often["often"]).drop("often"), "places")
+    held = places.select("line", "doc_id", F.when(F.col("doc_id").isNull(), F.col("key")).alias("text")).distinct()
+    counted = held.groupBy("line").agg(F.count("*").alias("docs"), F.min("doc_id").alias("first_doc"))
+    return saved(counted.where(F.col("docs") > max_line_docs).select(F.col("line").alias("frequent"), "first_doc"), "frequent"), places
+
+
+def quality(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    host_col: str = "source",
+    max_line_docs: int = MAX_LINE_DOCS,
+    min_left: float = MIN_LEFT,
+    keep_first: bool = False,
+) -> DataFrame:
     """A row for each row of `docs`: the base columns, words in removed lines, the verdict `kept`, and the places of the removed lines.
 
     A null text is an empty one: no words, so base_failed. Rows without host are a host of their own. Rows that repeat in id, host and
-    text each give a row with the same values. Copies of a text count once in a line's frequency. Other columns are ignored.
+    text each give a row with the same values. Copies of a text under other ids are documents of their own; with `keep_first` the one
+    with the smallest id keeps its lines. Other columns are ignored. An empty table gives no rows.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(host_col).cast("string").alias("host"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    lines = line_words(rows)
-    often = frequent_lines(lines, max_line_docs)
-    hit = lines.join(often, lines["host"].eqNullSafe(often["host"]) & (lines["line"] == often["line"])).where(~F.coalesce(lines["doc_id"] == often["first_doc"], F.lit(False)))
+    frequent, places = frequent_lines(saved(line_words(rows), "lines"), max_line_docs)
+    frequent = bounded_broadcast(frequent, MAX_BROADCAST_DECISIONS)
+    hit = places.join(frequent, places["line"] == frequent["frequent"])
+    if keep_first:
+        hit = hit.where(~F.coalesce(hit["doc_id"] == hit["first_doc"], F.lit(False)))
     # Rows that repeat have the same places: each place counts once.
-    places = hit.select(F.col("key").alias("hit_key"), lines["doc_id"].alias("hit_doc"), "pos", "n").distinct()
-    removed = places.groupBy("hit_key", "hit_doc").agg(F.sum("n").alias("removed"), F.sort_array(F.collect_list("pos")).alias("removed_lines"))
+    once = hit.select(F.col("key").alias("hit_key"), F.col("doc_id").alias("hit_doc"), "pos", "n").distinct()
+    removed = once.groupBy("hit_key", "hit_doc").agg(F.sum("n").alias("removed"), F.sort_array(F.collect_list("pos")).alias("removed_lines"))
     base = base_measures(rows)
     out = base.join(removed, (base["key"] == removed["hit_key"]) & base["doc_id"].eqNullSafe(removed["hit_doc"]), "left")
     return out.select(
@@ -124,7 +138,7 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hos
         (~F.col("base_failed") & (F.coalesce("removed", F.lit(0)) <= (1 - min_left) * F.col("n_words"))).alias("kept"),
         F.col("key").alias("row_key"),
         "removed_lines",
-    )
+    )
 
 
 def without_lines(text: Column, places: Column) -> Column:
@@ -142,7 +156,7 @@ def without_lines(text: Column, places: Column) -> Column:
 def apply_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", length_col: str | None = "n_chars", **options) -> DataFrame:
     """The rows of `docs` that `quality` keeps, without their removed lines, and `length_col` counted again where the text changed.
 
-    Rows that lose no line keep their text as it is.
+    Rows that lose no line keep their text as it is. Nulls, repeats and empty tables are as in `quality`; an empty or null text goes.
     """
     found = quality(docs, id_col, text_col, host_col, **options).where("not kept or removed_lines is not null")
     found = found.select(F.col("doc_id").alias("__id"), F.col("row_key").alias("__key"), F.col("kept").alias("__kept"), F.when(F.col("kept"), F.col("removed_lines")).alias("__places"))

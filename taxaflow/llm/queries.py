@@ -85,8 +85,8 @@ rep as (select doc_id, i from (select doc_id, i, count(*) over (partition by doc
 cov as (select doc_id, count(distinct j)::bigint as n from (select doc_id, unnest(range(i, i + 8)) as j from rep) group by doc_id),
 l as (select doc_id, source, text, trim(regexp_replace(lower(x), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') as line
       from (select doc_id, source, text, unnest(ls) as x from w)),
-f as (select source, line, min(doc_id) as first_doc from l where line <> '' group by source, line having count(distinct text) > 20),
-r as (select doc_id, sum(len(string_split(line, ' ')))::bigint as n from l join f using (source, line) where doc_id <> first_doc group by doc_id),
+f as (select source, line from l where line <> '' group by source, line having count(distinct doc_id) > 20),
+r as (select doc_id, sum(len(string_split(line, ' ')))::bigint as n from l join f using (source, line) group by doc_id),
 o as (
   select b.doc_id, n_words, word_chars, n_symbols, n_dup_lines, coalesce(cov.n, 0)::bigint as n_repeat_words, coalesce(r.n, 0)::bigint as n_removed_words
   from b left join cov using (doc_id) left join r using (doc_id))
