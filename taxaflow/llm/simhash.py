@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, decisions, saved
+from .common import MAX_BROADCAST_DECISIONS, bounded_broadcast, connected_components, decisions, saved
 
 MAX_BITS, SHINGLE, SEED = 4, 4, 42
 #: 2-bit segments of each of the three parts: 11, 11 and 10.
@@ -108,25 +108,40 @@ def _probes(fps: DataFrame) -> DataFrame:
     return out.select(*fps.columns, "x.part", "x.cell", "x.step")
 
 
+#: Nodes from here on stand for fingerprints that no row with an id has; ids must be smaller.
+NO_ID = 1 << 62
+
+
+def numbered(of: DataFrame, value: str, *more: Column) -> DataFrame:
+    """(value, node, ..) of the different values in `of` (doc_id, value, ..): node is the smallest doc_id, or a number of its own from NO_ID on."""
+    least = of.groupBy(value).agg(F.min("doc_id").alias("least"), *more)
+    return least.withColumn("node", F.coalesce("least", F.lit(NO_ID) + F.monotonically_increasing_id())).drop("least")
+
+
 def fingerprint_components(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """(fp, root) for distinct fingerprints `fps(fp)`: the classes that links of at most `max_bits` differing bits make.
+    """(fp, node, root) for different fingerprints `fps` (fp, node): the classes that links of at most `max_bits` differing bits make, each
+    by its smallest node. Without a column `node` the fingerprints number themselves.
 
-    First each fingerprint is tied to the least of its cell if that is a link (a star, so a dense group costs a row a member, not a row
+    First each fingerprint is tied to the smallest of its cell if that is a link (a star, so a dense group costs a row a member, not a row
     a pair). The range-join then emits only links between different classes so far, and the classes are merged along them.
     """
     if max_bits // len(PARTS) > 1:
         raise ValueError("the grid looks one step around a cell: max_bits must be under 6")
+    if "node" not in fps.columns:
+        fps = fps.withColumn("node", F.col("fp"))
     link = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= max_bits
     cells = _cells(fps)
-    least = cells.groupBy("part", "cell").agg(F.min("fp").alias("least"))
-    stars = cells.join(least, ["part", "cell"]).where(F.col("fp") != F.col("least")).where(link("fp", "least")).select(F.col("fp").alias("u"), F.col("least").alias("v"))
-    first = connected_components(stars)
-    tagged = saved(fps.join(first, fps["fp"] == first["node"], "left").select("fp", F.coalesce("root", "fp").alias("class")), "classes")
+    least = cells.groupBy("part", "cell").agg(F.min(F.struct("node", "fp")).alias("least")).select("part", "cell", F.col("least.node").alias("to"), F.col("least.fp").alias("fp_to"))
+    stars = cells.join(least, ["part", "cell"]).where((F.col("node") != F.col("to")) & link("fp", "fp_to")).select(F.col("node").alias("u"), F.col("to").alias("v"))
+    first = connected_components(stars).withColumnRenamed("node", "of_node")
+    tagged = saved(fps.join(first, fps["node"] == first["of_node"], "left").select("fp", "node", F.coalesce("root", "node").alias("class")), "classes")
     a = _probes(tagged).select(F.col("fp").alias("a"), F.col("class").alias("class_a"), "part", "cell", "step")
     b = _cells(tagged).select(F.col("fp").alias("b"), F.col("class").alias("class_b"), "part", "cell")
     near = a.join(b, (a["part"] == b["part"]) & (a["cell"] == b["cell"]) & link("a", "b") & (F.col("class_a") != F.col("class_b")) & ((F.col("step") == 1) | (F.col("a") < F.col("b"))))
-    merged = connected_components(near.select(F.col("class_a").alias("u"), F.col("class_b").alias("v")))
-    return tagged.join(merged, F.col("class") == F.col("node"), "left").select("fp", F.coalesce("root", "class").alias("root"))
+    merged = saved(connected_components(near.select(F.col("class_a").alias("u"), F.col("class_b").alias("v"))), "merged")
+    # Classes that merge are as few as the links found; where their number is bounded, they go to the members.
+    merged = bounded_broadcast(merged.select(F.col("node").alias("of_class"), F.col("root").alias("to")), MAX_BROADCAST_DECISIONS)
+    return saved(tagged.join(merged, F.col("class") == F.col("of_class"), "left").select("fp", "node", F.coalesce("to", "class").alias("root")), "roots")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
@@ -136,11 +151,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     and gets the component of the others; a component of null ids only has a null component_id. An empty table gives no rows.
     """
     of = saved(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    by_fp = of.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = saved(fingerprint_components(by_fp.select("fp"), max_bits), "roots")
-    ids = by_fp.join(roots, "fp")
-    least = ids.groupBy("root").agg(F.min("least").alias("component_id"))
-    return of.join(roots.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    roots = fingerprint_components(saved(numbered(of, "fp"), "nodes"), max_bits)
+    ids = roots.select(F.col("fp").alias("of_fp"), F.when(F.col("root") < NO_ID, F.col("root")).alias("component_id"))
+    return of.join(ids, F.col("fp") == F.col("of_fp")).select("doc_id", "fp", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, find: Callable[..., DataFrame] = near_duplicates, **options) -> DataFrame:
