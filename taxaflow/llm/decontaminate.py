@@ -1,9 +1,9 @@
 """Benchmark decontamination by spaced-seed hashing, in DataFrame functions only.
 
 A spaced seed is a fixed mask over a window of words: it hashes the words it selects and ignores the others, so a substituted word at an
-ignored place leaves the hash as it was. The hashes of all windows of the documents meet those of the benchmark. Each hit carries the
-words of both windows; hits on one diagonal (place in the document less place in the item) are put together, and the words that agree
-along it are counted, so substitutions cost their own place only.
+ignored place leaves the hash as it was. The hashes of all windows of the documents meet those of the benchmark. Only hashes and places
+move; the words of both windows are fetched for hits alone. Hits on one diagonal (place in the document less place in the item) are put
+together, and the words that agree along it are counted, so substitutions cost their own place only.
 """
 
 from __future__ import annotations
@@ -11,14 +11,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_broadcast, decisions, row_key
+from .common import bounded_broadcast, decisions, row_key, saved
 
 #: Places that each mask selects in a window of SPAN words. Of random sets these find most regions with a fifth of the words replaced.
 SPAN = 12
 MASKS = ((0, 1, 3, 7, 9, 10, 11), (0, 1, 2, 4, 9, 10, 11), (0, 5, 6, 7, 8, 10, 11), (0, 2, 3, 4, 7, 8, 11))
 #: Words that must agree along a diagonal, and their least share of the stretch from the first to the last of them.
 MIN_MATCHED, MIN_IDENTITY = 12, 0.7
-#: Rows of the benchmark's windows (four for each word) up to which they are broadcast; beyond, the join is shuffled.
+#: Rows of the benchmark's seeds (four for each word) up to which they are broadcast with their places; ten times as many are broadcast
+#: as bare hashes, so that only hits are shuffled; beyond, all seeds are.
 MAX_BROADCAST_ROWS = 400_000
 
 
@@ -41,6 +42,24 @@ def seeds(rows: DataFrame, masks: tuple[tuple[int, ...], ...] = MASKS) -> DataFr
     return rows.withColumn("seed", F.explode(F.array(*[F.xxhash64(F.lit(m), *[F.col(f"w{k}") for k in mask]) for m, mask in enumerate(masks)])))
 
 
+def words_of(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str, item_text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, text, row_key) of the documents; (item_id, words, item_key) of the different items long enough for a seed."""
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), word_hashes(F.col(item_text_col).cast("string")).alias("words"))
+    return source.withColumn("row_key", row_key(F.col("doc_id"), F.col("text"))), items.where(F.size("words") >= SPAN).withColumn("item_key", F.xxhash64("words")).distinct()
+
+
+def seed_hits(source: DataFrame, items: DataFrame, max_broadcast_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """(doc_id, row_key, pos, item_id, item_key, item_pos): windows of a document and of an item that some mask finds equal, once for each mask."""
+    rows = source.select("doc_id", "row_key", word_hashes(F.col("text")).alias("words"))
+    mine = seeds(windows(rows, ["doc_id", "row_key"])).select("seed", "doc_id", "row_key", "pos")
+    theirs = saved(seeds(windows(items, ["item_id", "item_key"])).select("seed", "item_id", "item_key", F.col("pos").alias("item_pos")), "item-seeds")
+    if theirs.limit(max_broadcast_rows + 1).count() <= max_broadcast_rows:
+        return mine.join(F.broadcast(theirs), "seed").drop("seed")
+    known = bounded_broadcast(theirs.select("seed").distinct(), 10 * max_broadcast_rows)
+    return mine.join(known, "seed", "left_semi").join(theirs, "seed").drop("seed")
+
+
 def overlaps(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -58,14 +77,19 @@ def overlaps(
     fewer than SPAN words, match nothing. Items that repeat a row count once, and so do documents that repeat in id and text; null ids
     stay null. With either table empty there are no rows.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = rows.select("doc_id", row_key(F.col("doc_id"), F.col("text")).alias("row_key"), word_hashes(F.col("text")).alias("words"))
-    items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), word_hashes(F.col(item_text_col).cast("string")).alias("words"))
-    of_items = seeds(windows(items, ["item_id"]))
-    of_items = bounded_broadcast(of_items.select("seed", "item_id", F.col("pos").alias("item_pos"), *[F.col(f"w{k}").alias(f"v{k}") for k in range(SPAN)]), max_broadcast_rows)
-    hits = seeds(windows(rows, ["doc_id", "row_key"])).join(of_items, "seed")
-    agree = F.filter(F.array(*[F.when(F.col(f"w{k}") == F.col(f"v{k}"), F.col("pos") + k) for k in range(SPAN)]), lambda p: p.isNotNull())
-    found = hits.select("doc_id", "row_key", "item_id", (F.col("pos") - F.col("item_pos")).alias("diagonal"), F.explode(agree).alias("at"))
+    source, items = words_of(docs, benchmark, id_col, text_col, item_col, item_text_col)
+    pair = ["doc_id", "row_key", "item_id", "item_key"]
+    hits = seed_hits(source, items, max_broadcast_rows).select(*pair, "pos", "item_pos").distinct()
+    hits = decisions(hits.select(*[F.col(c).alias(f"hit_{c}") for c in pair], "pos", "item_pos"), "hits", max_broadcast_rows)
+    same_row = (F.col("row_key") == F.col("hit_row_key")) & F.col("doc_id").eqNullSafe(F.col("hit_doc_id"))
+    read = source.join(hits, same_row, "left_semi").select("doc_id", "row_key", word_hashes(F.col("text")).alias("words")).distinct()
+    window = lambda words, pos: F.slice(words, F.col(pos) + 1, SPAN)
+    mine = read.join(hits, same_row).select("doc_id", "row_key", "hit_item_id", "hit_item_key", "pos", "item_pos", window("words", "pos").alias("w"))
+    theirs = bounded_broadcast(items, max_broadcast_rows // SPAN)
+    both = mine.join(theirs, (F.col("hit_item_key") == F.col("item_key")) & F.col("hit_item_id").eqNullSafe(F.col("item_id")))
+    pairs = F.arrays_zip("w", window("words", "item_pos").alias("v"))
+    found = both.select("doc_id", "row_key", "item_id", (F.col("pos") - F.col("item_pos")).alias("diagonal"), "pos", F.posexplode(pairs).alias("k", "x"))
+    found = found.where("x.w = x.v").select("doc_id", "row_key", "item_id", "diagonal", (F.col("pos") + F.col("k")).alias("at"))
     # A place is agreed on by each window over it, by each mask: each counts once.
     found = found.distinct().groupBy("doc_id", "row_key", "item_id", "diagonal")
     found = found.agg(F.count("*").alias("matched"), F.min("at").cast("long").alias("first_word"), F.max("at").cast("long").alias("last_word"))
@@ -89,13 +113,8 @@ def stretches(
     from one agreeing word to another with `min_matched` agreeing words and `min_identity` of its length (in whole percent), so what else
     agrees on the diagonal can't undo one. Rows are judged as in `overlaps`, which judges each diagonal's hits as one stretch.
     """
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    source = source.withColumn("row_key", row_key(F.col("doc_id"), F.col("text")))
-    rows = source.select("doc_id", "row_key", word_hashes(F.col("text")).alias("words"))
-    items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), word_hashes(F.col(item_text_col).cast("string")).alias("words"))
-    items = items.where(F.size("words") >= SPAN).withColumn("item_key", F.xxhash64("words")).distinct()
-    of_items = seeds(windows(items, ["item_id", "item_key"])).select("seed", "item_id", "item_key", F.col("pos").alias("item_pos"))
-    hits = seeds(windows(rows, ["doc_id", "row_key"])).join(bounded_broadcast(of_items, max_broadcast_rows), "seed")
+    source, items = words_of(docs, benchmark, id_col, text_col, item_col, item_text_col)
+    hits = seed_hits(source, items, max_broadcast_rows)
     hits = hits.select("doc_id", "row_key", "item_id", "item_key", (F.col("pos") - F.col("item_pos")).alias("diagonal")).distinct()
     diagonals = ["doc_id", "row_key", "item_id", "item_key", "diagonal"]
     hit = decisions(hits.select(*[F.col(c).alias(f"hit_{c}") for c in diagonals]), "diagonals", max_broadcast_rows)
