@@ -22,10 +22,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path, saved
+from .common import bounded_broadcast, new_path, saved
 
 #: Lines of an index block; the fast setting of the compressor; payloads from this size on are written once.
 BLOCK_LINES, LEVEL, MIN_REVISIT_BYTES = 512, 1, 0
+#: Digests that come twice up to which they are broadcast; bytes of archives that one task reads back.
+MAX_BROADCAST_DIGESTS, READ_BYTES = 400_000, 32 << 20
 DATE, PROFILE = "2024-01-01T00:00:00Z", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
 END = b"\r\n\r\n"
@@ -58,16 +60,18 @@ def base32_sha1(data: Column) -> Column:
     return F.translate(digits, "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
 
 
-def records(pages: DataFrame, min_revisit_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
+def records(pages: DataFrame, min_revisit_bytes: int = MIN_REVISIT_BYTES, max_broadcast: int = MAX_BROADCAST_DIGESTS) -> DataFrame:
     """(key, page_id, url, payload, digest, first_id, first_key): first_id is null for a response, else the page that a revisit repeats.
 
-    The smallest page_id of each payload is found by an aggregate that combines before it shuffles.
+    The smallest page_id of each payload is found by an aggregate over digests that combines before it shuffles. Only digests that come
+    twice go back to the pages; up to `max_broadcast` of them are broadcast, so payloads stay where they are.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("payload"))
     rows = rows.select("page_id", "url", "payload", base32_sha1(F.col("payload").cast("binary")).alias("digest"), capture_key(F.col("url"), F.col("page_id")).alias("key"))
     large = rows.where(F.octet_length("payload") >= min_revisit_bytes)
-    firsts = large.where("page_id is not null").groupBy(F.col("digest").alias("of")).agg(F.min(F.struct("page_id", "key")).alias("f"))
-    firsts = firsts.select("of", F.col("f.page_id").alias("first_id"), F.col("f.key").alias("first_key"))
+    firsts = large.groupBy(F.col("digest").alias("of")).agg(F.count("*").alias("n"), F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "key"))).alias("f"))
+    firsts = saved(firsts.where("n > 1 and f is not null").select("of", F.col("f.page_id").alias("first_id"), F.col("f.key").alias("first_key")), "firsts")
+    firsts = bounded_broadcast(firsts, max_broadcast)
     joined = rows.join(firsts, (F.col("digest") == F.col("of")) & (F.octet_length("payload") >= min_revisit_bytes) & ~F.col("page_id").eqNullSafe(F.col("first_id")), "left")
     return joined.select("key", "page_id", "url", "payload", "digest", "first_id", "first_key")
 
@@ -175,19 +179,43 @@ def _write_index(folder: str, block_lines: int):
     return run
 
 
-def write_index(captures: DataFrame, folder: str, block_lines: int = BLOCK_LINES) -> list[tuple[str, bytes, bytes]]:
-    """Sorts the captures into shards of compressed blocks; gives (shard, first key, last key) of each, in order: a row for each task."""
+def _write_top(folder: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, top = filesystem(folder)
+        fs.create_dir(top, recursive=True)
+        name, n = f"{_attempt()}.top", 0
+        with fs.open_output_stream(f"{top}/{name}") as f:
+            for b in batches:
+                for shard, first, last in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                    f.write(b"%b\t%b\t%b\n" % (first, last, shard.encode()))
+                    n += 1
+        yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([n], pa.int64())], names=["top", "shards"])
+
+    return run
+
+
+def write_index(captures: DataFrame, folder: str, block_lines: int = BLOCK_LINES) -> str:
+    """Sorts the captures into shards of compressed blocks, and the first and last keys of the shards, a line for each task, into a file.
+
+    Gives that file's name: readers search it before a shard's own directory.
+    """
     rows = captures.repartitionByRange("key", "archive", "offset").sortWithinPartitions("key", "archive", "offset").select("key", "archive", "offset", "length")
     shards = saved(rows.mapInArrow(_write_index(folder, block_lines), "shard string, first binary, last binary"), "shards")
-    return sorted(((r["shard"], bytes(r["first"]), bytes(r["last"])) for r in shards.collect()), key=lambda x: x[1:])
+    tops = shards.coalesce(1).sortWithinPartitions("first", "last").mapInArrow(_write_top(folder), "top string, shards long").collect()
+    return max(tops, key=lambda r: r["shards"])["top"] if tops else ""
 
 
 class Reader:
-    """Looks captures up. Keeps a few directories, blocks and payload sizes, never a whole index."""
+    """Looks captures up. Keeps the shards' bounds, a few directories, blocks and payload sizes, never a whole index."""
 
-    def __init__(self, archives: str, index: str, shards: list[tuple[str, bytes, bytes]], keep: int = 8):
+    def __init__(self, archives: str, index: str, top: str, keep: int = 8):
         (self.fs, self.archives), (self.index_fs, self.index) = filesystem(archives), filesystem(index)
-        self.shards, self.firsts = shards, [s[1] for s in shards]
+        lines = []
+        if top:
+            with self.index_fs.open_input_file(f"{self.index}/{top}") as f:
+                lines = [x.split(b"\t") for x in f.read().splitlines()]
+        self.shards = [(shard.decode(), first, last) for first, last, shard in lines]
+        self.firsts = [s[1] for s in self.shards]
         self._directories: OrderedDict[str, tuple] = OrderedDict()
         self._blocks: OrderedDict[tuple[str, int], tuple] = OrderedDict()
         self._files: OrderedDict[str, object] = OrderedDict()
@@ -264,8 +292,8 @@ def _page(name: str) -> int | None:
     return None if value == "-" else int(value)
 
 
-def _read(archives: str, index: str, shards: list[tuple[str, bytes, bytes]], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    reader = Reader(archives, index, shards)
+def _read(archives: str, index: str, top: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    reader = Reader(archives, index, top)
     kinds = {"page_id": pa.int64(), "payload_bytes": pa.int64(), "payload_digest": pa.string(), "record_type": pa.string(), "refers_to": pa.int64()}
     for b in batches:
         rows = []
@@ -284,10 +312,11 @@ def _read(archives: str, index: str, shards: list[tuple[str, bytes, bytes]], bat
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds.values(), strict=True)], names=list(kinds))
 
 
-def lookup(keys: DataFrame, archives: str, index: str, shards: list[tuple[str, bytes, bytes]]) -> DataFrame:
-    """The records of each different key of `keys(key)`, by the index; keys that it doesn't have give no rows."""
-    asked = keys.select("key").distinct().repartitionByRange("key").sortWithinPartitions("key")
-    return asked.mapInArrow(partial(_read, archives, index, shards), "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+def lookup(keys: DataFrame, archives: str, index: str, top: str, parts: int | None = None) -> DataFrame:
+    """The records of each different key of `keys(key)`, by the index, in `parts` tasks; keys that it doesn't have give no rows."""
+    asked = keys.select("key").distinct()
+    asked = asked.repartitionByRange(parts, "key") if parts else asked.repartitionByRange("key")
+    return asked.sortWithinPartitions("key").mapInArrow(partial(_read, archives, index, top), "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def round_trip(spark: SparkSession, pages: DataFrame, min_revisit_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
@@ -299,5 +328,8 @@ def round_trip(spark: SparkSession, pages: DataFrame, min_revisit_bytes: int = M
     """
     archives, index = new_path(spark, "warc"), new_path(spark, "cdx")
     captures = write_archives(pages, archives, min_revisit_bytes)
-    shards = write_index(captures, index)
-    return lookup(captures, archives, index, shards)
+    top = write_index(captures, index)
+    # Adaptive execution would see the keys' size; what a task reads are the archives.
+    size = captures.agg(F.coalesce(F.sum("length"), F.lit(0)).alias("n"), F.count("*").alias("rows")).first()
+    parts = max(1, min(size["rows"], max(spark.sparkContext.defaultParallelism, -(-size["n"] // READ_BYTES))))
+    return lookup(captures, archives, index, top, parts)
