@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from .common import saved
 
-#: Labelled rows that the classifier learns from at most (the first in the order of a hash), and entries of each lexicon at most.
-MAX_TRAINING_ROWS, MAX_LEXICON = 12_000, 400
+#: Labelled rows that the classifier learns from at most (the first in the order of a hash). They bound the lexicons too.
+MAX_TRAINING_ROWS = 12_000
 #: A lexicon entry needs this many toxic texts and this log odds.
 MIN_TOXIC_TEXTS, MIN_LOG_ODDS = 4, 1.6
 STEMS = (4, 5, 6, 7, 8)
@@ -114,17 +114,16 @@ def training_rows(labels: DataFrame, max_rows: int = MAX_TRAINING_ROWS) -> DataF
     return rows.select("doc_id", "toxic").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
 
 
-def mine_lexicon(texts: DataFrame, max_entries: int = MAX_LEXICON) -> tuple[Lexicon, Lexicon]:
-    """Words and beginnings that the toxic of `texts` (toxic, text) hold far more often than the others; at most `max_entries` of each."""
+def mine_lexicon(texts: DataFrame) -> tuple[Lexicon, Lexicon]:
+    """All words and beginnings that the toxic of `texts` (toxic, text) hold far more often than the others: as many as a sample of
+    MAX_TRAINING_ROWS texts can have."""
     n = {r["toxic"]: r["n"] for r in texts.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     odds = F.log((F.col("t") + 0.5) / F.lit(n.get(1, 0) + 1.0)) - F.log((F.col("o") + 0.5) / F.lit(n.get(0, 0) + 1.0))
     counts = texts.select("toxic", "text").mapInArrow(_arrow_terms, "term string, toxic int").groupBy("term").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("o"))
     best = counts.where(F.col("t") >= MIN_TOXIC_TEXTS).withColumn("w", odds).where(F.col("w") >= MIN_LOG_ODDS)
-    out = []
-    for stems in (False, True):
-        own = best.where(F.col("term").endswith("*") == F.lit(stems)).orderBy(F.desc(F.col("w") * F.sqrt("t")), "term").limit(max_entries)
-        out.append({r["term"]: r["w"] for r in own.select("term", "w").collect()})
-    return out[0], out[1]
+    found = {r["term"]: r["w"] for r in best.select("term", "w").collect()}
+    stems = {t: w for t, w in found.items() if t.endswith("*")}
+    return {t: w for t, w in found.items() if t not in stems}, stems
 
 
 class Toxicity:
@@ -138,7 +137,7 @@ class Toxicity:
         rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
         sample = saved(training_rows(labels, max_rows).coalesce(1), "toxicity-sample")  # at most max_rows rows of two numbers: it may be broadcast
         texts = rows.join(F.broadcast(sample), "doc_id").select("toxic", "text", "doc_id")
-        texts = saved(texts.dropDuplicates(["doc_id"]), "toxicity-texts")
+        texts = saved(texts.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")), "toxicity-texts")  # of texts that share an id the least
         lexicons = mine_lexicon(texts)
         data = texts.select("doc_id", "text").mapInArrow(_arrow_features(*lexicons), "doc_id long, features array<double>").join(F.broadcast(sample), "doc_id")
         data = saved(data.select(array_to_vector("features").alias("features"), F.col("toxic").cast("double").alias("label"), (F.pmod(F.xxhash64("doc_id"), F.lit(3)) == 0).alias("calibrate")).coalesce(4), "toxicity-features")
@@ -161,6 +160,10 @@ class Toxicity:
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, held_out, score, predicted) for each row of `docs`. A null text is an empty one and is scored as such; a null id isn't held out."""
+    """(doc_id, held_out, score, predicted) for each row of `docs`. A null text is an empty one and is scored as such; a null id isn't held out.
+
+    Repeated rows each give a row with the same score; of different texts under one labelled id the least is learnt from. Labels of an id
+    that contradict each other don't count. Without documents there are no rows, without labels every score is 0.
+    """
     scored = Toxicity.fit(docs, labels).score(docs)
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
