@@ -1,9 +1,11 @@
 """Secret scans with a random forest over candidates, in DataFrame functions and the JVM's own forest only.
 
 Candidates are runs of 16 or more characters that keys are written in, with a digit and a letter, and values of 8 or more assigned to a
-credential's name, both without a name before them and punctuation after them, and known key formats wherever they stand alone. A forest removes the false positives. Its features are the length, how characters change within the candidate, how
-much of it the corpus knows as words, what its path looks like, and the words beside it. It is trained from labelled findings: a given
-table, else findings of the corpus that a rule can label with confidence; findings made by rule show it every class in any case.
+credential's name, both without a name before them and punctuation after them, and known key formats wherever they stand alone. A forest
+removes the false positives. Its features are the length, how characters change within the candidate, how much of it the corpus knows as
+words, what its path looks like, and the words beside it. It is trained from labelled findings: a given table, and findings planted in
+texts of the corpus. What a planted value is follows from how it was made (a random key, or a checksum, slug, identifier and the like),
+and not from any feature; the texts around it and the words in it are the corpus's own.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ from functools import reduce
 
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import MAX_BROADCAST_DECISIONS, decisions, let, row_key, saved
@@ -22,16 +24,17 @@ CREDENTIAL = r"(?:token|secret|passwd|password|pwd|api[_ -]?key|access[_ -]?key|
 HARMLESS = r"(?i)(?:sha-?(?:1|256)|md5|commit|checksum|digest|etag|uuid|guid|isbn|doi|href|src|url|version|example|sample|placeholder)[^A-Za-z0-9]*$"
 FORMATS = r"(?:AKIA[0-9A-Z]{16}|gh[opsu]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_-]{35}|sk-[A-Za-z0-9_-]{20,}|eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*)"
 KNOWN, KNOWN_INSIDE = f"^{FORMATS}$", f"(?<![A-Za-z0-9]){FORMATS}(?![A-Za-z0-9])"
-TEST_PATH = r"(?i)(?:test|example|sample|mock|fixture|spec)(?:[^a-z]|$)"
+TEST_PATH = r"(?i)(?:test|example|sample|mock|fixture|spec)s?(?:[^a-z]|$)"
 RUN = r"[A-Za-z0-9+/_=.~-]{16,}+"
 ASSIGNED = rf"(?i){CREDENTIAL}[\"']?\s{{0,3}}[:=]\s{{0,3}}[\"']?([A-Za-z0-9+/_=.~!@#$%^&*-]{{8,}}+)"
 #: What is no part of a run: a name before its value, and punctuation after it.
 NAME, END = r"^.*=(?=[^=])", r"[.~-]+$"
-#: Characters read on each side of a candidate. Labelled findings of the corpus, and made ones, that the forest learns from at most.
-AROUND, MAX_LABELLED, MADE = 48, 8_000, 2_000
+#: Characters read on each side of a candidate. Given labelled findings, and texts of the corpus with planted ones, that the forest learns
+#: from at most (the first in the order of a hash).
+AROUND, MAX_LABELLED, MAX_CONTEXTS = 48, 8_000, 400
 #: A run of letters is a word if the corpus has it this often; looked-up runs up to which they are broadcast.
 MIN_WORD_COUNT, MAX_BROADCAST_WORDS = 3, 400_000
-TREES, DEPTH, SEED, THRESHOLD = 24, 6, 11, 0.5
+TREES, DEPTH, SEED, THRESHOLD = 32, 8, 11, 0.5
 MASK = "[SECRET]"
 
 
@@ -131,44 +134,80 @@ def with_features(found: DataFrame) -> DataFrame:
     return found.withColumn("features", F.array(*[F.coalesce(p.cast("double"), F.lit(0.0)) for p in parts]))
 
 
-def rule_label(found: DataFrame) -> DataFrame:
-    """Findings of the corpus with `label` where context decides it: 1 a key in a key's place, 0 an address, path, word or checksum."""
-    v, before, after = F.col("value"), F.col("before"), F.col("after")
-    keyed = before.rlike(rf"(?i){CREDENTIAL}[\"']?\s{{0,3}}[:=]\s{{0,3}}[\"']?$")
-    other = before.rlike("[@/\\\\]$") | after.rlike("^@") | (F.col("covered") >= 0.6) | before.rlike(HARMLESS) | v.rlike("(?i)^(?:x+|your.*|change.?me.*|<.*)$")
-    good = v.rlike(KNOWN) | keyed & (F.length(v) >= 12) & v.rlike("[0-9]") & (F.col("covered") < 0.3)
-    return found.withColumn("label", F.when(other, 0).when(good, 1)).where("label is not null")
-
-
-def made_findings(spark: SparkSession, n: int = MADE) -> DataFrame:
-    """`n` labelled findings by rule: hex, base64 and prefixed keys beside credential words, and the usual false positives."""
-    i = F.col("id")
-    text = F.sha2(i.cast("string").cast("binary"), 256)
-    b64 = F.regexp_replace(F.base64(F.unhex(text)), "=", "")
-    words = F.array(*map(F.lit, "a in of the and with from river stone letter yesterday garden yellow window market silverware".split()))
-    pick = lambda k, least=1: F.element_at(words, (F.pmod(F.xxhash64(i, F.lit(k)), F.lit(17 - least)) + least).cast("int"))
-    word = F.concat_ws("-", *[pick(k, 8) for k in range(3)])
-    names = F.array(*map(F.lit, ("token", "secret", "password", "api_key", "access_key")))
-    name = F.element_at(names, (F.pmod(F.xxhash64(i, F.lit("name")), F.lit(5)) + 1).cast("int"))
-    way = F.pmod(F.xxhash64(i, F.lit("way")), F.lit(3))
-    # Words beside a candidate are drawn alike for all kinds: only what the kind says may tell it.
-    shown = F.concat(pick(10), F.lit(" "), F.when(way == 0, F.concat(name, F.lit(' = "'))).when(way == 1, F.concat(F.upper(name), F.lit(": "))).otherwise(F.concat(name, F.lit("="))))
-    close = F.concat(F.when(way == 0, '" ').otherwise(" "), pick(11))
-    beside = F.concat(pick(12), F.lit(" "))
-    then = F.concat(F.element_at(F.array(*map(F.lit, (" ", ". ", ", ", "\n"))), (F.pmod(F.xxhash64(i, F.lit("then")), F.lit(4)) + 1).cast("int")), pick(13))
-    kinds = [  # value, before, after, covered, label
-        (F.substring(text, 1, 40), shown, close, 0.0, 1),
-        (F.substring(b64, 1, 36), shown, close, 0.0, 1),
-        (F.concat(F.lit("AKIA"), F.upper(F.substring(text, 1, 16))), beside, then, 0.0, 1),
-        (F.substring(b64, 3, 14), shown, close, 0.0, 1),
-        (F.substring(text, 5, 40), F.concat(beside, F.lit("commit ")), then, 0.0, 0),
-        (F.concat(F.lit("mail"), i.cast("string"), F.lit(".example.com")), F.concat(beside, pick(14, 8), F.lit("@")), then, 0.3, 0),
-        (F.concat(word, F.lit("-"), i.cast("string")), F.concat(beside, F.lit("https://example.org/")), then, 0.8, 0),
-        (F.concat(word, i.cast("string")), beside, then, 0.8, 0),
-        (F.concat(F.lit("your-"), word, F.lit("-1")), shown, close, 0.8, 0),
+def planted_findings(docs: DataFrame, text_col: str = "text", path_col: str = "source", max_contexts: int = MAX_CONTEXTS) -> DataFrame:
+    """(path, value, before, after, label): findings of each kind in each of at most `max_contexts` texts, and in a few empty ones.
+
+    Kinds with label 1 hold random keys; those with label 0 checksums, ids, addresses, names of words and numbers, placeholders, and keys
+    in paths of tests.
+    """
+    text, path = F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.coalesce(F.col(path_col).cast("string"), F.lit(""))
+    rows = docs.select(text.alias("text"), path.alias("path")).where(F.length("text") >= 3 * AROUND).withColumn("h", F.xxhash64("text", "path"))
+    rows = rows.orderBy("h", "text", "path").limit(max_contexts).unionByName(docs.sparkSession.range(0, 20, 1, 1).select(F.lit("").alias("text"), F.lit("").alias("path"), F.col("id").alias("h")))
+    draw = lambda k: F.xxhash64("h", F.lit(k))
+    at = F.pmod(draw("at"), F.greatest(F.length("text") - 2 * AROUND, F.lit(1))).cast("int") + 1
+    words = F.filter(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,9}"), F.lit(0))), lambda w: w != "")
+    rows = rows.select(
+        "path",
+        "h",
+        F.regexp_replace(F.substring("text", at, F.lit(AROUND)), r"\S*$", "").alias("left"),
+        F.regexp_replace(F.substring("text", at + AROUND, F.lit(AROUND)), r"^\S*", "").alias("right"),
+        F.concat(words, F.array(*map(F.lit, "river stone letter yesterday garden yellow window market silver".split()))).alias("words"),
+    )
+    one_of = lambda k, *xs: F.element_at(F.array(*map(F.lit, xs)), (F.pmod(draw(k), F.lit(len(xs))) + 1).cast("int"))
+    number = lambda k, n: F.pmod(draw(k), F.lit(n)).cast("string")
+    hexed = lambda k, n: F.substring(F.sha2(F.concat_ws("/", F.col("h").cast("string"), F.lit(k)).cast("binary"), 256), 1, n)
+    b64 = lambda k, n: F.substring(F.base64(F.unhex(F.sha2(F.concat_ws("/", F.col("h").cast("string"), F.lit(k)).cast("binary"), 512))), 1, n)
+    alnum = lambda k, n: F.substring(F.regexp_replace(b64(k, 80), "[^A-Za-z0-9]", ""), 1, n)
+    word = lambda k: F.get("words", F.pmod(draw(k), F.size("words")).cast("int"))
+    slug = lambda k, sep: F.concat_ws(sep, word(k + "1"), word(k + "2"), word(k + "3"))
+    uuid = lambda k: F.regexp_replace(hexed(k, 32), "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")
+    name = one_of("name", "token", "secret", "password", "api_key", "access_key", "secret_key", "auth_token", "client_secret")
+    close = one_of("then", " ", ". ", ", ", "\n", "; ")
+    none, test_path = F.lit(""), F.concat(F.col("path"), one_of("test", "/tests/fixtures/keys.py", "/test_login.py", "/example.env", "/spec/mock.rb"))
+    file = F.concat(F.col("path"), one_of("file", "", "", "/src/config.py", "/.env", "/app/settings.yaml"))
+    quoted = F.concat(name, one_of("equals", ' = "', '="', ' : "', "='"))
+    kinds = [  # value, what stands right before and after it, its path, label
+        (hexed("a", 40), quoted, F.lit('"'), file, 1),
+        (F.upper(hexed("b", 40)), F.upper(quoted), F.lit('"'), file, 1),
+        (hexed("c", 32), F.concat(one_of("url", "https://api.example.org/v1?", "GET /items?page=2&", "?"), name, F.lit("=")), close, file, 1),
+        (F.regexp_replace(b64("d", 36), "=", ""), F.concat(F.upper(name), F.lit("=")), F.lit("\n"), file, 1),
+        (alnum("e", 32), F.concat(F.lit('"'), name, F.lit('": "')), F.lit('",'), file, 1),
+        (b64("f", 43), F.lit("Authorization: Bearer "), F.lit("\n"), file, 1),
+        (F.concat(F.lit("AKIA"), F.upper(alnum("g", 16))), one_of("aws", "", "aws_id=", "key ", "("), close, file, 1),
+        (F.concat(F.lit("ghp_"), alnum("i", 36)), none, close, file, 1),
+        (F.concat(F.lit("sk-"), alnum("j", 40)), none, close, file, 1),
+        (F.concat(alnum("k", 9), one_of("sign", "!", "#", "@", "%"), alnum("l", 4)), quoted, F.lit('"'), file, 1),
+        (alnum("m", 12), F.concat(name, F.lit(": ")), close, file, 1),
+        (hexed("n", 40), one_of("sum", "commit ", "sha1:", "SHA-1 ", "checksum: ", "etag ", "version "), close, file, 0),
+        (hexed("o", 64), one_of("sum2", "sha256:", "digest ", "sha256 = ", "md5/"), close, file, 0),
+        (hexed("p", 40), none, close, file, 0),
+        (b64("q", 64), F.lit('integrity="sha512-'), F.lit('"'), file, 0),
+        (b64("r", 80), one_of("mime", "data:image/png;base64,", "data:font/woff;base64,"), F.lit('"'), file, 0),
+        (uuid("s"), one_of("id", "", "id=", "uuid: ", '"id": "', "/"), close, file, 0),
+        (F.concat(F.lit("mail"), number("t", 90), F.lit(".example.com")), F.concat(word("u"), F.lit("@")), close, file, 0),
+        (F.concat(word("v"), F.lit("."), number("w", 99)), none, F.concat(F.lit("@"), word("x"), F.lit(".example.org")), file, 0),
+        (F.concat(slug("y", "-"), F.lit("-"), number("z", 9999)), one_of("link", "https://example.org/", "/", "href=\"/", ""), close, file, 0),
+        (F.concat(slug("A", "_"), number("B", 99)), none, close, file, 0),
+        (F.concat(word("C"), F.initcap(word("D")), F.initcap(word("E")), number("F", 20)), none, one_of("call", "(", " ", ".", "["), file, 0),
+        (F.concat(one_of("sort", "IMG_", "scan-", "report."), F.lit("2023"), number("G", 9999), F.lit("_"), number("H", 999999), one_of("end", ".jpg", ".pdf", "")), none, close, file, 0),
+        (F.concat(F.lit("2023-0"), number("I", 9), F.lit("-1"), number("J", 9), F.lit("T10.00.00Z")), none, close, file, 0),
+        (F.concat(one_of("made", "your-", "my-", "change-me-", "xxxx-", "test-"), slug("K", "-"), F.lit("-1")), quoted, F.lit('"'), file, 0),
+        (F.concat(F.lit("xxxxxxxxxxxxxxxx"), number("L", 9)), quoted, F.lit('"'), file, 0),
+        (slug("M", "_"), F.concat(name, one_of("of", ": ", " = ")), close, file, 0),
+        (hexed("N", 40), quoted, F.lit('"'), test_path, 0),
+        (alnum("O", 32), F.concat(F.lit('"'), name, F.lit('": "')), F.lit('",'), test_path, 0),
+        (F.concat(F.lit("AKIA"), F.upper(alnum("P", 16))), quoted, F.lit('"'), test_path, 0),
     ]
-    row = F.element_at(F.array(*[F.struct(v.alias("value"), b.alias("before"), a.alias("after"), F.lit(c).alias("covered"), F.lit(y).alias("label")) for v, b, a, c, y in kinds]), (i % len(kinds) + 1).cast("int"))
-    return spark.range(0, n, 1, 1).select(row.alias("r"), F.lit("").alias("path")).select("path", "r.*")
+    texts = F.array(*[
+        F.struct(F.xxhash64("h", F.lit(k)).alias("id"), p.alias("path"), F.concat("left", b, v, a, F.col("right")).alias("text"), v.alias("planted"), F.lit(y).alias("label"))
+        for k, (v, b, a, p, y) in enumerate(kinds)
+    ])
+    planted = saved(rows.select(F.inline(texts)).coalesce(1), "planted")
+    # What is found of a planted value, with a name or an address around it or in part, has its label; what the text had before has none.
+    found = candidates(planted, "id", "text", "path").select("doc_id", "path", "value", "before", "after")
+    of = planted.select("id", "planted", "label")
+    same = F.contains("value", "planted") | F.contains("planted", "value")
+    return found.join(F.broadcast(of), (F.col("doc_id") == F.col("id")) & same).select("path", "value", "before", "after", "label")
 
 
 def findings(docs: DataFrame, labelled: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source", threshold: float = THRESHOLD, max_labelled: int = MAX_LABELLED) -> DataFrame:
@@ -176,20 +215,20 @@ def findings(docs: DataFrame, labelled: DataFrame | None = None, id_col: str = "
 
     A value is judged at each of its places in a document; the highest score counts.
 
-    labelled: (path, value, before, after, label) to learn from, at most `max_labelled` rows in the order of a hash; without it, findings
-    of `docs` that `rule_label` decides, to the same bound. Null and empty texts have no candidates; a null path is an empty one; a null id
-    stays null. Documents that repeat in id and text give their findings once for each row. An empty table gives no rows.
+    labelled: (path, value, before, after, label) to learn from beside planted findings, at most `max_labelled` rows in the order of a hash.
+    Null and empty texts have no candidates; a null path is an empty one; a null id stays null. Documents that repeat in id and text give
+    their findings once for each row. An empty table gives no rows.
     """
-    spark = docs.sparkSession
+    columns = ["path", "value", "before", "after", "label"]
+    known = planted_findings(docs, text_col, path_col).select(*columns)
+    if labelled is not None:
+        known = known.unionByName(labelled.select(*columns).orderBy(F.xxhash64(*columns), *columns).limit(max_labelled))
+    known = saved(known.coalesce(1), "labelled")
     found = saved(candidates(docs, id_col, text_col, path_col), "candidates")
-    asked = found if labelled is None else found.select("value").union(labelled.select("value"))
-    words = saved(known_words(docs, asked, text_col), "known-words")
+    words = saved(known_words(docs, found.select("value").union(known.select("value")), text_col), "known-words")
     found = saved(with_coverage(found, words), "covered")
-    own = rule_label(found) if labelled is None else with_coverage(labelled, words)
-    columns = ["path", "value", "before", "after", "covered", "label"]
-    own = own.select(*columns).orderBy(F.xxhash64(*columns), *columns).limit(max_labelled)
-    train = with_features(own.unionByName(made_findings(spark).select(*columns)))
-    train = saved(train.select(array_to_vector("features").alias("features"), F.col("label").cast("double").alias("label")).coalesce(1), "labelled")
+    train = with_features(with_coverage(known, words)).select(array_to_vector("features").alias("features"), F.col("label").cast("double").alias("label"))
+    train = saved(train.coalesce(1), "training")
     forest = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED, featureSubsetStrategy="sqrt", minInstancesPerNode=2).fit(train)
     scored = forest.transform(with_features(found).withColumn("features", array_to_vector("features")))
     score = F.round(vector_to_array("probability")[1], 6)
