@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from taxaflow.functions.names import UNASSIGNED, barcode_no, is_unassigned
+from taxaflow.shared import not_empty
 
 
 def _positive(ab: DataFrame) -> DataFrame:
@@ -35,7 +36,13 @@ def to_relative(ab: DataFrame) -> DataFrame:
 
 
 def with_taxonomy(ab: DataFrame, taxonomy: DataFrame) -> DataFrame:
-    return ab.join(taxonomy, "taxon_id")
+    """`ab` with the taxonomy of its taxa. If none of them is known but samples are, the table is the other way round; if neither, an error."""
+    joined = ab.join(taxonomy, "taxon_id")
+    if joined.isEmpty():
+        turned = ab.withColumnsRenamed({"sample": "taxon_id", "taxon_id": "sample"}).select(*ab.columns)
+        joined = not_empty(turned.join(taxonomy, turned["taxon_id"].cast("string") == taxonomy["taxon_id"].cast("string")).drop(turned["taxon_id"]), "no taxon of the table has a taxonomy")
+        joined = joined.select("taxon_id", *[c for c in ab.columns if c != "taxon_id"], *[c for c in taxonomy.columns if c != "taxon_id"])
+    return joined
 
 
 def collapse_rank(ab: DataFrame, taxonomy: DataFrame, rank: str) -> DataFrame:

@@ -11,7 +11,8 @@ from .abundance import to_relative
 def alpha(ab: DataFrame, base: float | None = None) -> DataFrame:
     """Observed richness, Chao1, Shannon and Simpson of each sample in one aggregate.
 
-    Shannon is ln N - sum(x ln x) / N, so no second pass is needed for shares; `base` changes its logarithm.
+    Shannon is ln N - sum(x ln x) / N, so no second pass is needed for shares; `base` changes its logarithm. A value that makes a
+    measure NaN is an error when the rows are read.
     """
     x = F.col("value")
     pos = ab.where(x > 0)
@@ -20,12 +21,14 @@ def alpha(ab: DataFrame, base: float | None = None) -> DataFrame:
     )
     f1, f2 = F.col("f1").cast("double"), F.col("f2").cast("double")
     unit = 1.0 if base is None else F.log(F.lit(float(base)))
-    return a.select(
+    out = a.select(
         "sample", "observed",
         (F.col("observed") + F.when(f2 > 0, f1 * f1 / F.nullif(2 * f2, F.lit(0.0))).otherwise(f1 * (f1 - 1) / 2)).alias("chao1"),
         ((F.log("n") - F.col("xlx") / F.col("n")) / unit).alias("shannon"),
         (1 - F.col("xx") / (F.col("n") * F.col("n"))).alias("simpson"),
     )
+    number = ~F.isnan("chao1") & ~F.isnan("shannon") & ~F.isnan("simpson")
+    return out.where(F.assert_true(F.coalesce(number, F.lit(True)), F.concat(F.lit("alpha diversity is NaN in "), F.col("sample").cast("string"))).isNull())
 
 
 def alpha_with_group(ab: DataFrame, groups: DataFrame) -> DataFrame:

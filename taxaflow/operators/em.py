@@ -2,43 +2,58 @@
 
 from __future__ import annotations
 
-import math
-import tempfile
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from taxaflow.shared import forget, saved
 
-def _set_checkpoint_dir(spark: SparkSession) -> None:
-    """The cluster's shared folder; a local one only where none is named (tests)."""
-    sc = spark.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="taxaflow-"))
+#: Abundances (a row for each sample and taxon) up to which they are broadcast to the hits.
+MAX_BROADCAST_ABUNDANCES = 2_000_000
 
 
-def em_abundance(hits: DataFrame, tol: float = 0.01, max_iter: int = 50, checkpoint_every: int = 4) -> DataFrame:
+def em_abundance(hits: DataFrame, tol: float = 0.01, max_iter: int = 50, save_every: int = 5) -> DataFrame:
     """(sample, taxon_id, value) from hits(sample, read_id, taxon_id, loglik).
 
     E: P(t | r) is proportional to f(t) exp(loglik); M: f(t) is the mean of P over the sample's reads. Ends when no sample's log likelihood
-    gains `tol`. Each round is one join and two aggregates; lineage is cut in the shared checkpoint folder.
+    gains `tol` in a round; that is looked at, and lineage cut in the shared folder, every `save_every` rounds. A read's hits are one row,
+    as they are few; reads of a sample with the same hits are one row with their number. Each round is a join and two aggregates.
     """
-    _set_checkpoint_dir(hits.sparkSession)
-    best = hits.groupBy("sample", "read_id").agg(F.max("loglik").alias("top"))
-    like = hits.join(best, ["sample", "read_id"]).select("sample", "read_id", "taxon_id", F.exp(F.col("loglik") - F.col("top")).alias("l"), "top").checkpoint()
-    reads = like.groupBy("sample").agg(F.count_distinct("read_id").alias("n"))
+    of_read = hits.groupBy("sample", "read_id").agg(F.max("loglik").alias("top"), F.sort_array(F.collect_list(F.struct("taxon_id", "loglik"))).alias("h"))
+    of_read = of_read.select("sample", F.transform("h", lambda x: F.struct(x["taxon_id"].alias("taxon_id"), F.exp(x["loglik"] - F.col("top")).alias("l"))).alias("h"), "top")
+    kinds = of_read.groupBy("sample", "h").agg(F.count("*").alias("n"), F.sum("top").alias("top")).withColumn("kind", F.monotonically_increasing_id())
+    kinds = saved(kinds, "hits")
+    like = kinds.select("sample", "kind", "n", F.inline("h"))
+    reads = kinds.groupBy("sample").agg(F.sum("n").alias("reads"), F.sum("top").alias("top"))
     taxa = like.select("sample", "taxon_id").distinct()
-    k = taxa.groupBy("sample").agg(F.count("*").alias("k"))
-    f = taxa.join(k, "sample").select("sample", "taxon_id", (1 / F.col("k")).alias("f"))
-    before = -math.inf
-    for i in range(1, max_iter + 1):
-        joint = like.join(f, ["sample", "taxon_id"]).select("sample", "read_id", "taxon_id", (F.col("f") * F.col("l")).alias("w"), "top")
-        total = joint.groupBy("sample", "read_id").agg(F.sum("w").alias("t"), F.first("top").alias("top"))
-        share = joint.drop("top").join(total, ["sample", "read_id"])
-        f = share.groupBy("sample", "taxon_id").agg(F.sum(F.col("w") / F.col("t")).alias("s")).join(reads, "sample").select("sample", "taxon_id", (F.col("s") / F.col("n")).alias("f"))
-        if i % checkpoint_every == 0:
-            now = total.agg(F.sum(F.log("t") + F.col("top")).alias("ll")).first()["ll"]
-            f = f.checkpoint()
-            if now is None or now - before < tol:
-                break
-            before = now
+    k = taxa.groupBy("sample").agg((1 / F.count("*")).alias("f"))
+    f = saved(taxa.join(k, "sample").select("sample", "taxon_id", "f"), "abundances")
+    small = f.limit(MAX_BROADCAST_ABUNDANCES + 1).count() <= MAX_BROADCAST_ABUNDANCES
+    held, done = f, 0
+
+    def shares(f: DataFrame) -> DataFrame:
+        joint = like.join(F.broadcast(f) if small else f, ["sample", "taxon_id"]).select("sample", "kind", "n", "taxon_id", (F.col("f") * F.col("l")).alias("w"))
+        total = joint.groupBy("sample", "kind").agg(F.sum("w").alias("t"), F.first("n").alias("n"), F.collect_list(F.struct("taxon_id", "w")).alias("of"))
+        return total
+
+    def step(total: DataFrame) -> DataFrame:
+        part = total.select("sample", "n", "t", F.inline("of"))
+        return part.groupBy("sample", "taxon_id").agg(F.sum(F.col("n") * F.col("w") / F.col("t")).alias("s")).join(F.broadcast(reads) if small else reads, "sample").select("sample", "taxon_id", (F.col("s") / F.col("reads")).alias("f"))
+
+    def fit(total: DataFrame, name: str) -> DataFrame:
+        return total.groupBy("sample").agg(F.sum(F.col("n") * F.log("t")).alias(name))
+
+    while done < max_iter:
+        rounds = min(save_every, max_iter - done)
+        for _ in range(rounds - 1):
+            f = step(shares(f))
+        f, done = saved(f, "abundances"), done + rounds - 1
+        forget(held)
+        before = shares(f)
+        f, last = saved(step(before), "abundances"), f
+        done += 1
+        gain = fit(shares(f), "now").join(fit(before, "then"), "sample").agg(F.max(F.col("now") - F.col("then")).alias("gain")).first()["gain"]
+        forget(last)
+        held = f
+        if gain is None or gain < tol:
+            break
     return f.select("sample", "taxon_id", F.col("f").alias("value"))

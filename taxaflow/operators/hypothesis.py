@@ -4,18 +4,30 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from taxaflow.functions.distributions import mann_whitney_p
+from taxaflow.shared import bounded_broadcast, saved
+
+#: Samples with their labels of all permutations, and pairs of samples, up to which they are broadcast.
+MAX_BROADCAST_SAMPLES, MAX_BROADCAST_PAIRS = 5_000, 2_000_000
+
+
+def value_ranks(df: DataFrame, col: str, by: list[str], *sums: Column) -> DataFrame:
+    """(by, col, t, rank, ..): each different value with the number of its rows and their average rank.
+
+    Equal values are counted first, so the window runs over different values and not over rows.
+    """
+    counts = df.groupBy(*by, col).agg(F.count("*").alias("t"), *sums)
+    upto = F.sum("t").over(W.partitionBy(*by).orderBy(col))
+    return counts.withColumn("rank", upto - (F.col("t") - 1) / 2.0)
 
 
 def average_rank(df: DataFrame, col: str, by: list[str]) -> DataFrame:
     """`rank`, ties at their mean, and `t`, the size of each tie."""
-    w = W.partitionBy(*by)
-    ties = F.count("*").over(W.partitionBy(*by, col))
-    return df.withColumn("t", ties).withColumn("rank", F.rank().over(w.orderBy(col)) + (F.col("t") - 1) / 2.0)
+    return df.join(value_ranks(df, col, by), [*by, col])
 
 
 def mann_whitney(df: DataFrame, metrics: list[str], group: str = "grp", pairs: list[tuple[str, str]] | None = None, with_p: bool = True) -> DataFrame:
@@ -24,70 +36,78 @@ def mann_whitney(df: DataFrame, metrics: list[str], group: str = "grp", pairs: l
     values = df.unpivot([group], metrics, "metric", "value").where("value is not null")
     list_of = F.array(*[F.struct(F.lit(a).alias("g1"), F.lit(b).alias("g2")) for a, b in names])
     rows = values.withColumn("p", F.explode(list_of)).select("metric", "p.g1", "p.g2", F.col(group).alias("g"), "value").where("g = g1 or g = g2")
-    ranked = average_rank(rows, "value", ["metric", "g1", "g2"])
+    ranked = value_ranks(rows, "value", ["metric", "g1", "g2"], F.count_if(F.col("g") == F.col("g1")).alias("c1"))
+    t = F.col("t").cast("double")
     out = ranked.groupBy("metric", "g1", "g2").agg(
-        F.count_if(F.col("g") == F.col("g1")).alias("n1"), F.count_if(F.col("g") == F.col("g2")).alias("n2"),
-        F.sum(F.when(F.col("g") == F.col("g1"), F.col("rank"))).alias("r1"), F.sum(F.col("t") * F.col("t") - 1).cast("double").alias("ties"),
+        F.sum("c1").alias("n1"), F.sum(F.col("t") - F.col("c1")).alias("n2"), F.sum(F.col("c1") * F.col("rank")).alias("r1"), F.sum(t * (t * t - 1)).alias("ties"),
     ).where("n1 > 1 and n2 > 1")
     out = out.withColumn("u", F.col("r1") - F.col("n1") * (F.col("n1") + 1) / 2.0)
     cols = ["metric", "g1", "g2", "n1", "n2", "u"]
     return out.select(*cols, mann_whitney_p("u", "n1", "n2", "ties").alias("p")) if with_p else out.select(*cols)
 
 
-def permuted_labels(samples: DataFrame, label: str, n_perm: int, seed: int, by: list[str] | None = None) -> DataFrame:
-    """(by, perm, sample, label) for perm 0 (as given) to n_perm: labels dealt anew in the order of a seeded hash."""
+def label_arrays(samples: DataFrame, label: str, n_perm: int, seed: int, by: list[str] | None = None) -> DataFrame:
+    """(by, sample, labels): each sample's labels in permutations 0 (as given) to n_perm; labels are dealt anew in the order of a seeded hash."""
     by = by or []
     base = samples.select(*by, "sample", F.col(label).alias("label"))
-    w = lambda order: W.partitionBy(*by, "perm").orderBy(*order)
+    own = base.withColumn("k", F.row_number().over(W.partitionBy(*by, F.lit(1)).orderBy("sample")))
     many = base.withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(n_perm))))
     key = F.md5(F.concat_ws("-", F.lit(seed), "perm", "sample").cast("binary"))
-    own = many.select(*by, "perm", "sample", F.row_number().over(w(["sample"])).alias("k"))
-    dealt = many.select(*by, "perm", "label", F.row_number().over(w([key, "sample"])).alias("k"))
-    mixed = own.join(dealt, [*by, "perm", "k"]).select(*by, "perm", "sample", "label")
-    return mixed.unionByName(base.select(*by, F.lit(0).alias("perm"), "sample", "label"))
+    dealt = many.select(*by, "perm", "label", F.row_number().over(W.partitionBy(*by, "perm").orderBy(key, "sample")).alias("k"))
+    dealt = dealt.groupBy(*by, "k").agg(F.sort_array(F.collect_list(F.struct("perm", "label"))).alias("dealt"))
+    return own.join(dealt, [*by, "k"]).select(*by, "sample", F.concat(F.array("label"), F.transform("dealt", lambda x: x["label"])).alias("labels"))
+
+
+def permuted_labels(samples: DataFrame, label: str, n_perm: int, seed: int, by: list[str] | None = None) -> DataFrame:
+    """(by, perm, sample, label) for perm 0 (as given) to n_perm."""
+    return label_arrays(samples, label, n_perm, seed, by).select(*(by or []), "sample", F.posexplode("labels").alias("perm", "label"))
 
 
 def permanova(distances: DataFrame, groups: DataFrame, n_perm: int = 999, seed: int = 42, tol: float = 0.0, by: list[str] | None = None) -> DataFrame:
     """(by, n, k, f, r2, p): one-way, on samples that have a group; p counts permutations with F* >= F - tol.
 
-    distances(by, a, b, d); groups(by, sample, grp). SST sums d2 of all pairs over n; SSW sums those of pairs with one label over the label's size.
+    distances(by, a, b, d); groups(by, sample, grp). SST sums d2 of all pairs over n; SSW sums those of pairs with one label over the label's
+    size. A sample carries its labels of all permutations, as shares 1 / size by a number for each label, so each pair moves once and its
+    terms are added up where it is.
     """
     by = by or []
-    labels = permuted_labels(groups, "grp", n_perm, seed, by)
-    kept = distances.join(groups.select(*by, F.col("sample").alias("a")), [*by, "a"], "left_semi").join(groups.select(*by, F.col("sample").alias("b")), [*by, "b"], "left_semi")
-    d2 = kept.select(*by, "a", "b", (F.col("d") * F.col("d")).alias("q"))
     sizes = groups.groupBy(*by, F.col("grp").alias("label")).agg(F.count("*").alias("ng"))
+    sizes = sizes.withColumn("no", F.row_number().over(W.partitionBy(*by, F.lit(1)).orderBy("label")))
     shape = sizes.groupBy(*by).agg(F.sum("ng").cast("double").alias("n"), F.count("*").cast("double").alias("k"))
-    la = labels.select(*by, "perm", F.col("sample").alias("a"), "label")
-    lb = labels.select(*by, F.col("perm").alias("perm_b"), F.col("sample").alias("b"), F.col("label").alias("label_b"))
-    # Pairs meet each permutation's labels once: all of them add up to SST, those with one label to SSW.
-    pairs = d2.join(la, [*by, "a"]).join(lb, [*by, "b"]).where("perm = perm_b").groupBy(*by, "perm", "label")
-    sums = pairs.agg(F.sum("q").alias("q"), F.sum(F.when(F.col("label") == F.col("label_b"), F.col("q")).otherwise(0.0)).alias("w"))
-    ss = sums.join(sizes, [*by, "label"]).groupBy(*by, "perm").agg(F.sum("q").alias("q"), F.sum(F.col("w") / F.col("ng")).alias("ssw"))
+    numbered = groups.withColumnRenamed("grp", "label").join(sizes, [*by, "label"]).select(*by, "sample", F.struct("no", "ng").alias("of"))
+    labels = bounded_broadcast(saved(label_arrays(numbered, "of", n_perm, seed, by), "labels"), MAX_BROADCAST_SAMPLES)
+    la = labels.select(*by, F.col("sample").alias("a"), F.col("labels").alias("of_a"))
+    lb = labels.select(*by, F.col("sample").alias("b"), F.col("labels").alias("of_b"))
+    d2 = distances.select(*by, "a", "b", (F.col("d") * F.col("d")).alias("q")).join(la, [*by, "a"]).join(lb, [*by, "b"])
+    shares = F.zip_with("of_a", "of_b", lambda x, y: F.when(x["no"] == y["no"], F.lit(1.0) / x["ng"]))
+    ss = d2.select(*by, "q", F.posexplode(shares).alias("perm", "share")).groupBy(*by, "perm").agg(F.sum("q").alias("q"), F.sum(F.col("q") * F.coalesce("share", F.lit(0.0))).alias("ssw"))
     all_of = ss.join(shape, by) if by else ss.crossJoin(F.broadcast(shape))
     all_of = all_of.withColumn("sst", F.col("q") / F.col("n"))
     f = ((F.col("sst") - F.col("ssw")) / (F.col("k") - 1)) / F.nullif(F.col("ssw") / (F.col("n") - F.col("k")), F.lit(0.0))
-    all_of = all_of.withColumn("f", F.round(f, 9))
-    real = all_of.where("perm = 0").select(*by, "n", "k", "f", ((F.col("sst") - F.col("ssw")) / F.col("sst")).alias("r2"))
-    star = all_of.where("perm > 0").select(*by, F.col("f").alias("fs"))
-    joined = star.join(real, by) if by else star.crossJoin(F.broadcast(real))
-    out = joined.groupBy(*by, "n", "k", "f", "r2").agg(((F.count_if(F.col("fs") >= F.col("f") - tol) + 1) / (F.count("*") + 1)).alias("p"))
-    return out.select(*by, F.col("n").cast("long").alias("n"), F.col("k").cast("long").alias("k"), "f", "r2", "p")
+    row = F.struct("n", "k", F.round(f, 9).alias("f"), ((F.col("sst") - F.col("ssw")) / F.col("sst")).alias("r2"))
+    tried = all_of.select(*by, "perm", row.alias("x")).groupBy(*by).agg(F.max(F.when(F.col("perm") == 0, F.col("x"))).alias("real"), F.collect_list(F.when(F.col("perm") > 0, F.col("x.f"))).alias("f"), F.count("*").alias("tried"))
+    more = F.size(F.filter("f", lambda x: x >= F.col("real.f") - tol))
+    return tried.where("real is not null").select(*by, F.col("real.n").cast("long").alias("n"), F.col("real.k").cast("long").alias("k"), "real.f", "real.r2", ((more + 1) / F.col("tried")).alias("p"))
 
 
 def mantel(d1: DataFrame, d2: DataFrame, n_perm: int = 999, seed: int = 42, samples: DataFrame | None = None) -> DataFrame:
     """(n, r, p): Pearson of two distance lists over common pairs; two-sided p by relabelling the second list's samples.
 
-    samples(sample), if given, spares a pass over the first list.
+    Samples are numbered and carry their numbers of all permutations, so each pair of the first list moves once; up to
+    MAX_BROADCAST_PAIRS pairs of the second list are broadcast. samples(sample), if given, spares a pass over the first list.
     """
     names = d1.select(F.col("a").alias("sample")).union(d1.select("b")).distinct() if samples is None else samples.select("sample").distinct()
-    to = permuted_labels(names.select("sample", F.col("sample").alias("name")), "name", n_perm, seed)
-    one = lambda side: to.select(F.col("perm").alias(f"p{side}"), F.col("sample").alias(side), F.col("label").alias(f"to_{side}"))
-    moved = d1.join(one("a"), "a").join(one("b"), "b").where("pa = pb").select(F.col("pa").alias("perm"), F.col("d").alias("x"), F.least("to_a", "to_b").alias("u"), F.greatest("to_a", "to_b").alias("v"))
-    r = moved.join(d2.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"), F.col("d").alias("y")), ["u", "v"]).groupBy("perm").agg(F.round(F.corr("x", "y"), 9).alias("r"), F.count("*").alias("n"))
-    real = r.where("perm = 0").select("n", "r")
-    star = r.where("perm > 0").select(F.col("r").alias("rs")).crossJoin(F.broadcast(real))
-    return star.groupBy("n", "r").agg(((F.count_if(F.abs("rs") >= F.abs("r")) + 1) / (F.count("*") + 1)).alias("p"))
+    names = names.withColumn("no", F.row_number().over(W.partitionBy(F.lit(1)).orderBy("sample")))
+    to = bounded_broadcast(saved(label_arrays(names, "no", n_perm, seed), "labels"), MAX_BROADCAST_SAMPLES)
+    one = lambda side: to.select(F.col("sample").alias(side), F.col("labels").alias(f"to_{side}"))
+    pair = lambda u, v: F.shiftleft(F.least(u, v).cast("long"), 32) + F.greatest(u, v)
+    moved = d1.join(one("a"), "a").join(one("b"), "b").select(F.col("d").alias("x"), F.posexplode(F.zip_with("to_a", "to_b", pair)).alias("perm", "pair"))
+    own = lambda side: to.select(F.col("sample").alias(side), F.col("labels")[0].alias(f"no_{side}"))
+    theirs = d2.join(own("a"), "a").join(own("b"), "b").select(pair(F.col("no_a"), F.col("no_b")).alias("pair"), F.col("d").alias("y"))
+    theirs = bounded_broadcast(saved(theirs, "second-distances"), MAX_BROADCAST_PAIRS)
+    r = moved.join(theirs, "pair").groupBy("perm").agg(F.round(F.corr("x", "y"), 9).alias("r"), F.count("*").alias("n"))
+    tried = r.agg(F.max(F.when(F.col("perm") == 0, F.struct("n", "r"))).alias("real"), F.collect_list(F.when(F.col("perm") > 0, F.col("r"))).alias("rs"), F.count("*").alias("tried"))
+    return tried.where("tried > 0").select("real.n", "real.r", ((F.size(F.filter("rs", lambda x: F.abs(x) >= F.abs(F.col("real.r")))) + 1) / F.col("tried")).alias("p"))
 
 
 def published_subsets(distances: DataFrame, samples: DataFrame, tests: DataFrame, n_perm: int = 999, seed: int = 42) -> DataFrame:

@@ -17,12 +17,23 @@ def depths(ab: DataFrame, n_points: int = 30) -> DataFrame:
     return n.select("sample", "n", F.explode(points).alias("depth"))
 
 
-def draw_order(ab: DataFrame, iterations: int, seed: int) -> DataFrame:
-    """(sample, iter, taxon_id, rank): every counted individual in the order of a seeded hash, without replacement."""
+def first_ranks(ab: DataFrame, iterations: int, seed: int) -> DataFrame:
+    """(sample, iter, taxon_id, depth): the place of each taxon's first individual when all of a sample are put in the order of a seeded hash.
+
+    Individuals are dealt by the hash's first digits into 256 ranges; a place is one within a range and what the ranges before it hold, so
+    no task holds a sample.
+    """
     one = ab.where("value >= 1").select("sample", "taxon_id", F.explode(F.sequence(F.lit(1), F.col("value").cast("int"))).alias("k"))
     many = one.withColumn("iter", F.explode(F.sequence(F.lit(1), F.lit(iterations))))
-    key = F.md5(F.concat_ws("-", F.lit(seed), "iter", "sample", "taxon_id", "k").cast("binary"))
-    return many.select("sample", "iter", "taxon_id", F.row_number().over(W.partitionBy("sample", "iter").orderBy(key)).alias("rank"))
+    many = many.select("sample", "iter", "taxon_id", F.md5(F.concat_ws("-", F.lit(seed), "iter", "sample", "taxon_id", "k").cast("binary")).alias("key"))
+    group = ["sample", "iter", F.substring("key", 1, 2).alias("range")]
+    dealt = many.select(*group, "taxon_id", "key").withColumn("rank", F.row_number().over(W.partitionBy("sample", "iter", "range").orderBy("key")))
+    within = dealt.groupBy("sample", "iter", "range", "taxon_id").agg(F.min("rank").alias("first"), F.max("rank").alias("last"))
+    # The largest rank of a range is its size.
+    w = W.partitionBy("sample", "iter").orderBy("range").rowsBetween(W.unboundedPreceding, -1)
+    sizes = within.groupBy("sample", "iter", "range").agg(F.max("last").alias("size"), F.collect_list(F.struct("taxon_id", "first")).alias("taxa"))
+    placed = sizes.withColumn("before", F.coalesce(F.sum("size").over(w), F.lit(0)))
+    return placed.select("sample", "iter", "before", F.inline("taxa")).groupBy("sample", "iter", "taxon_id").agg(F.min(F.col("before") + F.col("first")).cast("long").alias("depth"))
 
 
 def rarefaction(ab: DataFrame, n_points: int = 30, iterations: int = 10, seed: int = 42) -> DataFrame:
@@ -30,8 +41,7 @@ def rarefaction(ab: DataFrame, n_points: int = 30, iterations: int = 10, seed: i
 
     One order serves all depths of an iteration: a taxon is there from its first rank on, so richness is a running count of first ranks.
     """
-    firsts = draw_order(ab, iterations, seed).groupBy("sample", "iter", "taxon_id").agg(F.min("rank").cast("long").alias("depth"))
-    steps = firsts.groupBy("sample", "depth").agg(F.count("*").alias("new"), F.lit(False).alias("asked"))
+    steps = first_ranks(ab, iterations, seed).groupBy("sample", "depth").agg(F.count("*").alias("new"), F.lit(False).alias("asked"))
     wanted = depths(ab, n_points).select("sample", "depth", F.lit(0).cast("long").alias("new"), F.lit(True).alias("asked"))
     run = F.sum("new").over(W.partitionBy("sample").orderBy("depth").rangeBetween(W.unboundedPreceding, 0))
     both = steps.unionByName(wanted).select("sample", "depth", "asked", (run / iterations).alias("richness"))

@@ -7,29 +7,45 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from taxaflow.functions import sequence as S
+from taxaflow.shared import not_empty
 
 
 def drop_empty(reads: DataFrame) -> DataFrame:
     return reads.where(F.length("seq") > 0)
 
 
-def number_reads(reads: DataFrame, by: str = "sample") -> DataFrame:
-    """`ord`: the place of each read in its file, from 1."""
-    return reads.withColumn("ord", F.row_number().over(W.partitionBy(by).orderBy("read_ord", "read_id")))
+#: Groups that a sample is dealt into before its first rows are chosen.
+SPREAD = 64
+
+
+def first_rows(rows: DataFrame, n: int | Column, by: str, order: list[Column]) -> DataFrame:
+    """The n smallest rows of each `by` in an order that has no ties.
+
+    Only the order's own columns move: the first n of each of `SPREAD` groups, then the first n of those; the last of them is a bound that
+    goes to the rows where they are. No task holds a sample, and no read is shuffled.
+    """
+    key = F.struct(*[c.alias(f"k{i}") for i, c in enumerate(order)])
+    keys = rows.select(F.col(by).alias("of"), key.alias("key"), F.lit(n).alias("n") if isinstance(n, int) else n.alias("n"))
+    rank = lambda *g: F.row_number().over(W.partitionBy(*g).orderBy("key"))
+    some = keys.withColumn("g", F.pmod(F.xxhash64("key"), F.lit(SPREAD))).withColumn("r", rank("of", "g")).where("r <= n")
+    last = some.withColumn("r", rank("of")).where("r <= n").groupBy("of").agg(F.max("key").alias("last"))
+    return rows.join(last, F.col(by).eqNullSafe(F.col("of"))).where(key <= F.col("last")).drop("of", "last")
 
 
 def first_reads(reads: DataFrame, n: int, by: str = "sample") -> DataFrame:
     """The first n non-empty reads of each file."""
-    return number_reads(drop_empty(reads), by).where(F.col("ord") <= n).drop("ord")
+    return first_rows(drop_empty(reads), n, by, [F.col("read_ord"), F.col("read_id")])
 
 
 def count_reads(reads: DataFrame, by: str = "sample") -> DataFrame:
     return reads.groupBy(by).agg(F.count("*").alias("reads"))
 
 
-def min_reads(reads: DataFrame, n: int = 500) -> DataFrame:
-    """The reads of samples that have n or more."""
+def min_reads(reads: DataFrame, n: int = 500, required: bool = True) -> DataFrame:
+    """The reads of samples that have n or more; an error if there is no such sample, unless none is required."""
     enough = count_reads(reads).where(F.col("reads") >= n)
+    if required:
+        not_empty(enough, f"no sample has {n} reads")
     return reads.join(enough, "sample", "left_semi")
 
 
@@ -55,27 +71,42 @@ def primer_share(reads: DataFrame, primers: list[str], window: int = 120, k: int
     return seen.groupBy("sample").agg(F.round(F.avg((hit | tail).cast("double")) * 100, 2).alias("primer_pct"))
 
 
+def _half(cum: str, total: str) -> Column:
+    return F.col(cum) >= F.col(total) / 2
+
+
 def read_stats(reads: DataFrame, primers: list[str] | None = None, window: int = 120, k: int = 2, scan: int = 10_000, offset: int = S.OFFSET) -> DataFrame:
-    """A row for each sample: counts, lengths, N50, GC, qualities, primers; empty reads don't count."""
-    good = drop_empty(reads).select("sample", "seq", F.length("seq").alias("len"), S.gc_count(F.col("seq")).alias("gc"), S.quality_sum(F.col("seq"), F.col("qual"), offset).alias("q"), S.read_mean_q(F.col("seq"), F.col("qual"), offset).alias("mq"))
-    out = good.groupBy("sample").agg(
-        F.count("*").alias("reads"), F.sum("len").cast("long").alias("bases"), F.round(F.avg("len"), 2).alias("mean_length"),
-        F.min("len").cast("long").alias("min_length"), F.max("len").cast("long").alias("max_length"),
-        F.round(F.sum("gc") / F.sum("len") * 100, 2).alias("gc_pct"), F.round(F.sum("q") / F.sum("len"), 2).alias("mean_q"),
-        F.round(F.min("mq"), 2).alias("min_q"), F.round(F.max("mq"), 2).alias("max_q"),
+    """A row for each sample: counts, lengths, N50, GC, qualities, primers; empty reads don't count.
+
+    Reads are added up by sample and length first, so N50 and the rest come from one pass, over the different lengths.
+    """
+    good = drop_empty(reads).select("sample", F.length("seq").cast("long").alias("len"), S.gc_count(F.col("seq")).alias("gc"), S.quality_sum(F.col("seq"), F.col("qual"), offset).alias("q"), S.read_mean_q(F.col("seq"), F.col("qual"), offset).alias("mq"))
+    lens = good.groupBy("sample", "len").agg(F.count("*").alias("n"), F.sum("gc").alias("gc"), F.sum("q").alias("q"), F.min("mq").alias("lo"), F.max("mq").alias("hi"))
+    w, bases = W.partitionBy("sample"), F.sum(F.col("len") * F.col("n"))
+    lens = lens.withColumn("cum", bases.over(w.orderBy(F.desc("len")))).withColumn("total", bases.over(w))
+    out = lens.groupBy("sample").agg(
+        F.sum("n").alias("reads"), F.max("total").alias("bases"), F.round(F.max("total") / F.sum("n"), 2).alias("mean_length"),
+        F.min("len").alias("min_length"), F.max("len").alias("max_length"),
+        F.round(F.sum("gc") / F.max("total") * 100, 2).alias("gc_pct"), F.round(F.sum("q") / F.max("total"), 2).alias("mean_q"),
+        F.round(F.min("lo"), 2).alias("min_q"), F.round(F.max("hi"), 2).alias("max_q"), F.max(F.when(_half("cum", "total"), F.col("len"))).alias("n50"),
     )
-    out = out.join(n50(good, length=F.col("len")), "sample")
     return out.join(primer_share(reads, primers, window, k, scan), "sample", "left") if primers else out
 
 
 def stage_stats(reads: DataFrame, by: str = "sample") -> DataFrame:
-    """Counts, lengths (halves to even), ascending N50 and the mean Q of the mean error probability."""
-    good = drop_empty(reads).select(by, "seq", F.length("seq").alias("len"), S.error_sum(F.col("qual")).alias("err"), F.length("qual").alias("nq"))
-    out = good.groupBy(by).agg(
-        F.count("*").alias("reads"), F.sum("len").cast("long").alias("bases"), F.bround(F.avg("len"), 0).cast("long").alias("mean_length"),
-        F.bround(F.median("len"), 0).cast("long").alias("median_length"), S.phred_from_p(F.sum("err") / F.sum("nq")).alias("mean_q"),
+    """Counts, lengths (halves to even), ascending N50 and the mean Q of the mean error probability; one pass, as in `read_stats`."""
+    good = drop_empty(reads).select(by, F.length("seq").cast("long").alias("len"), S.error_sum(F.col("qual")).alias("err"), F.length("qual").alias("nq"))
+    lens = good.groupBy(by, "len").agg(F.count("*").alias("n"), F.sum("err").alias("err"), F.sum("nq").alias("nq"))
+    w = W.partitionBy(by)
+    sums = {"cum": F.sum(F.col("len") * F.col("n")).over(w.orderBy("len")), "total": F.sum(F.col("len") * F.col("n")).over(w), "upto": F.sum("n").over(w.orderBy("len")), "reads": F.sum("n").over(w)}
+    lens = lens.withColumns(sums)
+    at = lambda k: F.min(F.when(F.col("upto") >= k, F.col("len")))
+    middle = (at(F.floor((F.col("reads") + 1) / 2)) + at(F.floor(F.col("reads") / 2) + 1)) / 2
+    return lens.groupBy(by).agg(
+        F.max("reads").alias("reads"), F.max("total").alias("bases"), F.bround(F.max("total") / F.max("reads"), 0).cast("long").alias("mean_length"),
+        F.bround(middle, 0).cast("long").alias("median_length"), S.phred_from_p(F.sum("err") / F.sum("nq")).alias("mean_q"),
+        F.min(F.when(_half("cum", "total"), F.col("len"))).alias("n50"),
     )
-    return out.join(n50(good, by, "asc", F.col("len")), by)
 
 
 def filter_reads(reads: DataFrame, min_len: int = 1000, max_len: int = 1700, min_mean_q: float = 8.0, min_accuracy_pct: float = 0.0) -> DataFrame:
@@ -137,8 +168,7 @@ def sample_reads(reads: DataFrame, total: int = 120_000, n_samples: int | None =
     """An equal number of reads of each sample, total // n_samples, in the order of a seeded hash."""
     n = reads.select("sample").distinct().count() if n_samples is None else n_samples
     order = F.md5(F.concat_ws("-", F.lit(seed), F.col("read_id")).cast("binary"))
-    ranked = reads.withColumn("draw", F.row_number().over(W.partitionBy("sample").orderBy(order, "read_id")))
-    return ranked.where(F.col("draw") <= total // max(1, n)).drop("draw")
+    return first_rows(reads, total // max(1, n), "sample", [order, F.col("read_id")])
 
 
 def best_file(files: DataFrame, run: str = "run", path: str = "path", clean_mark: str = "clean") -> DataFrame:

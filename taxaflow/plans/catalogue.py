@@ -15,35 +15,21 @@ from taxaflow.operators import diversity as D
 from taxaflow.operators import em, hypothesis, ordination, rarefaction
 from taxaflow.operators import reads as R
 
-from .views import Views, sql
+from . import files  # noqa: F401  its queries register themselves
+from .registry import QUERIES, SQL, query, r6
+from .views import Views
 
-_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-_SQL: dict[str, str] = {}
 PERMUTATIONS, SEED = 999, 42
 FORWARD, REVERSE = "GTACAC", "CATGTA"
-
-
-def query(oracle: str | None = None):
-    def add(f: Callable[[Views], DataFrame]):
-        _QUERIES[f.__name__] = lambda spark, sf_dir: f(Views(spark, sf_dir))
-        if oracle is not None:
-            _SQL[f.__name__] = sql(oracle)
-        return f
-
-    return add
+PRIMERS = ["GTACACGTACGT", "CATGTACATGCA"]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_QUERIES)
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
-
-
-def r6(c: Column | str) -> Column:
-    """Six decimals, without a negative zero."""
-    return F.round(c, 6) + 0.0
+    return dict(SQL)
 
 
 def _q_list(col: str) -> str:
@@ -77,11 +63,11 @@ def _hits(window: str, primers: list[str], k: int) -> str:
 
 @query(
     f""", f as (select *, row_number() over (partition by sample order by read_ord) as ord from good),
-w as (select sample, substr(seq, 1, 40) as h, case when length(seq) > 40 then right(seq, 40) else '' end as t from f where ord <= 10000)
-select sample, round(avg(case when {_hits('h', [FORWARD, REVERSE], 0)} or {_hits('t', [FORWARD, REVERSE], 0)} then 1.0 else 0.0 end) * 100, 2) as primer_pct from w group by 1"""
+w as (select sample, substr(seq, 1, 120) as h, case when length(seq) > 120 then right(seq, 120) else '' end as t from f where ord <= 10000)
+select sample, round(avg(case when {_hits('h', PRIMERS, 2)} or {_hits('t', PRIMERS, 2)} then 1.0 else 0.0 end) * 100, 2) as primer_pct from w group by 1"""
 )
 def primer_share(v: Views) -> DataFrame:
-    return R.primer_share(v.reads, [FORWARD, REVERSE], window=40, k=0)
+    return R.primer_share(v.reads, PRIMERS)
 
 
 @query(_N50 + "select sample, n50 from na50")
@@ -130,7 +116,7 @@ def first_reads(v: Views) -> DataFrame:
 
 @query("select sample, read_id from reads where sample in (select sample from reads group by 1 having count(*) >= 50)")
 def min_reads(v: Views) -> DataFrame:
-    return R.min_reads(v.reads, 50).select("sample", "read_id")
+    return R.min_reads(v.reads, 50, required=False).select("sample", "read_id")
 
 
 @query(f"select sample, read_id from good where length(seq) between 1000 and 1700 and list_sum({_q_list('qual')}) / length(seq) >= 8")
@@ -190,9 +176,9 @@ def run_yield(v: Views) -> DataFrame:
     return R.run_yield(v.summary).withColumns({"mean_q": r6("mean_q"), "mean_length": r6("mean_length")})
 
 
-@query(", n as (select count(distinct sample) as n from reads) select sample, read_id from (select *, row_number() over (partition by sample order by md5('42-' || read_id), read_id) as k from reads) where k <= 200 // (select n from n)")
+@query(", n as (select count(distinct sample) as n from reads) select sample, read_id from (select *, row_number() over (partition by sample order by md5('42-' || read_id), read_id) as k from reads) where k <= 120000 // (select n from n)")
 def sample_reads(v: Views) -> DataFrame:
-    return R.sample_reads(v.reads, 200).select("sample", "read_id")
+    return R.sample_reads(v.reads).select("sample", "read_id")
 
 
 def _files(v: Views) -> DataFrame:
@@ -326,9 +312,9 @@ def prevalence_filter(v: Views) -> DataFrame:
     return A.prevalence_filter(v.sp.withColumn("value", F.col("value") * 0.7), 12, 14)
 
 
-@query("select sample, grp from groups where grp in ('ASIA', 'EUROPE')")
+@query("select c_custkey, c_mktsegment as grp from customer where c_mktsegment in ('BUILDING', 'MACHINERY')")
 def keep_groups(v: Views) -> DataFrame:
-    return A.keep_groups(v.groups, ["ASIA", "EUROPE"])
+    return A.keep_groups(v.table("customer").select("c_custkey", F.col("c_mktsegment").alias("grp")), ["BUILDING", "MACHINERY"])
 
 
 @query("select c_custkey, c_nationkey from customer where c_nationkey in (select c_nationkey from customer group by 1 having count(*) > 60)")
@@ -336,9 +322,9 @@ def min_group_size(v: Views) -> DataFrame:
     return A.min_group_size(v.table("customer"), 60, "c_nationkey").select("c_custkey", "c_nationkey")
 
 
-@query("select grp, count(*) as n from groups group by 1")
+@query("select c_mktsegment as grp, count(*) as n from customer group by 1")
 def group_sizes(v: Views) -> DataFrame:
-    return A.group_sizes(v.groups)
+    return A.group_sizes(v.table("customer").select(F.col("c_mktsegment").alias("grp")))
 
 
 @query("select sample, taxon_id, value from ab where sample in (select sample from groups where grp = 'ASIA')")
@@ -481,9 +467,10 @@ def sample_pairs(v: Views) -> DataFrame:
     return D.sample_pairs(v.ab)
 
 
-@query("select a.sample as a, b.sample as b from groups a join groups b on a.sample <> b.sample")
+@query(", a as (select distinct sample from sp), b as (select distinct l_suppkey::varchar as sample from lineitem where l_returnflag = 'R') select a.sample as a, b.sample as b from a join b on a.sample <> b.sample")
 def cross_pairs(v: Views) -> DataFrame:
-    return D.cross_pairs(v.groups, v.groups)
+    returned = v.table("lineitem").where("l_returnflag = 'R'").select(F.col("l_suppkey").cast("string").alias("sample"))
+    return D.cross_pairs(v.sp, returned)
 
 
 @query("select 'SRR' || sample as sample, taxon_id, value from ab")
@@ -636,9 +623,16 @@ def means_correlation(v: Views) -> DataFrame:
     return _rounded(C.correlation(C.common_taxa(A.mean_profile(A.to_relative(v.s1)), A.mean_profile(A.to_relative(v.s2))), "mine", "theirs", with_p=False), "r")
 
 
-@query()
+# With t = sqrt(n - 2) tan(a) Student's density is a power of cos(a): p is what lies beyond asin(r), by two Simpson sums.
+_ARC = "{top} / 60000 * list_sum(list_transform(range(20001), lambda i: (case when i = 0 or i = 20000 then 1 when i % 2 = 1 then 4 else 2 end) * greatest(cos({top} * i / 20000), 0.0) ^ (n - 3)))"
+
+
+@query(
+    ", c as (select count(*) as n, corr(m1.mean, m2.mean) as r from m1 join m2 using (taxon_id)) "
+    f"select n, round(r, 6) + 0.0 as r, round(1 - ({_ARC.format(top='asin(abs(r))')}) / ({_ARC.format(top='(pi() / 2)')}), 6) + 0.0 as p from c"
+)
 def means_correlation_p(v: Views) -> DataFrame:
-    return C.correlation(C.common_taxa(A.mean_profile(A.to_relative(v.s1)), A.mean_profile(A.to_relative(v.s2))), "mine", "theirs")
+    return _rounded(C.correlation(C.common_taxa(A.mean_profile(A.to_relative(v.s1)), A.mean_profile(A.to_relative(v.s2))), "mine", "theirs"), "r", "p")
 
 
 def _rank_r(rank: str) -> str:
@@ -781,9 +775,21 @@ def _alpha_values(v: Views) -> DataFrame:
     return D.alpha(v.ab).withColumn("observed", F.col("observed").cast("double")).join(v.groups, "sample")
 
 
-@query()
+# Without ties all ways to choose the first group's places are counted; else the normal tail is a Simpson sum.
+@query(
+    _RANKED
+    + """, tie as (select metric, g1, g2, value, count(*) as t from val join gp on g = g1 or g = g2 group by 1, 2, 3, 4), tt as (select metric, g1, g2, sum(t * t * t - t)::double as ties from tie group by 1, 2, 3),
+mw as (select metric, g1, g2, count(*) filter (g = g1) as n1, count(*) filter (g = g2) as n2, (sum(r) filter (g = g1) - count(*) filter (g = g1) * (count(*) filter (g = g1) + 1) / 2.0)::double as u from rk group by 1, 2, 3 having n1 > 1 and n2 > 1),
+mt as (select *, greatest(u, n1 * n2 - u) as top, n1 + n2 as n from mw join tt using (metric, g1, g2)),
+ns as (select distinct n1, n2 from mt where least(n1, n2) <= 8 and ties = 0 and n <= 16), mask as (select n1, n2, unnest(range((1 << (n1 + n2))::bigint)) as m from ns),
+us as (select n1, n2, list_sum(list_transform(range(n1 + n2), lambda i: case when (m >> i) & 1 = 1 then i + 1 else 0 end)) - n1 * (n1 + 1) / 2 as uu from mask where bit_count(m) = n1),
+ex as (select metric, g1, g2, count(*) filter (uu >= ceil(top)) / count(*) as tail from mt join us using (n1, n2) where ties = 0 group by 1, 2, 3),
+z as (select *, (top - n1 * n2 / 2.0 - 0.5) / sqrt(n1 * n2 / 12.0 * ((n + 1) - ties / (n * (n - 1)))) as z from mt)
+select metric, g1, g2, n1, n2, u, round(least(1.0, case when tail is not null then 2 * tail else 1 - 2 * z / 1200 / sqrt(2 * pi()) * list_sum(list_transform(range(401), lambda i: (case when i = 0 or i = 400 then 1 when i % 2 = 1 then 4 else 2 end) * exp(-0.5 * (z * i / 400) ^ 2))) end), 6) + 0.0 as p
+from z left join ex using (metric, g1, g2)"""
+)
 def mann_whitney_p(v: Views) -> DataFrame:
-    return hypothesis.mann_whitney(_alpha_values(v), ["observed", "shannon"])
+    return _rounded(hypothesis.mann_whitney(_alpha_values(v), ["observed", "shannon"]), "p")
 
 
 @query("select metric, round(r, 6) as r, g1, g2, g, count(*) as n from (select metric, g1, g2, g, r from rk) group by 1, 2, 3, 4, 5".join([_RANKED, ""]))
@@ -802,34 +808,52 @@ lab as (select own.perm, own.sample, dealt.label from own join dealt using (perm
 """
 
 
-@query(_perm_labels("groups", "grp", 5) + "select perm::integer as perm, sample, label from lab")
+@query(", sup as (select s_suppkey::varchar as sample, s_nationkey as grp from supplier)" + _perm_labels("sup", "grp", PERMUTATIONS) + "select perm::integer as perm, sample, label from lab")
 def permuted_labels(v: Views) -> DataFrame:
-    return hypothesis.permuted_labels(v.groups, "grp", 5, SEED).select("perm", "sample", "label")
+    suppliers = v.table("supplier").select(F.col("s_suppkey").cast("string").alias("sample"), F.col("s_nationkey").alias("grp"))
+    return hypothesis.permuted_labels(suppliers, "grp", PERMUTATIONS, SEED).select("perm", "sample", "label")
 
 
-@query(
+_PERMANOVA = (
     _perm_labels("groups", "grp", PERMUTATIONS)
     + """, sz as (select grp as label, count(*) as ng from groups group by 1), nk as (select count(*)::double as n, count(distinct grp)::double as k from groups), st as (select sum(d * d) / (select n from nk) as sst from bc),
 sw as (select perm, sum(q / ng) as ssw from (select x.perm, x.label, sum(d * d) as q from bc join lab x on x.sample = bc.a join lab y on y.sample = bc.b and y.perm = x.perm and y.label = x.label group by 1, 2) join sz using (label) group by 1),
 f as (select perm, round(((sst - ssw) / (k - 1)) / (ssw / (n - k)), 9) as f, (sst - ssw) / sst as r2, n, k from sw, st, nk), z as (select * from f where perm = 0)
 select z.n::bigint as n, z.k::bigint as k, round(z.f, 6) + 0.0 as f, round(z.r2, 6) + 0.0 as r2, round((count(*) filter (f.f >= z.f - sqrt(2.220446049250313e-16)) + 1) / (count(*) + 1), 6) as p from f, z where f.perm > 0 group by z.n, z.k, z.f, z.r2"""
 )
+
+
+@query(_PERMANOVA)
 def permanova(v: Views) -> DataFrame:
     return _rounded(hypothesis.permanova(D.bray_curtis(v.ab), v.groups, PERMUTATIONS, SEED, tol=2.220446049250313e-16**0.5), "f", "r2", "p")
 
 
+def _strict(body: str) -> str:
+    return body.replace(" - sqrt(2.220446049250313e-16)", "")
+
+
+@query(_strict(_PERMANOVA))
+def permanova_strict(v: Views) -> DataFrame:
+    return _rounded(hypothesis.permanova(D.bray_curtis(v.ab), v.groups, PERMUTATIONS, SEED), "f", "r2", "p")
+
+
 @query(
-    """, sub as (select n_nationkey::varchar as sample, case when n_nationkey % 2 = 0 then 'bag' else 'bulk' end as type, 1 as time, case when n_nationkey % 3 = 0 then 'x' else 'y' end as grp from nation),
+    f""", sub as (select n_nationkey::varchar as sample, case when n_nationkey % 2 = 0 then 'bag' else 'bulk' end as type, 1 as time, case when n_nationkey % 3 = 0 then 'x' else 'y' end as grp from nation),
 dd as (select s.type, s.time, bc.* from bc join sub s on s.sample = bc.a join sub t on t.sample = bc.b and t.type = s.type), nk as (select type, time, count(*)::double as n, count(distinct grp)::double as k from sub group by 1, 2), sz as (select type, time, grp, count(*) as ng from sub group by 1, 2, 3),
-st as (select type, time, sum(d * d) as q from dd group by 1, 2), sw as (select type, time, sum(q / ng) as ssw from (select dd.type, dd.time, x.grp, sum(d * d) as q from dd join sub x on x.sample = dd.a join sub y on y.sample = dd.b and y.grp = x.grp group by 1, 2, 3) join sz using (type, time, grp) group by 1, 2)
-select type, time, n::bigint as n, k::bigint as k, round(((q / n - ssw) / (k - 1)) / (ssw / (n - k)), 6) + 0.0 as f, round((q / n - ssw) / (q / n), 6) + 0.0 as r2, 0.1 as published_r2 from st join nk using (type, time) join sw using (type, time)"""
+many as (select p.perm, sub.* from sub, (select unnest(range(1, {PERMUTATIONS + 1})) as perm) p), own as (select type, time, perm, sample, row_number() over (partition by type, time, perm order by sample) as k from many),
+dealt as (select type, time, perm, grp, row_number() over (partition by type, time, perm order by md5('{SEED}-' || perm || '-' || sample), sample) as k from many),
+lab as (select type, time, perm, sample, grp from own join dealt using (type, time, perm, k) union all select type, time, 0, sample, grp from sub),
+st as (select type, time, sum(d * d) as q from dd group by 1, 2), sw as (select type, time, perm, sum(q / ng) as ssw from (select dd.type, dd.time, x.perm, x.grp, sum(d * d) as q from dd join lab x on x.sample = dd.a join lab y on y.sample = dd.b and y.perm = x.perm and y.grp = x.grp group by 1, 2, 3, 4) join sz using (type, time, grp) group by 1, 2, 3),
+f as (select type, time, perm, n, k, round(((q / n - ssw) / (k - 1)) / (ssw / (n - k)), 9) as f, (q / n - ssw) / (q / n) as r2 from st join nk using (type, time) join sw using (type, time)), z as (select * from f where perm = 0)
+select z.type, z.time, z.n::bigint as n, z.k::bigint as k, round(z.f, 6) + 0.0 as f, round(z.r2, 6) + 0.0 as r2, round((count(*) filter (f.f >= z.f) + 1) / (count(*) + 1), 6) as p, 0.1 as published_r2, 0.05 as published_p
+from z join f on f.type = z.type and f.time = z.time and f.perm > 0 group by z.type, z.time, z.n, z.k, z.f, z.r2"""
 )
 def published_subsets(v: Views) -> DataFrame:
     k = F.col("n_nationkey")
     s = v.table("nation").select(k.cast("string").alias("sample"), F.when(k % 2 == 0, "bag").otherwise("bulk").alias("type"), F.lit(1).alias("time"), F.when(k % 3 == 0, "x").otherwise("y").alias("grp"))
     tests = s.select("type", "time").distinct().withColumn("published_r2", F.lit(0.1)).withColumn("published_p", F.lit(0.05))
-    out = hypothesis.published_subsets(D.bray_curtis(v.ab), s, tests, n_perm=99)
-    return _rounded(out, "f", "r2").select("type", "time", "n", "k", "f", "r2", "published_r2")
+    out = hypothesis.published_subsets(D.bray_curtis(v.ab), s, tests, PERMUTATIONS)
+    return _rounded(out, "f", "r2", "p").select("type", "time", "n", "k", "f", "r2", "p", "published_r2", "published_p")
 
 
 @query(

@@ -95,7 +95,7 @@ class FastqReader(DataSourceReader):
         if part.end is None:
             with fs.open_input_stream(part.path, compression=None) as raw, gzip.open(raw) as f:
                 for k, (head, seq, qual) in enumerate(records(f)):
-                    yield part.path, k, head[1:].decode().split(" ")[0], seq.decode(), qual.decode()
+                    yield part.path, k, head[1:].decode(errors="ignore").split(" ")[0], seq.decode(errors="ignore"), qual.decode(errors="ignore")
             return
         with fs.open_input_file(part.path) as f:
             before = max(0, part.start - 1)
@@ -116,7 +116,7 @@ class FastqReader(DataSourceReader):
                 lines = [text.readline() for _ in range(4)]
                 if not lines[3]:
                     return
-                yield part.path, at, lines[0].strip()[1:].decode().split(" ")[0], lines[1].strip().decode(), lines[3].strip().decode()
+                yield part.path, at, lines[0].strip()[1:].decode(errors="ignore").split(" ")[0], lines[1].strip().decode(errors="ignore"), lines[3].strip().decode(errors="ignore")
                 at += sum(map(len, lines))
 
 

@@ -57,6 +57,34 @@ def write_by_barcode(reads: DataFrame, path: str, by: str = "sample") -> None:
     reads.write.mode("overwrite").partitionBy(by).parquet(path)
 
 
+def _rename(df: DataFrame, path: str, ending: str, name) -> None:
+    """Gives the part files under `path` that end in `ending` the name that `name(file, number)` says; the files of one write are few."""
+    spark = df.sparkSession
+    jvm = spark._jvm
+    top = jvm.org.apache.hadoop.fs.Path(path)
+    fs = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    found, files = fs.listFiles(top, True), []
+    while found.hasNext():
+        file = found.next().getPath()
+        if file.getName().startswith("part-") and file.getName().endswith(ending):
+            files.append(file)
+    for k, file in enumerate(sorted(files, key=lambda f: f.toString())):
+        fs.rename(file, jvm.org.apache.hadoop.fs.Path(name(file, k)))
+
+
+def write_fastq(reads: DataFrame, path: str, by: str = "sample") -> None:
+    """FASTQ files in a folder for each sample, as many as tasks have reads of it."""
+    record = F.concat(F.lit("@"), "read_id", F.lit("\n"), "seq", F.lit("\n+\n"), "qual")
+    reads.select(by, record.alias("value")).write.mode("overwrite").partitionBy(by).text(path)
+    _rename(reads, path, ".txt", lambda f, k: f"{f.getParent()}/{k:06d}.fastq")
+
+
+def write_sample_tables(rows: DataFrame, path: str, by: str = "sample", suffix: str = ".tsv") -> None:
+    """A table with a header for each sample, named after it."""
+    rows.repartition(by).write.mode("overwrite").partitionBy(by).csv(path, sep="\t", header=True)
+    _rename(rows, path, ".csv", lambda f, _: f"{path}/{f.getParent().getName().split('=', 1)[1]}{suffix}")
+
+
 def taxonomy_rows(taxonomy: DataFrame, key: str = "taxon_id", lineage: str = "lineage", order: str = "ord") -> DataFrame:
     """One lineage for each id, the last seen."""
     return taxonomy.groupBy(key).agg(F.max_by(lineage, order).alias(lineage))

@@ -73,7 +73,7 @@ def count_column(sums: dict[str, float]) -> str | None:
     return named[0] if named else next((c for c, s in sums.items() if s is not None and s > 1.1 and c != "tax_id"), None)
 
 
-def read_abundance(spark: SparkSession, path: str, kind: str = "relative", rank: str = "species", style: str = "accession") -> DataFrame:
+def read_abundance(spark: SparkSession, path: str | list[str], kind: str = "relative", rank: str = "species", style: str = "accession") -> DataFrame:
     """(sample, taxon_id, the ranks there are, value) of per-sample tables; the value column is found by one aggregate over a sample's file."""
     df = normalise_ranks(spark.read.csv(path, sep="\t", header=True)).withColumn("__file", F.col("_metadata.file_path"))
     numeric = [c for c in df.columns if c not in (*RANKS, "__file")]
@@ -85,6 +85,26 @@ def read_abundance(spark: SparkSession, path: str, kind: str = "relative", rank:
     return df.select(sample_name(F.col("__file"), style).alias("sample"), taxon_id(rank, tax, F.col(rank)).alias("taxon_id"), *[r for r in RANKS if r in df.columns], F.coalesce(F.col(f"`{col}`").try_cast("double"), F.lit(0.0)).alias("value"))
 
 
+def file_role(path: str) -> str | None:
+    """What a per-sample table holds, by its name: relative, counts or assignments."""
+    name = path.rsplit("/", 1)[-1].lower()
+    if "rel" in name and "abundance" in name:
+        return "relative"
+    return "counts" if "count" in name else "assignments" if "assign" in name else None
+
+
+def find_roles(spark: SparkSession, folder: str, pattern: str = "*.tsv") -> dict[str, list[str]]:
+    """The tables of a folder by their role, in the order of their names; without a relative one an error."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder).select("path")
+    out: dict[str, list[str]] = {"relative": [], "counts": [], "assignments": []}
+    for path in sorted(r["path"] for r in files.collect()):
+        if role := file_role(path):
+            out[role].append(path)
+    if not out["relative"]:
+        raise ValueError(f"no table of relative abundances in {folder}")
+    return out
+
+
 def read_runs(spark: SparkSession, paths: list[str], key: str = "Run") -> DataFrame:
     """Run tables as one: runs that begin with SRR, the first row of each."""
     tables = [valid_runs(read_table_find_header(spark, p, key, sniff(spark, p)), key) for p in paths]
