@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
-from weakref import WeakKeyDictionary
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from taxaflow.shared import _PATHS, bounded_broadcast, forget, new_path, saved, shared_dir
+
+__all__ = ["_PATHS", "bounded_broadcast", "connected_components", "decisions", "forget", "let", "new_path", "row_key", "saved", "shared_dir", "table"]
+
 #: Words are runs of anything but ASCII white space.
 SPACE_CLASS = "[\\x20\\x09-\\x0D]"
 
@@ -18,48 +19,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Only a local master may do without, with a new folder of its own."""
-    sc = spark.sparkContext
-    if not sc.getCheckpointDir():
-        shared = sc.getConf().get("spark.checkpoint.dir")
-        if not shared and not sc.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="taxaflow-"))
-    return sc.getCheckpointDir()
-
-
-def new_path(spark: SparkSession, what: str) -> str:
-    """A path in the shared folder that no other run uses."""
-    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-
-
-def saved(df: DataFrame, what: str) -> DataFrame:
-    """Written as Parquet in the shared folder and read again: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = new_path(spark, what)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    _PATHS[out] = path
-    return out
-
-
-#: Where tables of `saved` lie, as long as they are in use.
-_PATHS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
-
-
-def forget(df: DataFrame) -> None:
-    """Deletes a table of `saved` that nothing will read again."""
-    spark, path = df.sparkSession, _PATHS.pop(df)
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-
-
-def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
-    """`df` marked for broadcast if it has at most `max_rows` rows; else as it is, for a shuffled join."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
-
-
 #: Decisions (an id, a key and what was found in a row) up to which they go to the rows; beyond, rows and decisions are shuffled.
 MAX_BROADCAST_DECISIONS = 400_000
 

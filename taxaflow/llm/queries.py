@@ -18,46 +18,55 @@ def vocabulary() -> str:
 
 
 def op1_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base columns and the verdict of every document; edge cases as in `quality.quality`."""
     return quality.quality(table(spark, sf_dir, "documents")).drop("row_key", "removed_lines")
 
 
 def op2_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that overlap a benchmark item, with the item; those that don't have no row. Edge cases as in `decontaminate.overlaps`."""
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op3_capture_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as read back from the archives through the index; edge cases as in `warc.round_trip`."""
     return warc.round_trip(spark, table(spark, sf_dir, "pages"))
 
 
 def op4_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Values leave as digests only."""
+    """Every candidate of every document with its verdict; values leave as digests only. Edge cases as in `secrets.findings`."""
     found = secrets.findings(table(spark, sf_dir, "documents"))
     digest = F.sha2(F.col("value").cast("binary"), 256).alias("value_sha256")
     return found.select("doc_id", "at", F.length("value").cast("long").alias("length"), "times", digest, "score", "is_secret")
 
 
 def op5_anchor_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and spans of personal data in every document; edge cases as in `pii.personal_data`."""
     return pii.personal_data(table(spark, sf_dir, "documents"))
 
 
 def op6_boosted_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A score for every document, learnt from labels that aren't held out; edge cases as in `toxicity.toxicity`."""
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op7_dp_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of every document and where they lie; edge cases as in `packing.pack`."""
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary())
 
 
 def op8_segment_popcount(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document; edge cases as in `simhash.near_duplicates`."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def op9_grammar_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation formatted and read back; edge cases as in `chat.format_conversations`."""
     return chat.op9(spark, sf_dir)
 
 
 def op10_consensus_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page; edge cases as in `html.main_text`."""
     return html.main_text(table(spark, sf_dir, "pages"))
 
 

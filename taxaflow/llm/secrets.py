@@ -52,6 +52,7 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     A row for each place of the value that differs in `before` or `after`; `at` is the value's first place. Places inside a longer run of
     letters and digits are another value's, so they don't count. Rows of `docs` that repeat differ in `row`. The text itself isn't carried along.
+    Null and empty texts have no candidates; a null path is an empty one, a null id stays null. An empty table gives no rows.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(path_col).cast("string"), F.lit("")).alias("path"), F.col(text_col).cast("string").alias("text"))
     text = F.col("text")
