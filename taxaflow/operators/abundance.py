@@ -39,9 +39,10 @@ def with_taxonomy(ab: DataFrame, taxonomy: DataFrame) -> DataFrame:
     """`ab` with the taxonomy of its taxa. If none of them is known but samples are, the table is the other way round; if neither, an error."""
     joined = ab.join(taxonomy, "taxon_id")
     if joined.isEmpty():
-        turned = ab.withColumnsRenamed({"sample": "taxon_id", "taxon_id": "sample"}).select(*ab.columns)
-        joined = not_empty(turned.join(taxonomy, turned["taxon_id"].cast("string") == taxonomy["taxon_id"].cast("string")).drop(turned["taxon_id"]), "no taxon of the table has a taxonomy")
-        joined = joined.select("taxon_id", *[c for c in ab.columns if c != "taxon_id"], *[c for c in taxonomy.columns if c != "taxon_id"])
+        other = {"sample": "taxon_id", "taxon_id": "sample"}
+        turned = ab.select(*[F.col(other.get(c, c)).alias(c) for c in ab.columns])
+        known = taxonomy.withColumnRenamed("taxon_id", "of")
+        joined = not_empty(turned.join(known, F.col("taxon_id").cast("string") == F.col("of").cast("string")).drop("of"), "no taxon of the table has a taxonomy")
     return joined
 
 
