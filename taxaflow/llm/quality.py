@@ -128,8 +128,8 @@ def quality(
     if keep_first:
         hit = hit.where(~F.coalesce(hit["doc_id"] == hit["first_doc"], F.lit(False)))
     # Rows that repeat have the same places: each place counts once.
-    once = hit.select(F.col("key").alias("hit_key"), F.col("doc_id").alias("hit_doc"), "pos", "n").distinct()
-    removed = once.groupBy("hit_key", "hit_doc").agg(F.sum("n").alias("removed"), F.sort_array(F.collect_list("pos")).alias("removed_lines"))
+    removed = hit.groupBy(F.col("key").alias("hit_key"), F.col("doc_id").alias("hit_doc")).agg(F.sort_array(F.collect_set(F.struct("pos", "n"))).alias("at"))
+    removed = removed.select("hit_key", "hit_doc", F.aggregate("at", F.lit(0), lambda s, x: s + x["n"]).alias("removed"), F.transform("at", lambda x: x["pos"]).alias("removed_lines"))
     base = base_measures(rows)
     out = base.join(removed, (base["key"] == removed["hit_key"]) & base["doc_id"].eqNullSafe(removed["hit_doc"]), "left")
     return out.select(
