@@ -40,15 +40,14 @@ def fasta_records(v: Views) -> DataFrame:
     return fastq.read_fasta(v.spark, path).select("name", F.length("seq").cast("long").alias("bases"), F.md5(F.col("seq").cast("binary")).alias("seq"))
 
 
-_FILES = ", fl as (select s_suppkey % 110 as no, '/run/' || case when s_suppkey % 7 = 0 then 'other' else 'barcode' || lpad((s_suppkey % 110)::varchar, 2, '0') end || '/' || s_name || '.bam' as file from supplier)"
+_FILES = ", fl as (select s_nationkey as no, '/run/' || case when s_acctbal < 0 then 'other' else 'barcode' || lpad(s_nationkey::varchar, 2, '0') end || '/' || s_name || '.bam' as file from supplier)"
 
 
-@query(_FILES + " select 'barcode' || lpad(no::varchar, 2, '0') as barcode, min(file) as file from fl where file like '%barcode%' and no between 1 and 73 group by no")
+@query(_FILES + " select 'barcode' || lpad(no::varchar, 2, '0') as barcode, min(file) as file from fl where file like '%barcode%' and no between 1 and 20 group by no")
 def barcode_layout(v: Views) -> DataFrame:
-    """SRC-4."""
-    no = F.col("s_suppkey") % 110
-    folder = F.when(F.col("s_suppkey") % 7 == 0, "other").otherwise(F.format_string("barcode%02d", no))
-    return fastq.samples_from_layout(v.table("supplier").select(F.concat(F.lit("/run/"), folder, F.lit("/"), "s_name", F.lit(".bam")).alias("file")), 73)
+    """SRC-4: the first file of each barcode folder, up to barcode 20."""
+    folder = F.when(F.col("s_acctbal") < 0, "other").otherwise(F.format_string("barcode%02d", "s_nationkey"))
+    return fastq.samples_from_layout(v.table("supplier").select(F.concat(F.lit("/run/"), folder, F.lit("/"), "s_name", F.lit(".bam")).alias("file")), 20)
 
 
 _NAMED = "'species|' || taxon_id || '|part ' || taxon_id"
@@ -64,12 +63,12 @@ def abundance_files(v: Views) -> DataFrame:
     return tables.read_abundance(v.spark, found).select("sample", "taxon_id", r6("value").alias("value"))
 
 
-@query("select s_suppkey as no, s_name as reads from supplier where s_suppkey % 3 <> 0")
+@query("select s_suppkey as no, s_name as reads from supplier where s_acctbal >= 0")
 def header_below(v: Views) -> DataFrame:
     """SRC-6: a header on the third row."""
     path = _path(v, "statistics")
     head = v.spark.createDataFrame([(0, "Report"), (1, ""), (2, "Muestra\t reads ")], "ord long, value string")
-    body = v.table("supplier").select(F.col("s_suppkey").alias("n"), F.concat(F.when(F.col("s_suppkey") % 3 == 0, "other").otherwise("SRR"), F.lpad(F.col("s_suppkey").cast("string"), 8, "0"), F.lit("_x")).alias("run"), "s_name")
+    body = v.table("supplier").select(F.col("s_suppkey").alias("n"), F.concat(F.when(F.col("s_acctbal") < 0, "other").otherwise("SRR"), F.lpad(F.col("s_suppkey").cast("string"), 8, "0"), F.lit("_x")).alias("run"), "s_name")
     rows = head.unionByName(body.select((F.col("n") + 10).alias("ord"), F.concat_ws("\t", "run", "s_name").alias("value")))
     rows.repartition(1).sortWithinPartitions("ord").select("value").write.text(path)
     return tables.read_statistics(v.spark, path).select(F.regexp_extract("run", "^SRR0*([0-9]+)$", 1).cast("long").alias("no"), "reads")
@@ -92,7 +91,7 @@ def feature_table(v: Views) -> DataFrame:
     return tables.read_feature_table(v.spark, path)
 
 
-_RUNS = ", r as (select 'SRR' || o_orderkey as run, o_orderstatus as status, 0 as t from orders where o_orderkey % 2 = 0 union all select case when o_orderkey % 5 = 0 then 'x' else 'SRR' end || o_orderkey, o_orderpriority, 1 from orders where o_orderkey % 3 = 0)"
+_RUNS = ", r as (select 'SRR' || o_orderkey as run, o_orderstatus as status, 0 as t from orders where o_orderstatus <> 'O' union all select case when o_orderpriority = '1-URGENT' then 'x' else 'SRR' end || o_orderkey, o_orderpriority, 1 from orders)"
 
 
 @query(_RUNS + " select run as \"Run\", arg_min(status, t) as status from r where run like 'SRR%' group by run")
@@ -100,8 +99,8 @@ def run_tables(v: Views) -> DataFrame:
     """SRC-9: two run tables; of a run that both have the first one's row."""
     key, paths = F.col("o_orderkey"), [_path(v, "runs"), _path(v, "runs")]
     orders = v.table("orders")
-    sinks.write_table(orders.where(key % 2 == 0).select(F.concat(F.lit("SRR"), key).alias("Run"), F.col("o_orderstatus").alias("status")), paths[0], "tsv")
-    sinks.write_table(orders.where(key % 3 == 0).select(F.concat(F.when(key % 5 == 0, "x").otherwise("SRR"), key).alias("Run"), F.col("o_orderpriority").alias("status")), paths[1], "csv")
+    sinks.write_table(orders.where("o_orderstatus <> 'O'").select(F.concat(F.lit("SRR"), key).alias("Run"), F.col("o_orderstatus").alias("status")), paths[0], "tsv")
+    sinks.write_table(orders.select(F.concat(F.when(F.col("o_orderpriority") == "1-URGENT", "x").otherwise("SRR"), key).alias("Run"), F.col("o_orderpriority").alias("status")), paths[1], "csv")
     return tables.read_runs(v.spark, paths)
 
 
@@ -113,20 +112,20 @@ def sample_list(v: Views) -> DataFrame:
     return tables.read_sample_list(v.spark, path)
 
 
-@query("select c_custkey::varchar as sample, floor(c_acctbal)::bigint as total from customer where c_custkey % 4 <> 0")
+@query("select c_custkey::varchar as sample, floor(c_acctbal)::bigint as total from customer where c_mktsegment <> 'BUILDING'")
 def read_totals(v: Views) -> DataFrame:
     """SRC-11: totals cut to whole numbers; what isn't a number doesn't count."""
     path = _path(v, "totals")
-    value = F.when(F.col("c_custkey") % 4 == 0, "none").otherwise(F.col("c_acctbal").cast("string"))
+    value = F.when(F.col("c_mktsegment") == "BUILDING", "none").otherwise(F.col("c_acctbal").cast("string"))
     v.table("customer").select(F.col("c_custkey").alias("barcode"), value.alias("reads")).write.csv(path, sep="\t", header=True)
     return tables.read_totals(v.spark, path, "reads")
 
 
-@query("select c_nationkey::varchar as sample, min(c_name) as fastq from customer where c_custkey < 40 group by 1 having count(*) = 1")
+@query("select o_custkey::varchar as sample, min(o_orderkey)::varchar as fastq from orders group by 1 having count(*) = 1")
 def manifest(v: Views) -> DataFrame:
     """SRC-12: samples with one path."""
     path = _path(v, "manifest")
-    v.table("customer").where("c_custkey < 40").select(F.col("c_nationkey").alias("sample"), F.col("c_name").alias("fastq")).write.csv(path, sep="\t", header=True)
+    v.table("orders").select(F.col("o_custkey").alias("sample"), F.col("o_orderkey").alias("fastq")).write.csv(path, sep="\t", header=True)
     return tables.read_manifest(v.spark, path)
 
 
