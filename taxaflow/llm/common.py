@@ -23,9 +23,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 MAX_BROADCAST_DECISIONS = 400_000
 
 
-def decisions(df: DataFrame, what: str, max_rows: int = MAX_BROADCAST_DECISIONS) -> DataFrame:
-    """A few columns for the rows that a filter concerns, saved, and broadcast if they are few: texts then stay where they are."""
-    return bounded_broadcast(saved(df, what), max_rows)
+def decisions(df: DataFrame, what: str, max_rows: int = MAX_BROADCAST_DECISIONS, weight: Column | None = None) -> DataFrame:
+    """A few columns for the rows that a filter concerns, saved, and broadcast if they are few: texts then stay where they are.
+
+    Rows of different sizes have a `weight`, which is added up against the bound.
+    """
+    kept = saved(df, what)
+    if weight is None:
+        return bounded_broadcast(kept, max_rows)
+    return F.broadcast(kept) if (kept.agg(F.sum(weight)).first()[0] or 0) <= max_rows else kept
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

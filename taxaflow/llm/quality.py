@@ -160,7 +160,8 @@ def apply_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     found = quality(docs, id_col, text_col, host_col, **options).where("not kept or removed_lines is not null")
     found = found.select(F.col("doc_id").alias("__id"), F.col("row_key").alias("__key"), F.col("kept").alias("__kept"), F.when(F.col("kept"), F.col("removed_lines")).alias("__places"))
-    found = decisions(found.dropDuplicates(["__id", "__key"]), "rejected", MAX_BROADCAST_DECISIONS // 4)  # a row holds its places too
+    # A row holds its places too, of four bytes each.
+    found = decisions(found.dropDuplicates(["__id", "__key"]), "rejected", MAX_BROADCAST_DECISIONS, 1 + F.coalesce(F.size("__places"), F.lit(0)) / 8)
     text = docs[text_col].cast("string")
     key = row_key(docs[id_col].cast("long"), docs[host_col].cast("string"), F.coalesce(text, F.lit("")))
     joined = docs.join(found, (key == found["__key"]) & docs[id_col].cast("long").eqNullSafe(found["__id"]), "left")

@@ -45,6 +45,15 @@ def test_overlaps_by_every_join(spark, broadcast):
     assert {r["doc_id"] for r in decontaminate.decontaminate(rows, items, max_broadcast_rows=broadcast).collect()} == {3, 5}
 
 
+def test_decisions_beyond_their_bound(spark, monkeypatch):
+    rows = docs(spark, [(i, "A line that many hold\n" + "\n".join(" ".join(prose(10 * i + k, 9)) for k in range(4)), "a") for i in range(25)])
+    runs = []
+    for bound in (400_000, 0):
+        monkeypatch.setattr(quality, "MAX_BROADCAST_DECISIONS", bound)
+        runs.append(sorted((r["doc_id"], r["text"], r["n_chars"]) for r in quality.apply_rules(rows).collect()))
+    assert runs[0] == runs[1] and len(runs[0]) == 25 and not any("many hold" in t for _, t, _ in runs[0])
+
+
 def jaccard(a: str, b: str) -> float:
     sets = []
     for t in (a, b):
