@@ -82,7 +82,7 @@ def overlaps(
     hits = seed_hits(source, items, max_broadcast_rows).select(*pair, "pos", "item_pos").distinct()
     hits = decisions(hits.select(*[F.col(c).alias(f"hit_{c}") for c in pair], "pos", "item_pos"), "hits", max_broadcast_rows)
     same_row = (F.col("row_key") == F.col("hit_row_key")) & F.col("doc_id").eqNullSafe(F.col("hit_doc_id"))
-    read = source.join(hits, same_row, "left_semi").select("doc_id", "row_key", word_hashes(F.col("text")).alias("words")).distinct()
+    read = source.join(hits, same_row, "left_semi").select("doc_id", "row_key", word_hashes(F.col("text")).alias("words"))
     window = lambda words, pos: F.slice(words, F.col(pos) + 1, SPAN)
     mine = read.join(hits, same_row).select("doc_id", "row_key", "hit_item_id", "hit_item_key", "pos", "item_pos", window("words", "pos").alias("w"))
     theirs = bounded_broadcast(items, max_broadcast_rows // SPAN)
@@ -90,7 +90,7 @@ def overlaps(
     pairs = F.arrays_zip("w", window("words", "item_pos").alias("v"))
     found = both.select("doc_id", "row_key", "item_id", (F.col("pos") - F.col("item_pos")).alias("diagonal"), "pos", F.posexplode(pairs).alias("k", "x"))
     found = found.where("x.w = x.v").select("doc_id", "row_key", "item_id", "diagonal", (F.col("pos") + F.col("k")).alias("at"))
-    # A place is agreed on by each window over it, by each mask: each counts once.
+    # A place is agreed on by each window over it, by each mask, in each row that repeats: each counts once.
     found = found.distinct().groupBy("doc_id", "row_key", "item_id", "diagonal")
     found = found.agg(F.count("*").alias("matched"), F.min("at").cast("long").alias("first_word"), F.max("at").cast("long").alias("last_word"))
     return found.where((F.col("matched") >= min_matched) & (F.col("matched") >= min_identity * (F.col("last_word") - F.col("first_word") + 1)))
