@@ -135,14 +135,19 @@ def with_features(found: DataFrame) -> DataFrame:
     return found.withColumn("features", F.array(*[F.coalesce(p.cast("double"), F.lit(0.0)) for p in parts]))
 
 
-def planted_findings(docs: DataFrame, text_col: str = "text", path_col: str = "source", max_contexts: int = MAX_CONTEXTS) -> DataFrame:
+def planted_findings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source", max_contexts: int = MAX_CONTEXTS) -> DataFrame:
     """(path, value, before, after, label): findings of each kind in each of at most `max_contexts` texts, and in a few empty ones.
 
+    The texts are the first in the order of a hash. Only those in a share of the hash's range that holds some times as many are looked at,
+    so what meets in a task doesn't grow with the corpus.
+
     Kinds with label 1 hold random keys; those with label 0 checksums, ids, addresses, names of words and numbers, placeholders, and keys
     in paths of tests.
     """
     text, path = F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.coalesce(F.col(path_col).cast("string"), F.lit(""))
-    rows = docs.select(text.alias("text"), path.alias("path")).where(F.length("text") >= 3 * AROUND).withColumn("h", F.xxhash64("text", "path"))
+    share = min(1.0, 8 * max_contexts / max(1, docs.count()))
+    key = F.xxhash64(F.col(id_col).cast("long"), text, path)
+    rows = docs.select(text.alias("text"), path.alias("path"), key.alias("h")).where(F.length("text") >= 3 * AROUND).where(F.col("h") <= int((share - 0.5) * ((1 << 64) - 2048)))
     rows = rows.orderBy("h", "text", "path").limit(max_contexts).unionByName(docs.sparkSession.range(0, 20, 1, 1).select(F.lit("").alias("text"), F.lit("").alias("path"), F.col("id").alias("h")))
     draw = lambda k: F.xxhash64("h", F.lit(k))
     at = F.pmod(draw("at"), F.greatest(F.length("text") - 2 * AROUND, F.lit(1))).cast("int") + 1
@@ -221,7 +226,7 @@ def findings(docs: DataFrame, labelled: DataFrame | None = None, id_col: str = "
     their findings once for each row. An empty table gives no rows.
     """
     columns = ["path", "value", "before", "after", "label"]
-    known = planted_findings(docs, text_col, path_col).select(*columns)
+    known = planted_findings(docs, id_col, text_col, path_col).select(*columns)
     if labelled is not None:
         known = known.unionByName(labelled.select(*columns).orderBy(F.xxhash64(*columns), *columns).limit(max_labelled))
     known = saved(known.coalesce(1), "labelled")
