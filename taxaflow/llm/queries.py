@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, html, packing, pii, quality, secrets, simhash, toxicity, warc
+from . import chat, decontaminate, html, packing, pii, prefix_trie, quality, secrets, simhash, toxicity, warc
 from .common import table
 
 
@@ -70,10 +70,16 @@ def op10_consensus_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.main_text(table(spark, sf_dir, "pages"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the trie of rebuilt conversations; edge cases as in `prefix_trie.prefix_trie`."""
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     ops = (
         op1_line_frequency, op2_spaced_seeds, op3_capture_index, op4_secret_forest, op5_anchor_expansion,
         op6_boosted_toxicity, op7_dp_packing, op8_segment_popcount, op9_grammar_round_trip, op10_consensus_paths,
+        op11_prefix_trie,
     )
     return {f.__name__: f for f in ops}
 
@@ -150,6 +156,38 @@ select conv_id, count(*)::bigint as n_turns,
 from q group by conv_id
 """
 
+_CRC_BYTE = "list_reduce(list_prepend(xor(a, b), [0, 0, 0, 0, 0, 0, 0, 0]::bigint[]), lambda x, k: xor(x >> 1, (x & 1) * 3988292384))"
+
+
+def _crc32(text: str) -> str:
+    """Unsigned CRC-32 of an ASCII string."""
+    codes = f"list_transform(string_split({text}, ''), lambda c: ascii(c)::bigint)"
+    return f"xor(list_reduce(list_prepend(4294967295::bigint, {codes}), lambda a, b: {_CRC_BYTE}), 4294967295::bigint)"
+
+
+OP11_SQL = rf"""
+with t as (
+  select conv_id::bigint as c, row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), coalesce(text, '')) as pos,
+    coalesce(role, '') as role, coalesce(text, '') as text from conversations where conv_id is not null),
+c as (select c, c - c % 20 as base, {_crc32('c::varchar')} % 4 as h from (select distinct c from t)),
+rebuilt as (
+  select c.c, 0 as part, pos, role, text from c join t on t.c = c.base and t.pos <= c.h
+  union all select c.c, 1, pos, role, text from c join t on t.c = c.c and t.pos > c.h),
+d as (select c, row_number() over w as depth, len(regexp_extract_all(text, '{_W}'))::bigint as words,
+    string_agg(length(role) || ':' || length(text) || ':' || role || text, '') over w as key
+  from rebuilt window w as (partition by c order by part, pos rows unbounded preceding)),
+p as (select c, depth, words, sha256(key) as key from d union all select c, 0, 0, '' from c),
+s as (select c, max(depth) as size from p group by c),
+n as (select key, depth, min(c) as conv_id, count(*) as n_convs, max(words) as words from p group by key, depth),
+up as (select n.key, q.key as up from n join p q on q.c = n.conv_id and q.depth = n.depth - 1),
+k as (select up as key, count(*) as n from up group by up),
+leaf as (select n.*, k.n is null as is_leaf from n left join k using (key)),
+sub as (select p.key, count(*) filter (is_leaf) as n_leaves, sum((n_convs - 1) * leaf.words)::bigint as saved_tokens from leaf join p on p.c = leaf.conv_id and p.depth <= leaf.depth group by p.key),
+e as (select p.key, sha256(string_agg(p.c::varchar, ',' order by p.c)) as h from p join s on s.c = p.c and s.size = p.depth group by p.key)
+select n.conv_id, n.depth::bigint as depth, q.conv_id as parent_conv_id, n.n_convs, coalesce(k.n, 0)::bigint as n_children, sub.n_leaves, sub.saved_tokens, coalesce(e.h, sha256('')) as ends_sha256
+from n join sub using (key) left join k using (key) left join e using (key) left join up using (key) left join n q on q.key = up.up
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_frequency": OP1_SQL, "op2_spaced_seeds": OP2_SQL, "op3_capture_index": OP3_SQL, "op9_grammar_round_trip": OP9_SQL}
+    return {"op1_line_frequency": OP1_SQL, "op2_spaced_seeds": OP2_SQL, "op3_capture_index": OP3_SQL, "op9_grammar_round_trip": OP9_SQL, "op11_prefix_trie": OP11_SQL}
