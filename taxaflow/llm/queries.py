@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, html, packing, pii, prefix_trie, quality, secrets, simhash, toxicity, warc
+from . import chat, decontaminate, divergence, html, packing, pii, prefix_trie, quality, secrets, simhash, toxicity, warc
 from .common import table
 
 
@@ -75,11 +75,16 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How each source of a language differs from the others and from the language; edge cases as in `divergence.source_divergence`."""
+    return divergence.source_divergence(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     ops = (
         op1_line_frequency, op2_spaced_seeds, op3_capture_index, op4_secret_forest, op5_anchor_expansion,
         op6_boosted_toxicity, op7_dp_packing, op8_segment_popcount, op9_grammar_round_trip, op10_consensus_paths,
-        op11_prefix_trie,
+        op11_prefix_trie, op12_source_divergence,
     )
     return {f.__name__: f for f in ops}
 
@@ -188,6 +193,26 @@ select n.conv_id, n.depth::bigint as depth, q.conv_id as parent_conv_id, n.n_con
 from n join sub using (key) left join k using (key) left join e using (key) left join up using (key) left join n q on q.key = up.up
 """
 
+OP12_SQL = r"""
+with d as (select row_number() over () as id, coalesce(lang, '') as lang, coalesce(source, '') as source, coalesce(text, '') as text from documents),
+w as (select id, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) as term from d),
+kept as (select lang, term from w group by 1, 2 having count(distinct id) >= 30),
+v as (select lang, count(*)::hugeint as v from kept group by 1),
+g as (select distinct lang, source from d),
+c as (select lang, source, term, count(*)::hugeint as n from w join kept using (lang, term) group by 1, 2, 3),
+full_c as (select g.lang, g.source, kept.term, coalesce(c.n, 0)::hugeint as n from g join kept using (lang) left join c using (lang, source, term)),
+p as (select lang, source, term, n, 1 + (1000000000 * (n + 5)) // ((sum(n) over (partition by lang, source)) + 5 * v.v) as p from full_c join v using (lang)),
+q as (select lang, term, 1 + (1000000000 * (n + 5)) // ((sum(n) over (partition by lang)) + 5 * v.v) as q
+      from (select lang, term, sum(n)::hugeint as n from full_c group by 1, 2) join v using (lang)),
+pair as (select a.lang, a.source, b.source as item, coalesce(s.value, 0)::bigint as value
+  from g a join g b on a.lang = b.lang and a.source <> b.source
+  left join (select x.lang, x.source, y.source as item, sum(abs(x.p - y.p)) as value from p x join p y on x.lang = y.lang and x.term = y.term group by 1, 2, 3) s on s.lang = a.lang and s.source = a.source and s.item = b.source),
+term as (select lang, source, term as item, (p - q)::bigint as value from p join q using (lang, term) where n > 0 and p > q)
+select lang, source, 'pair' as part, item, value, row_number() over (partition by lang, source order by value desc, item)::integer as rank from pair
+union all
+select lang, source, 'term', item, value, row_number() over (partition by lang, source order by value desc, item)::integer as rank from term qualify rank <= 50
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_frequency": OP1_SQL, "op2_spaced_seeds": OP2_SQL, "op3_capture_index": OP3_SQL, "op9_grammar_round_trip": OP9_SQL, "op11_prefix_trie": OP11_SQL}
+    return {"op1_line_frequency": OP1_SQL, "op2_spaced_seeds": OP2_SQL, "op3_capture_index": OP3_SQL, "op9_grammar_round_trip": OP9_SQL, "op11_prefix_trie": OP11_SQL, "op12_source_divergence": OP12_SQL}
