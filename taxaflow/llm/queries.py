@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, divergence, html, packing, pii, prefix_trie, quality, secrets, simhash, toxicity, warc
+from . import chat, decontaminate, divergence, html, language, packing, pii, prefix_trie, quality, secrets, simhash, toxicity, warc
 from .common import table
 
 
@@ -80,11 +80,16 @@ def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.source_divergence(table(spark, sf_dir, "documents"))
 
 
+def op13_kneser_ney_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learnt from those that aren't held out; edge cases as in `language.identify`."""
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     ops = (
         op1_line_frequency, op2_spaced_seeds, op3_capture_index, op4_secret_forest, op5_anchor_expansion,
         op6_boosted_toxicity, op7_dp_packing, op8_segment_popcount, op9_grammar_round_trip, op10_consensus_paths,
-        op11_prefix_trie, op12_source_divergence,
+        op11_prefix_trie, op12_source_divergence, op13_kneser_ney_language,
     )
     return {f.__name__: f for f in ops}
 
