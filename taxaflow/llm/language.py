@@ -31,7 +31,9 @@ ORDER = 5
 #: Grams of all languages' models together, at most, and texts to calibrate on (the first in the order of a hash; no model counts them).
 MAX_ENTRIES, MAX_CALIBRATION_ROWS = 1 << 21, 4_000
 #: Different words that a task counts before it hands them on, and calibration pieces of a text, in words.
-HELD_WORDS, PIECES = 400_000, (1, 2, 3, 5, 8, 13, 21, 55)
+HELD_WORDS, PIECES = 200_000, (1, 2, 3, 5, 8, 13, 21, 55)
+#: Different words whose places are looked at together.
+WORDS_AT_ONCE = 50_000
 #: Share of right calibration pieces whose cross-entropy a language accepts.
 ACCEPTED_SHARE = 0.999
 NONE = "und"
@@ -44,8 +46,8 @@ def words_of(text: str) -> list[str]:
     return _LETTERS.findall(text.lower())
 
 
-def has_letter(text: str) -> bool:
-    return any(w.isalpha() or any(map(str.isalpha, w)) for w in _LETTERS.findall(text))
+def has_letter(words: list[str]) -> bool:
+    return any(w.isalpha() or any(map(str.isalpha, w)) for w in words)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -92,19 +94,29 @@ def gram_hashes(grams: list[str]) -> np.ndarray:
     return out
 
 
+def _longest(hashes: list[np.ndarray], size: np.ndarray, places: np.ndarray) -> np.ndarray:
+    out = hashes[ORDER][places]
+    for n in range(2, ORDER):
+        own = size == n
+        out[own] = hashes[n][places[own]]
+    return out
+
+
 def longest_grams(words: dict[str, int]) -> Iterator[tuple[str, int]]:
-    """Every place's longest gram (ORDER characters, or from the word's beginning on) with the number of its places."""
-    if not words:
-        return
-    kinds = list(words)
+    """Every place's longest gram (ORDER characters, or from the word's beginning on) with the number of its places; a gram may come again."""
+    every = list(words)
+    for k in range(0, len(every), WORDS_AT_ONCE):
+        yield from _longest_grams(every[k : k + WORDS_AT_ONCE], words)
+
+
+def _longest_grams(kinds: list[str], words: dict[str, int]) -> Iterator[tuple[str, int]]:
     codes, inside, of = _codes(kinds)
     text = "".join(f"{BOUNDARY}{w}{BOUNDARY}" for w in kinds)
     hashes = _hashes(codes, inside)
     places = np.flatnonzero(inside > 0)
     size = np.minimum(inside[places] + 1, ORDER)
-    longest = np.stack(hashes)[size, places]
-    _, first, which = np.unique(longest, return_index=True, return_inverse=True)
-    total = np.bincount(which, np.fromiter(words.values(), np.float64, len(words))[of[places]])
+    _, first, which = np.unique(_longest(hashes, size, places), return_index=True, return_inverse=True)
+    total = np.bincount(which, np.fromiter(map(words.__getitem__, kinds), np.float64, len(kinds))[of[places]])
     for k, n in zip(first.tolist(), total.tolist(), strict=True):
         end = int(places[k]) + 1
         yield text[end - int(size[k]) : end], int(n)
@@ -193,17 +205,23 @@ class Model:
 
 
 def cross_entropies(models: list[Model], words: list[str], floor: float) -> tuple[np.ndarray, np.ndarray]:
-    """Bits of each word under each model (words x models), and its predicted characters. Places that share all that counts are looked up once."""
+    """Bits of each word under each model (words x models), and its predicted characters."""
+    parts = [_cross_entropies(models, words[k : k + WORDS_AT_ONCE], floor) for k in range(0, len(words), WORDS_AT_ONCE)]
+    return (np.concatenate([b for b, _ in parts]), np.concatenate([n for _, n in parts])) if parts else (np.zeros((0, len(models))), np.zeros(0, np.int64))
+
+
+def _cross_entropies(models: list[Model], words: list[str], floor: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places that share all that counts are looked up once."""
     codes, inside, of = _codes(words)
     hashes = _hashes(codes, inside)
     places = np.flatnonzero(inside > 0)
     size = np.minimum(inside[places] + 1, ORDER)
-    _, first, which = np.unique(np.stack(hashes)[size, places], return_index=True, return_inverse=True)
+    _, first, which = np.unique(_longest(hashes, size, places), return_index=True, return_inverse=True)
     at = places[first]
     grams = [h[at] for h in hashes]
     histories = [h[at - 1] for h in hashes]
     starts = np.flatnonzero(np.diff(of[places], prepend=-1))
-    bits = np.stack([-np.add.reduceat(m.log2_p(grams, histories, floor)[which], starts) for m in models], 1) if len(words) else np.zeros((0, len(models)))
+    bits = np.stack([-np.add.reduceat(m.log2_p(grams, histories, floor)[which], starts) for m in models], 1)
     return bits, np.diff(starts, append=len(places))
 
 
@@ -216,9 +234,9 @@ def _score(shared):
             number: defaultdict[str, int] = defaultdict(count().__next__)
             texts = []
             for text in b.column(b.num_columns - 1):
-                t = text.as_py() or ""
-                words = words_of(t) if has_letter(t) else []
-                texts.append(np.fromiter(map(number.__getitem__, words), np.int64, len(words)))
+                words = words_of(text.as_py() or "")
+                words = words if has_letter(words) else []
+                texts.append(np.fromiter(map(number.__getitem__, words), np.int32, len(words)))
             bits, chars = cross_entropies(models, list(number), floor)
             rows: list[tuple] = []
             for words in texts:
