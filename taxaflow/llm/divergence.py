@@ -239,19 +239,20 @@ def _share(n: str, total: str, terms_: str) -> Column:
 
 
 def _block_gaps(rows: pd.DataFrame) -> pd.DataFrame:
-    """What a block's terms add to each pair of its sources, beyond terms that neither has."""
+    """What a block's terms add to each pair of its sources, beyond terms that neither has. Rows without a term bring their source in."""
     a, b, lang = rows["a"].iloc[0], rows["b"].iloc[0], rows["lang"].iloc[0]
-    sources, place = np.unique(rows["no"].to_numpy(), return_inverse=True)
-    words, at = np.unique(rows["ord"].to_numpy(), return_inverse=True)
-    none = np.zeros(len(sources), np.int64)
-    none[place] = rows["p0"].to_numpy()
+    sources, seen, place = np.unique(rows["no"].to_numpy(), return_index=True, return_inverse=True)
+    mine = rows["mine"].to_numpy()[seen]
+    none = rows["p0"].to_numpy()[seen]
+    there = rows["ord"].to_numpy() >= 0
+    words, at = np.unique(rows["ord"].to_numpy()[there], return_inverse=True)
     p = np.repeat(none[:, None], len(words), 1)
-    p[place, at] = rows["p"].to_numpy()
+    p[place[there], at] = rows["p"].to_numpy()[there]
     first, second = [], []
     gaps = []
     for i, s in enumerate(sources):
-        if s // SOURCE_BLOCK == a:
-            others = np.flatnonzero((sources // SOURCE_BLOCK == b) & (sources > s))
+        if mine[i] == a:
+            others = np.flatnonzero((mine == b) & (sources > s))
             gaps.append(np.abs(p[i] - p[others]).sum(1) - len(words) * np.abs(none[i] - none[others]))
             first.append(np.full(len(others), s))
             second.append(sources[others])
@@ -308,8 +309,11 @@ def source_divergence(docs: DataFrame, min_documents: int = MIN_DOCUMENTS, top:
     # Gaps of pairs of sources.
     blocks = stats.groupBy("lang").agg((F.floor(F.max("no") / SOURCE_BLOCK) + 1).alias("blocks"))
     mine = F.floor(F.col("no") / SOURCE_BLOCK)
-    dealt = shares.join(bounded_broadcast(blocks, MAX_BROADCAST_GROUPS), "lang").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    dealt = dealt.select("lang", F.least(mine, "other").alias("a"), F.greatest(mine, "other").alias("b"), F.floor(F.col("ord") / TERM_BLOCK).alias("block"), "no", "ord", "p", "p0")
+    # Each source takes part in every block of its language's terms, whether it has one of them or not.
+    every = stats.where("v > 0").select("lang", "no", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("v") - 1) / TERM_BLOCK))).alias("block"), F.lit(-1).cast("long").alias("ord"), "p0", F.col("p0").alias("p"))
+    dealt = shares.select("lang", "no", F.floor(F.col("ord") / TERM_BLOCK).alias("block"), "ord", "p0", "p").unionByName(every)
+    dealt = dealt.join(bounded_broadcast(blocks, MAX_BROADCAST_GROUPS), "lang").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    dealt = dealt.select("lang", F.least(mine, "other").alias("a"), F.greatest(mine, "other").alias("b"), "block", mine.alias("mine"), "no", "ord", "p", "p0")
     gaps = dealt.groupBy("lang", "a", "b", "block").applyInPandas(_block_gaps, "lang string, no1 long, no2 long, gap long").groupBy("lang", "no1", "no2").agg(F.sum("gap").alias("gap"))
     side = lambda k: stats.select("lang", F.col("no").alias(f"no{k}"), F.col("source").alias(f"source{k}"), F.col("p0").alias(f"none{k}"), *(["v"] if k == 1 else []))
     pairs = side(1).join(side(2), "lang").where("no1 < no2").join(gaps, ["lang", "no1", "no2"], "left")  # every pair of a language's sources is a result
