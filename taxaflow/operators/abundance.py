@@ -108,12 +108,15 @@ def rarefaction_inputs(ab: DataFrame, min_reads: int = 1) -> DataFrame:
 
 
 def align_samples(tables: list[DataFrame]) -> DataFrame:
-    """Per-sample tables (sample, taxon_id, value) as one; a taxon twice in a sample is an error when the rows are read."""
+    """Per-sample tables (sample, taxon_id, value) as one; a taxon twice in a sample, or no value above 0 at all, is an error when the rows are read."""
     rows = tables[0]
     for t in tables[1:]:
         rows = rows.unionByName(t)
     once = rows.groupBy("sample", "taxon_id").agg(F.sum("value").alias("value"), F.count("*").alias("n"))
-    return once.where(F.assert_true(F.col("n") == 1, F.concat(F.lit("twice in a sample: "), F.col("taxon_id").cast("string"))).isNull()).select("sample", "taxon_id", "value")
+    good = once.where(F.assert_true(F.col("n") == 1, F.concat(F.lit("twice in a sample: "), F.col("taxon_id").cast("string"))).isNull()).select("sample", "taxon_id", "value")
+    # The total's row never comes out: it fails or goes. It reads the shuffle that the rows come from.
+    total = once.agg(F.coalesce(F.sum("value"), F.lit(0.0)).alias("value")).where(F.assert_true(F.col("value") > 0, "the table of abundances is empty or holds zeros only").isNotNull())
+    return good.unionByName(total, allowMissingColumns=True)
 
 
 def to_wide(ab: DataFrame, samples: list[str] | None = None) -> DataFrame:

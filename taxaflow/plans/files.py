@@ -53,14 +53,40 @@ def barcode_layout(v: Views) -> DataFrame:
 _NAMED = "'species|' || taxon_id || '|part ' || taxon_id"
 
 
+def _sample_tables(v: Views, path: str) -> None:
+    """Tables of three layouts, a folder for each: other columns, another order, ranks in another case, shares under no telling name; and
+    for each region one of no table at all."""
+    rel = A.to_relative(v.ab)
+    rows = rel.select(F.concat(F.lit("SRR1000"), "sample").alias("sample"), F.col("taxon_id").alias("tax_id"), F.concat(F.lit("part "), "taxon_id").alias("name"), F.col("value").alias("share"), (F.col("value") * 1000).alias("n"), (F.col("sample").cast("int") % 3).alias("k"))
+    layouts = (
+        ["tax_id", F.col("name").alias("species"), F.col("share").alias("abundance"), F.col("n").alias("estimated counts")],
+        [F.col("n").alias("estimated counts"), F.col("share").alias("abundance"), F.col("name").alias("Species"), "tax_id", F.lit("g").alias("genus")],
+        [F.col("name").alias("SPECIES"), F.col("n").alias("reads"), "tax_id", "share"],
+    )
+    for k, columns in enumerate(layouts):
+        sinks.write_sample_tables(rows.where(F.col("k") == k).select("sample", *columns), f"{path}/{k}", suffix="_rel-abundance.tsv")
+    text = F.when(F.col("r_regionkey") % 2 == 0, "garbage").otherwise("species\tabundance\npart 1\t0.5\t0.5\t7")
+    v.table("region").select(F.concat(F.lit("SRR90000"), "r_regionkey").alias("sample"), text.alias("value")).write.partitionBy("sample").text(f"{path}/3")
+    sinks._rename(v.ab, f"{path}/3", ".txt", lambda f, _: f"{path}/3/{f.getParent().getName().split('=', 1)[1]}_rel-abundance.tsv")
+
+
 @query(f"select 'SRR1000' || sample as sample, {_NAMED} as taxon_id, round(value, 6) + 0.0 as value from rel")
 def abundance_files(v: Views) -> DataFrame:
-    """SRC-5: a table of shares for each sample, found by its name and its column by its sum."""
+    """SRC-5, SNK-3: tables of shares, found by their names; files that aren't tables are skipped."""
     path = _path(v, "abundance")
-    rows = A.to_relative(v.ab).select(F.concat(F.lit("SRR1000"), "sample").alias("sample"), F.col("taxon_id").alias("tax_id"), F.concat(F.lit("part "), "taxon_id").alias("species"), F.col("value").alias("abundance"), (F.col("value") * 1000).alias("estimated counts"))
-    sinks.write_sample_tables(rows, path, suffix="_rel-abundance.tsv")
+    _sample_tables(v, path)
     found = tables.find_roles(v.spark, path)["relative"]
-    return tables.read_abundance(v.spark, found).select("sample", "taxon_id", r6("value").alias("value"))
+    return tables.read_tables(v.spark, found, policy="skip")[0].select("sample", "taxon_id", r6("value").alias("value"))
+
+
+@query("select 'SRR90000' || r_regionkey as sample, case when r_regionkey % 2 = 0 then 'no species column' else 'a row has more cells than the header' end as reason from region")
+def failed_files(v: Views) -> DataFrame:
+    """SNK-3: the files that were skipped, with their reasons."""
+    path = _path(v, "abundance")
+    _sample_tables(v, path)
+    failed = tables.read_tables(v.spark, tables.find_roles(v.spark, path)["relative"], policy="skip")[1]
+    rows = v.spark.createDataFrame(failed, "file string, reason string")  # a row for each skipped file
+    return rows.select(F.regexp_extract("file", "(SRR\\d+)", 1).alias("sample"), "reason")
 
 
 @query("select s_suppkey as no, s_name as reads from supplier where s_acctbal >= 0")

@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from weakref import WeakKeyDictionary
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -47,6 +47,20 @@ def forget(df: DataFrame) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def list_files(spark: SparkSession, path: str) -> list[str]:
+    """The files at and under a path, empty ones too, named as by `file_of`."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found, out = where.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(where, True), []
+    while found.hasNext():
+        out.append(found.next().getPath().toString())
+    return sorted(out)
+
+
+def file_of() -> Column:
+    """The file a row of a scan is from; the metadata have it as a URI."""
+    return F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+
+
 def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
     """`df` marked for broadcast if it has at most `max_rows` rows; else as it is, for a shuffled join."""
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import fnmatch
 import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from taxaflow.functions.names import RANKS, normalise_ranks, run_id, sample_name, taxon_id
+from taxaflow.functions.names import RANKS, run_id, sample_name, taxon_id
 from taxaflow.operators.abundance import dedupe, to_long, union_first, valid_runs
+from taxaflow.shared import file_of, list_files
 
 SAMPLE_NAME = re.compile(r"^(?:SRR|ERR|DRR)\d+|^barcode\d+", re.I)
 
@@ -73,16 +75,79 @@ def count_column(sums: dict[str, float]) -> str | None:
     return named[0] if named else next((c for c, s in sums.items() if s is not None and s > 1.1 and c != "tax_id"), None)
 
 
+def probe_tables(spark: SparkSession, paths: list[str], sep: str = "\t") -> list[tuple[str, list[str], str | None]]:
+    """(file, cells, reason): the cells of the header of each file, and why it can't be read as a table, if so: no line, bytes that aren't UTF-8, or a row
+    with more cells than the header. One pass over the lines; rows with fewer cells are filled, as their tables can be read."""
+    lines = spark.read.text(paths).select(file_of().alias("file"), F.monotonically_increasing_id().alias("ord"), F.col("_metadata.file_block_start").alias("block"), "value")
+    lines = lines.where("trim(value) <> ''")
+    # A quoted cell may hold the delimiter, so such rows don't count as too long.
+    width = F.when(~F.col("value").contains('"'), F.size(F.split("value", re.escape(sep))))
+    found = lines.groupBy("file").agg(F.min_by("value", F.struct("block", "ord")).alias("head"), F.max(width).alias("most"), F.bool_and(F.is_valid_utf8("value")).alias("text"))
+    cells = F.transform(F.split("head", re.escape(sep)), lambda c: F.trim(F.btrim(c, F.lit('"'))))
+    reason = F.when(~F.col("text"), "not UTF-8").when(F.col("most") > F.size(cells), "a row has more cells than the header")
+    read = {r["file"]: (r["cells"], r["reason"]) for r in found.select("file", cells.alias("cells"), reason.alias("reason")).collect()}  # a row for each file, as the list itself
+    return [(f, *read.get(f, ([], "empty"))) for p in paths for f in list_files(spark, p)]
+
+
+def _layout(cells: list[str]) -> list[str]:
+    """Column names of a header, ranks in their standard case, repeated names numbered."""
+    out: list[str] = []
+    for k, c in enumerate(cells):
+        name = c.lower() if c.lower() in RANKS else c or f"_{k}"
+        out.append(name if name not in out else f"{name}.{sum(x == name or x.startswith(name + '.') for x in out)}")
+    return out
+
+
+def read_tables(
+    spark: SparkSession, path: str | list[str], kind: str = "relative", rank: str = "species", style: str = "accession", policy: str = "stop"
+) -> tuple[DataFrame, list[tuple[str, str]]]:
+    """(rows, failed): rows(sample, taxon_id, the ranks, value) of per-sample tables, and the files that can't be used, each with its reason.
+
+    Files may differ in their columns and the columns' order: those with one header are one scan, and scans are put together by name. The
+    value column is chosen for each file, from sums over the rows that have the rank. policy "stop": a failed file is an error; "skip": it is
+    listed and its rows are left out.
+    """
+    paths = [path] if isinstance(path, str) else path
+    failed: list[tuple[str, str]] = []
+    layouts: dict[tuple[str, ...], list[str]] = {}
+    for file, cells, reason in probe_tables(spark, paths):
+        if reason:
+            failed.append((file, reason))
+        else:
+            layouts.setdefault(tuple(_layout(cells)), []).append(file)
+    scan = lambda names, files: spark.read.csv(files, sep="\t", header=True, schema=", ".join(f"`{n}` string" for n in names)).withColumn("__file", file_of())
+    scans: dict[tuple[tuple[str, ...], str], list[str]] = {}
+    for names, files in layouts.items():
+        numeric = [c for c in names if c not in RANKS]
+        if rank not in names or not numeric:
+            failed += [(f, f"no {rank} column" if rank not in names else f"no {kind} column") for f in files]
+            continue
+        named = scan(names, files).where(F.coalesce(F.trim(rank), F.lit("")) != "")
+        sums = {r["__file"]: r.asDict() for r in named.groupBy("__file").agg(*[F.sum(F.col(f"`{c}`").try_cast("double")).alias(c) for c in numeric]).collect()}
+        for f in files:
+            own = {c: sums.get(f, {}).get(c) for c in numeric}
+            col = relative_column(own) if kind == "relative" else count_column(own)
+            if col is None:
+                failed.append((f, f"no {kind} column"))
+            else:
+                scans.setdefault((names, col), []).append(f)
+    if failed and policy == "stop":
+        raise ValueError("; ".join(f"{f}: {why}" for f, why in sorted(failed)))
+    rows = None
+    for (names, col), files in scans.items():
+        df = scan(names, files)
+        tax = F.col("tax_id") if "tax_id" in names else None
+        value = F.coalesce(F.col(f"`{col}`").try_cast("double"), F.lit(0.0))
+        part = df.select(sample_name(F.col("__file"), style).alias("sample"), taxon_id(rank, tax, F.col(rank)).alias("taxon_id"), *[r for r in RANKS if r in names], value.alias("value"))
+        rows = part if rows is None else rows.unionByName(part, allowMissingColumns=True)
+    if rows is None:
+        rows = spark.createDataFrame([], f"sample string, taxon_id string, {rank} string, value double")
+    return rows, sorted(failed)
+
+
 def read_abundance(spark: SparkSession, path: str | list[str], kind: str = "relative", rank: str = "species", style: str = "accession") -> DataFrame:
-    """(sample, taxon_id, the ranks there are, value) of per-sample tables; the value column is found by one aggregate over a sample's file."""
-    df = normalise_ranks(spark.read.csv(path, sep="\t", header=True)).withColumn("__file", F.col("_metadata.file_path"))
-    numeric = [c for c in df.columns if c not in (*RANKS, "__file")]
-    sums = df.groupBy("__file").agg(*[F.sum(F.col(f"`{c}`").try_cast("double")).alias(c) for c in numeric]).agg(*[F.avg(f"`{c}`").alias(c) for c in numeric]).first().asDict()
-    col = relative_column(sums) if kind == "relative" else count_column(sums)
-    if col is None:
-        raise ValueError(f"no {kind} column in {path}")
-    tax = F.col("tax_id") if "tax_id" in df.columns else None
-    return df.select(sample_name(F.col("__file"), style).alias("sample"), taxon_id(rank, tax, F.col(rank)).alias("taxon_id"), *[r for r in RANKS if r in df.columns], F.coalesce(F.col(f"`{col}`").try_cast("double"), F.lit(0.0)).alias("value"))
+    """(sample, taxon_id, the ranks there are, value) of per-sample tables; a file that can't be used is an error. See `read_tables`."""
+    return read_tables(spark, path, kind, rank, style)[0]
 
 
 def file_role(path: str) -> str | None:
@@ -94,14 +159,17 @@ def file_role(path: str) -> str | None:
 
 
 def find_roles(spark: SparkSession, folder: str, pattern: str = "*.tsv") -> dict[str, list[str]]:
-    """The tables of a folder by their role, in the order of their names; without a relative one an error."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder).select("path")
+    """The tables of a folder and those in it by their role, in the order of their names. A folder that has tables has a relative one, or it
+    is an error: folders are samples, or hold the tables of several."""
     out: dict[str, list[str]] = {"relative": [], "counts": [], "assignments": []}
-    for path in sorted(r["path"] for r in files.collect()):
+    of: dict[str, set[str]] = {}
+    for path in (f for f in list_files(spark, folder) if fnmatch.fnmatch(f.rsplit("/", 1)[1], pattern)):
         if role := file_role(path):
             out[role].append(path)
-    if not out["relative"]:
-        raise ValueError(f"no table of relative abundances in {folder}")
+            of.setdefault(path.rsplit("/", 1)[0], set()).add(role)
+    without = [f for f, roles in of.items() if "relative" not in roles]
+    if without or not of:
+        raise ValueError(f"no table of relative abundances in {', '.join(without or [folder])}")
     return out
 
 

@@ -96,3 +96,49 @@ def test_tests_by_shuffled_joins(spark, monkeypatch):
         monkeypatch.setattr(hypothesis, "MAX_BROADCAST_PAIRS", limit)
         runs.append([[round(x, 9) for x in r] for t in (hypothesis.permanova(d, groups, 50), hypothesis.mantel(d, d, 50)) for r in t.collect()])
     assert runs[0] == runs[1] and runs[0][1][1] == 1.0
+
+
+def test_tables_of_different_headers(spark, tmp_path):
+    text = {
+        "SRR100001_rel-abundance.tsv": "tax_id\tspecies\tabundance\testimated counts\n1\tA\t0.4\t40\n2\tB\t0.6\t60\n",
+        "SRR100002_rel-abundance.tsv": "estimated counts\tabundance\tSpecies\ttax_id\n40.0\t0.4\tA\t1\n60.0\t0.6\tB\t2\n",
+        "SRR100003_rel-abundance.tsv": "species\tgenus\tshare\nA\tG\t0.4\nB\t\t0.6\n\tG\t7\n",
+        "SRR100004_rel-abundance.tsv": "garbage\n",
+        "SRR100005_rel-abundance.tsv": "",
+        "SRR100006_rel-abundance.tsv": "species\tabundance\nA\t1\t2\n",
+        "SRR100007_rel-abundance.tsv": "species\tname\nA\tx\n",
+    }
+    for name, t in text.items():
+        (tmp_path / name).write_text(t)
+    (tmp_path / "SRR100008_rel-abundance.tsv").write_bytes(b"species\tabundance\nA\xff\t1\n")
+    found = tables.find_roles(spark, str(tmp_path))["relative"]
+    rows, failed = tables.read_tables(spark, found, policy="skip")
+    got = {(r["sample"], r["taxon_id"], r["value"]) for r in rows.collect()}
+    assert got == {
+        *[(f"SRR10000{k}", f"species|{i}|{n}", x) for k in (1, 2) for i, n, x in ((1, "A", 0.4), (2, "B", 0.6))],
+        ("SRR100003", "species|NA|A", 0.4), ("SRR100003", "species|NA|B", 0.6), ("SRR100003", "species|NA|Unassigned", 7.0),
+    }
+    assert [(f.rsplit("/", 1)[1][:9], why) for f, why in failed] == [
+        ("SRR100004", "no species column"), ("SRR100005", "empty"), ("SRR100006", "a row has more cells than the header"), ("SRR100007", "no relative column"), ("SRR100008", "not UTF-8"),
+    ]
+    with pytest.raises(ValueError, match="SRR100004.*no species column"):
+        tables.read_abundance(spark, found)
+    counts, none = tables.read_tables(spark, found[:2], kind="counts")
+    assert {r["value"] for r in counts.collect()} == {40.0, 60.0} and not none
+    assert tables.read_tables(spark, found[3:], policy="skip")[0].count() == 0
+
+
+def test_sample_folder_without_a_relative_table(spark, tmp_path):
+    for name in ("a/a_rel-abundance.tsv", "a/a_counts.tsv", "b/b_counts.tsv"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text("x\n")
+    with pytest.raises(ValueError, match="/b"):
+        tables.find_roles(spark, str(tmp_path))
+
+
+def test_empty_and_zero_abundances(spark):
+    t = spark.createDataFrame([("s", "t1", 0.0), ("s", "t2", 0.5)], AB)
+    assert {tuple(r) for r in A.align_samples([t.limit(1), t.where("taxon_id = 't2'")]).collect()} == {("s", "t1", 0.0), ("s", "t2", 0.5)}
+    for none in (t.limit(0), t.where("value = 0")):
+        with pytest.raises(Exception, match="empty or holds zeros"):
+            A.align_samples([none]).collect()
