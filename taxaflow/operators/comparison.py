@@ -11,6 +11,7 @@ from taxaflow.functions.distributions import pearson_p
 from taxaflow.shared import not_empty
 
 from .abundance import mean_profile, to_relative
+from .ranges import quantiles
 
 
 def outer_profiles(ab1: DataFrame, ab2: DataFrame) -> DataFrame:
@@ -78,10 +79,11 @@ def retention(pairs: DataFrame, pre: str = "reads_pre", post: str = "reads_post"
     """Median, mean, extremes of post / pre in percent, and the totals."""
     share = F.when(F.col(pre) > 0, F.col(post) / F.col(pre) * 100)
     r = pairs.withColumn("__share", share)
-    return r.agg(
-        F.count("*").alias("n"), F.median("__share").alias("median_pct"), F.avg("__share").alias("mean_pct"), F.min("__share").alias("min_pct"), F.max("__share").alias("max_pct"),
+    rest = r.agg(
+        F.count("*").alias("n"), F.avg("__share").alias("mean_pct"), F.min("__share").alias("min_pct"), F.max("__share").alias("max_pct"),
         F.sum(pre).cast("double").alias("total_pre"), F.sum(post).cast("double").alias("total_post"),
     )
+    return rest.join(F.broadcast(quantiles(r, "__share", [], {"median_pct": 0.5})), how="left")  # one row each
 
 
 def histogram(df: DataFrame, col: str, lo: float, hi: float, width: float, norm: str = "count") -> DataFrame:
@@ -106,14 +108,15 @@ def retention_histogram(df: DataFrame, col: str, width: float = 0.5) -> DataFram
 
 def box_stats(df: DataFrame, by: str, col: str) -> DataFrame:
     """Quartiles and whiskers, the furthest values within 1.5 quartile ranges."""
-    q = df.groupBy(by).agg(F.percentile(col, F.lit(0.25)).alias("q1"), F.median(col).alias("median"), F.percentile(col, F.lit(0.75)).alias("q3"))
+    q = quantiles(df, col, [by], {"q1": 0.25, "median": 0.5, "q3": 0.75})
     spread = F.col("q3") - F.col("q1")
     inside = F.when((F.col(col) >= F.col("q1") - 1.5 * spread) & (F.col(col) <= F.col("q3") + 1.5 * spread), F.col(col))
     return df.join(q, by).groupBy(by, "q1", "median", "q3").agg(F.min(inside).alias("low"), F.max(inside).alias("high"))
 
 
 def paired_change(pairs: DataFrame, pre: str, post: str) -> DataFrame:
-    return pairs.agg(F.median(F.col(post) - F.col(pre)).alias("median_change"))
+    """The median of what pairs gained, null without a pair."""
+    return pairs.agg(F.count("*").alias("n")).join(F.broadcast(quantiles(pairs, F.col(post) - F.col(pre), [], {"median_change": 0.5})), how="left").drop("n")
 
 
 def hexbin(df: DataFrame, x: str, y: str, n: int = 35, extent: tuple[float, float, float, float] = (0.0, 1.0, 0.0, 1.0), min_count: int = 1) -> DataFrame:

@@ -46,11 +46,42 @@ def cross_pairs(samples1: DataFrame, samples2: DataFrame) -> DataFrame:
     return samples1.select(F.col("sample").alias("a")).distinct().join(samples2.select(F.col("sample").alias("b")).distinct(), F.col("a") != F.col("b"))
 
 
-def _shared(ab1: DataFrame, ab2: DataFrame, on, *terms) -> DataFrame:
-    """Sums over the taxa that two samples share. The self-join on the taxon is combined by pair at once, before its shuffle."""
-    a = ab1.select(F.col("sample").alias("a"), F.col("taxon_id"), F.col("value").alias("x"))
-    b = ab2.select(F.col("sample").alias("b"), F.col("taxon_id"), F.col("value").alias("y"))
-    return a.join(b, "taxon_id").where(on).groupBy("a", "b").agg(*terms)
+#: Samples in a block. A taxon's rows meet in pairs of blocks, so a taxon that all samples have is spread over many tasks.
+SAMPLE_BLOCK = 256
+
+
+def dealt_to_blocks(ab1: DataFrame, ab2: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(taxon_id, i, j, a, x) and (taxon_id, i, j, b, y): the rows of two sides dealt to pairs of sample blocks.
+
+    Within one table a pair of blocks comes once, i up to j; between two tables all pairs of blocks come.
+    """
+    other = ab1 if ab2 is None else ab2
+    samples = ab1.select("sample") if ab2 is None else ab1.select("sample").union(ab2.select("sample"))
+    blocks = samples.agg(F.ceil(F.count_distinct("sample") / SAMPLE_BLOCK).cast("int").alias("blocks"))  # one row
+    own = F.pmod(F.xxhash64("sample"), F.greatest("blocks", F.lit(1))).cast("int")
+
+    def side(t: DataFrame, name: str, value: str, left: bool) -> DataFrame:
+        t = t.select(F.col("sample").alias(name), "taxon_id", F.col("value").alias(value), "sample").crossJoin(F.broadcast(blocks)).withColumn("own", own).drop("sample")
+        last = F.greatest(F.col("blocks") - 1, F.lit(0))
+        rest = F.sequence(F.lit(0), last) if ab2 is not None else F.sequence("own", last) if left else F.sequence(F.lit(0), F.col("own"))
+        t = t.withColumn("rest", F.explode(rest)).withColumnsRenamed({"own": "i" if left else "j", "rest": "j" if left else "i"}).drop("blocks")
+        # A number of tasks of its own: the rows are few and their pairs many, so sizes don't tell how much work a task has.
+        return t.repartition(int(t.sparkSession.conf.get("spark.sql.shuffle.partitions")), "taxon_id", "i", "j")
+
+    return side(ab1, "a", "x", True), side(other, "b", "y", False)
+
+
+def _shared(ab1: DataFrame, ab2: DataFrame | None, *terms) -> DataFrame:
+    """Sums, in which x and y can change places, over the taxa that two samples share: pairs a < b of a table, or all pairs with another's.
+
+    What a pair of blocks shares in a taxon is combined by pair of samples at once, before its shuffle.
+    """
+    left, right = dealt_to_blocks(ab1, ab2)
+    met = left.join(right, ["taxon_id", "i", "j"])
+    if ab2 is not None:
+        return met.groupBy("a", "b").agg(*terms)
+    met = met.where((F.col("i") < F.col("j")) | (F.col("a") < F.col("b")))
+    return met.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(*terms)
 
 
 def _pairs(ab: DataFrame, *terms: Column, other: DataFrame | None = None) -> DataFrame:
@@ -67,7 +98,7 @@ def _pairs(ab: DataFrame, *terms: Column, other: DataFrame | None = None) -> Dat
 
 def bray_curtis(ab: DataFrame) -> DataFrame:
     """1 - 2 sum(min) / (Sa + Sb), 0 for two empty samples; pairs that share nothing come from the list of pairs."""
-    shared = _shared(ab, ab, F.col("a") < F.col("b"), F.sum(F.least("x", "y")).alias("m"))
+    shared = _shared(ab, None, F.sum(F.least("x", "y")).alias("m"))
     out = _pairs(ab, F.sum("value").alias("s")).join(shared, ["a", "b"], "left")
     total = F.col("s_a") + F.col("s_b")
     return out.select("a", "b", F.when(total > 0, 1 - 2 * F.coalesce("m", F.lit(0.0)) / F.nullif(total, F.lit(0.0))).otherwise(0.0).alias("d"))
@@ -77,7 +108,7 @@ def jaccard(ab: DataFrame, mode: str = "presence") -> DataFrame:
     """1 - shared / union on presence, 1 for two empty samples; mode "value": a taxon with different values isn't shared."""
     pos = ab.where(F.col("value") > 0)
     ones = F.count("*").alias("s") if mode == "presence" else F.count_if(F.col("x") == F.col("y")).alias("s")
-    shared = _shared(pos, pos, F.col("a") < F.col("b"), ones, F.count("*").alias("both"))
+    shared = _shared(pos, None, ones, F.count("*").alias("both"))
     out = _pairs(ab, F.count_if(F.col("value") > 0).alias("n")).join(shared, ["a", "b"], "left")
     union = F.col("n_a") + F.col("n_b") - F.coalesce("both", F.lit(0))
     return out.select("a", "b", F.when(union > 0, 1 - F.coalesce("s", F.lit(0)) / F.nullif(union, F.lit(0))).otherwise(1.0).alias("d"))
@@ -96,7 +127,7 @@ def aitchison(ab: DataFrame) -> DataFrame:
     """Euclidean distance of CLR values without the dense table: with L = ln(x + 1), d2 = sum La2 + sum Lb2 - 2 sum La Lb - D (ma - mb)2."""
     lx = ab.select("sample", "taxon_id", F.log1p("value").alias("value"))
     d = ab.agg(F.count_distinct("taxon_id").cast("double").alias("d"))
-    shared = _shared(lx, lx, F.col("a") < F.col("b"), F.sum(F.col("x") * F.col("y")).alias("xy"))
+    shared = _shared(lx, None, F.sum(F.col("x") * F.col("y")).alias("xy"))
     out = _pairs(lx, F.sum("value").alias("s"), F.sum(F.col("value") * F.col("value")).alias("q")).join(shared, ["a", "b"], "left").crossJoin(F.broadcast(d))
     gap = (F.col("s_a") - F.col("s_b")) / F.col("d")
     square = F.col("q_a") + F.col("q_b") - 2 * F.coalesce("xy", F.lit(0.0)) - F.col("d") * gap * gap
@@ -123,6 +154,6 @@ def to_square(distances: DataFrame, samples: list[str] | None = None) -> DataFra
 def bc_between(ab1: DataFrame, ab2: DataFrame) -> DataFrame:
     """Bray-Curtis between each sample of one study and each of another on shares, and whether it's the same sample."""
     r1, r2 = to_relative(ab1), to_relative(ab2)
-    shared = _shared(r1, r2, F.lit(True), F.sum(F.least("x", "y")).alias("m"))
+    shared = _shared(r1, r2, F.sum(F.least("x", "y")).alias("m"))
     out = _pairs(r1, F.sum("value").alias("s"), other=r2).join(shared, ["a", "b"], "left")
     return out.select("a", "b", (F.col("a") == F.col("b")).alias("same"), (1 - 2 * F.coalesce("m", F.lit(0.0)) / (F.col("s_a") + F.col("s_b"))).alias("d"))

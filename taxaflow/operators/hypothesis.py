@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from itertools import combinations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -11,18 +13,21 @@ from pyspark.sql import functions as F
 from taxaflow.functions.distributions import mann_whitney_p
 from taxaflow.shared import bounded_broadcast, saved
 
-#: Samples with their labels of all permutations, and pairs of samples, up to which they are broadcast.
-MAX_BROADCAST_SAMPLES, MAX_BROADCAST_PAIRS = 5_000, 2_000_000
+from .ranges import running_counts
+
+#: Samples with their labels of all permutations up to which they are broadcast.
+MAX_BROADCAST_SAMPLES = 5_000
+#: Distances in a panel of rows, and numbers of permuted samples that tasks hold at once.
+PANEL_CELLS, PERMUTATION_CELLS = 1 << 22, 1 << 24
 
 
 def value_ranks(df: DataFrame, col: str, by: list[str], *sums: Column) -> DataFrame:
     """(by, col, t, rank, ..): each different value with the number of its rows and their average rank.
 
-    Equal values are counted first, so the window runs over different values and not over rows.
+    Equal values are counted first, and places taken in ranges of them, so no task holds a group's values.
     """
-    counts = df.groupBy(*by, col).agg(F.count("*").alias("t"), *sums)
-    upto = F.sum("t").over(W.partitionBy(*by).orderBy(col))
-    return counts.withColumn("rank", upto - (F.col("t") - 1) / 2.0)
+    counts = running_counts(df.where(F.col(col).isNotNull()).groupBy(*by, col).agg(F.count("*").alias("t"), *sums), col, by)
+    return counts.withColumn("rank", F.col("upto") - (F.col("t") - 1) / 2.0).drop("upto")
 
 
 def average_rank(df: DataFrame, col: str, by: list[str]) -> DataFrame:
@@ -90,22 +95,72 @@ def permanova(distances: DataFrame, groups: DataFrame, n_perm: int = 999, seed:
     return tried.where("real is not null").select(*by, F.col("real.n").cast("long").alias("n"), F.col("real.k").cast("long").alias("k"), "real.f", "real.r2", ((more + 1) / F.col("tried")).alias("p"))
 
 
+def _panel_sums(shared, samples: int, first: int, panel: int):
+    """Sums over the pairs of a panel of the first list's rows whose permuted row lies in a panel of the second's, for each permutation."""
+
+    def run(key, xs: pd.DataFrame, ys: pd.DataFrame) -> pd.DataFrame:
+        labels = np.frombuffer(shared.value, np.int32).reshape(samples, -1)
+        low = int(key[1]) * panel
+        square = np.full((panel, samples), np.nan)
+        for no, others, d in zip(ys["no"], ys["others"], ys["d"], strict=True):
+            square[no - low, others] = d
+        out = np.zeros((labels.shape[1], 6))
+        for no, others, d in zip(xs["no"], xs["others"], xs["d"], strict=True):
+            to = labels[no] - low
+            here = np.flatnonzero((to >= 0) & (to < panel))
+            at = max(1, (1 << 21) // len(others))
+            for perms in (here[k : k + at] for k in range(0, len(here), at)):
+                y = square[to[perms][:, None], labels[others][:, perms].T]
+                x = np.where(np.isnan(y), np.nan, np.asarray(d, float)[None, :])
+                y = np.where(np.isnan(x), np.nan, y)
+                out[perms] += np.stack([(~np.isnan(x)).sum(1), *(np.nansum(v, 1) for v in (x, y, x * x, y * y, x * y))], 1)
+        kept = np.flatnonzero(out[:, 0])
+        return pd.DataFrame({"perm": kept + first, **{c: out[kept, k] for k, c in enumerate(("n", "x", "y", "xx", "yy", "xy"))}})
+
+    return run
+
+
+def _rows_of(pairs: DataFrame, whole: bool) -> DataFrame:
+    """(no, others, d): the distances of each sample to those after it, or to all others; a row has at most one entry for each sample."""
+    one = pairs.select(F.least("u", "v").alias("no"), F.greatest("u", "v").alias("other"), "d")
+    both = one.union(one.select("other", "no", "d")) if whole else one
+    rows = both.groupBy("no").agg(F.sort_array(F.collect_list(F.struct("other", "d"))).alias("of"))
+    return rows.select("no", F.col("of.other").alias("others"), F.col("of.d").alias("d"))
+
+
 def mantel(d1: DataFrame, d2: DataFrame, n_perm: int = 999, seed: int = 42, samples: DataFrame | None = None) -> DataFrame:
     """(n, r, p): Pearson of two distance lists over common pairs; two-sided p by relabelling the second list's samples.
 
-    Samples are numbered and carry their numbers of all permutations, so each pair of the first list moves once; up to
-    MAX_BROADCAST_PAIRS pairs of the second list are broadcast. samples(sample), if given, spares a pass over the first list.
+    Samples are numbered, and both lists become panels of their rows. Each panel of the first list meets each of the second, with the
+    numbers of all permutations at hand, and adds up the pairs that a permutation puts there. What is shuffled is each list once for each
+    panel of the other, and a row for each permutation and pair of panels, but never a pair for each permutation. Permutations go in groups
+    of a bounded size. samples(sample), if given, spares a pass over the first list.
     """
+    spark = d1.sparkSession
     names = d1.select(F.col("a").alias("sample")).union(d1.select("b")).distinct() if samples is None else samples.select("sample").distinct()
-    names = names.withColumn("no", F.row_number().over(W.partitionBy(F.lit(1)).orderBy("sample")))
-    to = bounded_broadcast(saved(label_arrays(names, "no", n_perm, seed), "labels"), MAX_BROADCAST_SAMPLES)
-    one = lambda side: to.select(F.col("sample").alias(side), F.col("labels").alias(f"to_{side}"))
-    pair = lambda u, v: F.shiftleft(F.least(u, v).cast("long"), 32) + F.greatest(u, v)
-    moved = d1.join(one("a"), "a").join(one("b"), "b").select(F.col("d").alias("x"), F.posexplode(F.zip_with("to_a", "to_b", pair)).alias("perm", "pair"))
-    own = lambda side: to.select(F.col("sample").alias(side), F.col("labels")[0].alias(f"no_{side}"))
-    theirs = d2.join(own("a"), "a").join(own("b"), "b").select(pair(F.col("no_a"), F.col("no_b")).alias("pair"), F.col("d").alias("y"))
-    theirs = bounded_broadcast(saved(theirs, "second-distances"), MAX_BROADCAST_PAIRS)
-    r = moved.join(theirs, "pair").groupBy("perm").agg(F.round(F.corr("x", "y"), 9).alias("r"), F.count("*").alias("n"))
+    names = names.withColumn("no", (F.row_number().over(W.partitionBy(F.lit(1)).orderBy("sample")) - 1).cast("int"))
+    to = saved(label_arrays(names, "no", n_perm, seed), "labels")
+    n = to.count()
+    panel = max(1, min(n, PANEL_CELLS // max(1, n)))
+    panels = max(1, -(-n // panel))
+    own = to.select("sample", F.col("labels")[0].alias("no"))
+    own = F.broadcast(own) if n <= MAX_BROADCAST_SAMPLES else own
+    numbered = lambda d: d.join(own.select(F.col("sample").alias("a"), F.col("no").alias("u")), "a").join(own.select(F.col("sample").alias("b"), F.col("no").alias("v")), "b").where("d is not null")
+    deal = lambda rows, mine, other: rows.withColumn(mine, F.floor(F.col("no") / panel).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(panels - 1))))
+    xs, ys = deal(_rows_of(numbered(d1), False), "p1", "p2"), deal(_rows_of(numbered(d2), True), "p2", "p1")
+    if panels > 1 or n_perm + 1 > PERMUTATION_CELLS // max(1, n):
+        xs, ys = saved(xs, "first-panels"), saved(ys, "second-panels")
+    sums = None
+    size = max(1, PERMUTATION_CELLS // max(1, n))
+    for first in range(0, n_perm + 1, size):
+        rows = to.select(F.col("labels")[0].alias("no"), F.slice("labels", first + 1, size).alias("of")).orderBy("no").collect()  # PERMUTATION_CELLS numbers
+        shared = spark.sparkContext.broadcast(np.array([r["of"] for r in rows], np.int32).tobytes())
+        part = xs.groupBy("p1", "p2").cogroup(ys.groupBy("p1", "p2")).applyInPandas(_panel_sums(shared, n, first, panel), "perm int, n double, x double, y double, xx double, yy double, xy double")
+        sums = part if sums is None else sums.unionByName(part)
+    cols = ["n", "x", "y", "xx", "yy", "xy"]
+    sums = sums.groupBy("perm").agg(*[F.sum(c).alias(c) for c in cols])
+    spread = F.sqrt(F.col("n") * F.col("xx") - F.col("x") * F.col("x")) * F.sqrt(F.col("n") * F.col("yy") - F.col("y") * F.col("y"))
+    r = sums.select("perm", F.col("n").cast("long").alias("n"), F.round((F.col("n") * F.col("xy") - F.col("x") * F.col("y")) / F.nullif(spread, F.lit(0.0)), 9).alias("r"))
     tried = r.agg(F.max(F.when(F.col("perm") == 0, F.struct("n", "r"))).alias("real"), F.collect_list(F.when(F.col("perm") > 0, F.col("r"))).alias("rs"), F.count("*").alias("tried"))
     return tried.where("tried > 0").select("real.n", "real.r", ((F.size(F.filter("rs", lambda x: F.abs(x) >= F.abs(F.col("real.r")))) + 1) / F.col("tried")).alias("p"))
 

@@ -93,7 +93,8 @@ def test_tests_by_shuffled_joins(spark, monkeypatch):
     runs = []
     for limit in (5_000, 0):
         monkeypatch.setattr(hypothesis, "MAX_BROADCAST_SAMPLES", limit)
-        monkeypatch.setattr(hypothesis, "MAX_BROADCAST_PAIRS", limit)
+        monkeypatch.setattr(hypothesis, "PANEL_CELLS", 12 if limit == 0 else 1 << 22)
+        monkeypatch.setattr(hypothesis, "PERMUTATION_CELLS", 100 if limit == 0 else 1 << 24)
         runs.append([[round(x, 9) for x in r] for t in (hypothesis.permanova(d, groups, 50), hypothesis.mantel(d, d, 50)) for r in t.collect()])
     assert runs[0] == runs[1] and runs[0][1][1] == 1.0
 
