@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from taxaflow.operators import abundance as A
+from taxaflow.operators import diversity as D
 from taxaflow.shared import new_path
 from taxaflow.sources import fastq, sinks, tables
 
@@ -117,6 +118,14 @@ def feature_table(v: Views) -> DataFrame:
     return tables.read_feature_table(v.spark, path)
 
 
+@query("select a as sample, b as taxon_id, round(d, 6) + 0.0 as value from bc where d > 0 union all select b, a, round(d, 6) + 0.0 from bc where d > 0")
+def square_table(v: Views) -> DataFrame:
+    """RSH-4: the square table of distances, written as lines and read back."""
+    path = _path(v, "square")
+    sinks.write_square(D.bray_curtis(v.ab), path)
+    return tables.read_feature_table(v.spark, path).withColumn("value", r6("value"))
+
+
 _RUNS = ", r as (select 'SRR' || o_orderkey as run, o_orderstatus as status, 0 as t from orders where o_orderstatus <> 'O' union all select case when o_orderpriority = '1-URGENT' then 'x' else 'SRR' end || o_orderkey, o_orderpriority, 1 from orders)"
 
 
@@ -161,7 +170,7 @@ def published(v: Views) -> DataFrame:
     path = _path(v, "published")
     for force in (False, True):
         sinks.publish({"alpha": v.ab.select("sample").distinct(), "counts": v.ab}, path, force)
-    count = lambda name: v.spark.read.parquet(f"{path}/{name}").agg(F.lit(name).alias("table"), F.count("*").alias("rows"))
+    count = lambda name: v.spark.read.parquet(f"{sinks.published(v.spark, path)}/{name}").agg(F.lit(name).alias("table"), F.count("*").alias("rows"))
     return count("alpha").union(count("counts"))
 
 

@@ -1,4 +1,4 @@
-"""FASTQ and FASTA scans.
+"""FASTQ and FASTA scans, both in byte ranges.
 
 FASTQ is a Python data source: a compressed file is one partition, a plain one is cut into byte ranges. A range begins at the first record
 that starts in it: a line with @ whose line after next has + and whose sequence and quality have one length. A quality line may begin with
@@ -12,6 +12,7 @@ import gzip
 import io
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -140,10 +141,28 @@ def read_fastq(spark: SparkSession, path: str, glob: str | None = None, recursiv
     return rows.select("file", sample_name(F.col("file"), style).alias("sample"), "read_ord", "read_id", "seq", "qual")
 
 
+def _first_of_file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Which row is the first of its file: rows of one range of a file come together and in order."""
+    last = None
+    for b in batches:
+        first = []
+        for at in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            first.append(at[1] == 0 and at != last)
+            last = at
+        yield pa.RecordBatch.from_arrays([pa.array(first, pa.bool_()), b.column(2)], names=["first", "value"])
+
+
 def read_fasta(spark: SparkSession, path: str, iupac_to_n: bool = False) -> DataFrame:
-    """(name, seq): lines joined, upper case, anything but ACGTN deleted (or other IUPAC codes made N), empty ones dropped."""
-    whole = spark.read.text(path, wholetext=True)
-    parts = whole.select(F.explode(F.filter(F.split("value", r"(?m)^>"), lambda p: F.trim(p) != "")).alias("p"))
+    """(name, seq): lines joined, upper case, anything but ACGTN deleted (or other IUPAC codes made N), empty ones dropped.
+
+    Files are read in byte ranges that end at a record: the line separator is a line's end with the next header's mark, and a record belongs
+    to the range in which it begins. What stands before a file's first header is a record without name.
+    """
+    chunks = spark.read.text(path, lineSep="\n>").select("_metadata.file_path", "_metadata.file_block_start", "value")
+    chunks = chunks.mapInArrow(_first_of_file, "first boolean, value string")
+    # A file's first record still has its mark, or a first line that is no header.
+    record = F.when(~F.col("first"), F.col("value")).when(F.ltrim("value").startswith(">"), F.regexp_replace("value", r"^\s*>", "")).otherwise(F.concat(F.lit("\n"), "value"))
+    parts = chunks.select(F.explode(F.split(record, r"(?m)^[ \t]+>")).alias("p"))  # headers that are indented
     name = F.regexp_extract("p", r"^([^\r\n]*)", 1)
     seq = F.upper(F.substring("p", F.length(name) + 1, F.length("p")))
     seq = F.regexp_replace(F.translate(seq, "RYSWKMBDHV", "NNNNNNNNNN"), "[^ACGTN]", "") if iupac_to_n else F.regexp_replace(seq, "[^ACGTN]", "")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from taxaflow.functions.names import RANKS, run_id, sample_name, taxon_id
-from taxaflow.operators.abundance import dedupe, to_long, union_first, valid_runs
+from taxaflow.operators.abundance import dedupe, union_first, valid_runs
 from taxaflow.shared import file_of, list_files
 
 SAMPLE_NAME = re.compile(r"^(?:SRR|ERR|DRR)\d+|^barcode\d+", re.I)
@@ -49,16 +49,26 @@ def read_table_find_header(spark: SparkSession, path: str, cell: str, sep: str =
 
 
 def read_feature_table(spark: SparkSession, path: str) -> DataFrame:
-    """ab(sample, taxon_id, value) of a wide table, turned if its rows are samples or its columns taxa; zeros and text columns go."""
-    df = read_any(spark, path)
-    key, own = df.columns[0], df.columns[1:]
-    numbers = df.select(key, *[F.col(c).try_cast("double").alias(c) for c in own])
-    known = numbers.agg(*[F.count(F.col(f"`{c}`")).alias(c) for c in own]).first()
-    numbers = numbers.select(key, *[F.coalesce(F.col(f"`{c}`"), F.lit(0.0)).alias(c) for c in own if known[c] and not c.startswith(("Total_counts", "Frecuencia_"))])
-    first = [r[0] for r in numbers.select(key).limit(20).collect()]
-    turned = any(SAMPLE_NAME.match(str(x) or "") for x in first) or any("|" in c or c.startswith("species") for c in numbers.columns[1:])
-    long = to_long(numbers, key)
-    return long.select(F.col("taxon_id").alias("sample"), F.col("sample").alias("taxon_id"), "value") if turned else long
+    """ab(sample, taxon_id, value) of a wide table, turned if its rows are samples or its columns taxa; zeros and what isn't a number go.
+
+    Lines are split and their cells made rows, so a table may have any number of columns. Only a row's name may be quoted.
+    """
+    lines = spark.read.text(path)
+    head = (lines.head() or [""])[0]
+    sep = max(("\t", ";", ","), key=head.count)
+    names = [n.strip('"').replace('\\"', '"') for n in head.split(sep)[1:]]
+    quoted = F.col("value").startswith('"')
+    start = F.when(quoted, F.regexp_extract("value", r'^("(?:[^"\\]|\\.)*")', 1)).otherwise(F.split_part("value", F.lit(sep), F.lit(1)))
+    key = F.when(quoted, F.replace(F.expr("substring(start, 2, length(start) - 2)"), F.lit('\\"'), F.lit('"'))).otherwise(F.col("start"))
+    rows = lines.where(F.col("value") != head).select("value", start.alias("start")).select(key.alias("key"), F.split(F.substring("value", F.length("start") + 2, F.length("value")), re.escape(sep)).alias("cells"))
+    first = [r[0] for r in rows.select("key").limit(20).collect()]
+    turned = any(SAMPLE_NAME.match(x or "") for x in first) or any("|" in c or c.startswith("species") for c in names)
+    summary = [i for i, c in enumerate(names) if c.startswith(("Total_counts", "Frecuencia_"))]
+    # The header is one value of the plan: its names are looked up by number.
+    named = F.split(F.lit("\x1f".join(names)), "\x1f")
+    cells = rows.select("key", F.posexplode("cells").alias("no", "cell")).select("key", F.get(named, F.col("no")).alias("name"), "no", F.col("cell").try_cast("double").alias("value"))
+    long = cells.where((F.col("value") > 0) & F.col("name").isNotNull() & ~F.col("no").isin(summary))
+    return long.select(*(("key", "name") if turned else ("name", "key")), "value").toDF("sample", "taxon_id", "value")
 
 
 def relative_column(sums: dict[str, float], abundance_first: bool = True, any_named: bool = True) -> str | None:

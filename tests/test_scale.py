@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from taxaflow.operators import comparison as C
 from taxaflow.operators import diversity as D
 from taxaflow.operators import hypothesis, ranges
+from taxaflow.sources import fastq, sinks, tables
 
 AB = "sample string, taxon_id string, value double"
 
@@ -88,3 +89,62 @@ def test_ranks_of_a_million_values(spark):
     want = df.select("v").toPandas()["v"]
     rank = pd.DataFrame({"v": want, "r": want.rank()}).drop_duplicates().sort_values("v")
     assert np.allclose(got["v"], rank["v"]) and np.allclose(got["rank"], rank["r"]) and got["t"].sum() == 1_000_000
+
+
+def test_a_wide_table_of_many_samples(spark, tmp_path):
+    n = 10_050
+    ab = spark.range(n).select(F.concat(F.lit("barcode"), "id").alias("sample"), F.explode(F.array(F.lit("species|1|a"), F.lit('species|2|"b"\tc'))).alias("taxon_id"), (F.col("id") + 0.5).alias("value"))
+    ab = ab.where("taxon_id <> 'species|1|a' or sample like '%7'").unionByName(spark.createDataFrame([("barcode3", "species|3|", 2.0)], AB))
+    sinks.write_feature_table(ab, str(tmp_path / "wide"))
+    lines = spark.read.text(str(tmp_path / "wide")).collect()
+    assert {len(r[0].replace('"\tc', "").split("\t")) for r in lines} == {n + 1}
+    assert rows_of(tables.read_feature_table(spark, str(tmp_path / "wide"))) == rows_of(ab)
+
+
+def test_fasta_in_ranges_is_fasta_in_one(spark, tmp_path):
+    rng = random.Random(3)
+    text, want = "ACG\nTNx\n", [("", "ACGTN")]
+    for i in range(400):
+        seq = "".join(rng.choice("ACGTN") for _ in range(rng.randrange(1, 200)))
+        text += f"{rng.choice(('>', '>', ' >'))}r{i} a->b\n" + "\n".join(seq[k : k + 60].lower() for k in range(0, len(seq), 60)) + rng.choice(("\n", "\n\n", "\r\n"))
+        want.append((f"r{i} a->b", seq))
+    for name in ("p", "q"):
+        (tmp_path / f"{name}.fasta").write_text(text + ">empty\n>  \n")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        parts = []
+        for size in ("128m", "700"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", "0" if size == "700" else "4m")
+            df = fastq.read_fasta(spark, str(tmp_path))
+            parts.append(df.rdd.getNumPartitions())
+            assert rows_of(df) == sorted(want * 2)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert parts[1] > 50 > parts[0]
+
+
+def test_published_sets_are_whole(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "set")
+    table = lambda k: spark.range(k).select("id")
+    of = lambda: [spark.read.parquet(f"{sinks.published(spark, path)}/{n}").count() for n in ("a", "b")]
+    assert sinks.published(spark, path) is None
+    sinks.publish({"a": table(1), "b": table(1)}, path)
+    with pytest.raises(FileExistsError):
+        sinks.publish({"a": table(2), "b": table(2)}, path)
+    write = sinks.write_table
+    point = sinks._point
+
+    def killed(*_):
+        raise KeyboardInterrupt
+
+    for name, at in (("write_table", lambda df, p, f: killed() if p.endswith("b") else write(df, p, f)), ("_point", killed)):
+        monkeypatch.setattr(sinks, name, at)
+        with pytest.raises(KeyboardInterrupt):
+            sinks.publish({"a": table(2), "b": table(2)}, path, force=True)
+        assert of() == [1, 1]
+        monkeypatch.setattr(sinks, "write_table", write)
+        monkeypatch.setattr(sinks, "_point", point)
+    sinks.publish({"a": table(3), "b": table(3)}, path, force=True)
+    assert of() == [3, 3] and sum(p.name.startswith("version-") for p in (tmp_path / "set").iterdir()) == 1

@@ -83,12 +83,12 @@ def test_publish_all_or_nothing(spark, tmp_path):
     good, bad = spark.range(3), spark.range(3).where(F.assert_true(F.col("id") < 2).isNull())
     with pytest.raises(Exception):  # noqa: B017
         sinks.publish({"a": good, "b": bad}, target)
-    assert not (tmp_path / "out").exists() and not list(tmp_path.glob("out.staged*"))
+    assert sinks.published(spark, target) is None and not list(tmp_path.glob("out/version-*"))
     sinks.publish({"a": good}, target)
     with pytest.raises(FileExistsError):
         sinks.publish({"a": good}, target)
     sinks.publish({"a": spark.range(5)}, target, force=True)
-    assert spark.read.parquet(f"{target}/a").count() == 5
+    assert spark.read.parquet(f"{sinks.published(spark, target)}/a").count() == 5
 
 
 def test_rows_split_by_a_check(spark):
