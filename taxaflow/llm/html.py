@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import html as references
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -49,8 +50,8 @@ AMBIGUOUS = frozenset("alert notice notices related recommended search skip repl
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: A container must hold this share of the running text around it to be gone down to.
 NEARLY_ALL = 0.8
-#: Characters of running text under which an element is never more than its name says.
-MUCH = 400
+#: Inside these a class tells a kind of text: code is marked up so.
+MARKED_UP = frozenset("pre code".split())
 CLOSED_BY_P = frozenset(
     "address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul li dd dt tr td th tbody thead".split()
 )
@@ -74,6 +75,8 @@ def _named(token: str, tag: str, in_article: bool) -> bool | None:
     kinds = SKIPPED_WORDS if in_article else SKIPPED_WORDS | HEAD_WORDS
     if tag in ("article", "main"):
         kinds = COMMENT_WORDS
+    elif in_article and tag in HEADINGS:
+        return None
     elif in_article and tag in PROSE:
         kinds = kinds - AMBIGUOUS
     if not any(w in kinds for w in words) or not all(w in kinds or w in FILLER for w in words):
@@ -113,18 +116,19 @@ class Page:
         return ">".join(reversed(names))
 
     def _read(self, source: str) -> None:
-        stack: list[tuple[str, int, bool, bool]] = []  # tag, element number, skipped, in an article
-        parts: list[str] = []
-        links, pos, in_link = 0, 0, 0
+        stack: list[tuple[str, int, bool, bool, bool]] = []  # tag, element number, skipped, in an article, in an inline element named otherwise
+        parts: list[str] = []  # what was skipped never gets here
+        links, pos, in_link, plain = 0, 0, 0, False
 
         def end_block() -> None:
-            nonlocal links
+            nonlocal links, plain
             if parts:
-                text = " ".join(references.unescape("".join(parts)).split())
-                if text and not (stack and stack[-1][2]):
-                    self.blocks.append((text, min(links, len(text)), stack[-1][1] if stack else -1))
+                text, at = " ".join(references.unescape("".join(parts)).split()), stack[-1][1] if stack else -1
+                # Of a block that is all inline elements named as something else nothing is the article's, unless its own tag says so.
+                if text and (plain or at >= 0 and self.tags[at] in PROSE):
+                    self.blocks.append((text, min(links, len(text)), at))
                 parts.clear()
-            links = 0
+            links, plain = 0, False
 
         def pop_to(k: int) -> None:
             nonlocal in_link
@@ -137,6 +141,7 @@ class Page:
             end = m.start() if m else n
             if end > pos and not (stack and stack[-1][2]):
                 parts.append(source[pos:end])
+                plain = plain or not (stack and stack[-1][4]) and not source[pos:end].isspace()
                 if in_link:
                     links += end - pos
             if not m:
@@ -179,7 +184,7 @@ class Page:
                 continue
             if tag in VOID or attributes.rstrip().endswith("/") and tag in INLINE:
                 continue
-            above = stack[-1] if stack else ("", -1, False, False)
+            above = stack[-1] if stack else ("", -1, False, False, False)
             in_article = above[3] or tag in ("article", "main")
             skipped, soft, name = above[2] or tag in SKIPPED, False if tag in SKIPPED_IF_SMALL and not (tag == "header" and above[3]) else None, tag
             if attributes and not attributes.isspace():
@@ -195,12 +200,14 @@ class Page:
                         if key == "class" and (found := [w for w in NOT_WORD.split(value) if w]):
                             name += "." + ".".join(found)
             if tag in INLINE:
-                stack.append((tag, above[1], skipped or soft is not None, in_article))
+                # By its class alone no inline element goes: text around it goes on.
+                named = soft is not None and not any(x[0] in MARKED_UP for x in stack)
+                stack.append((tag, above[1], skipped, in_article, above[4] or named))
                 in_link += tag == "a"
             else:
                 # The root isn't part of a path: pages with and without its tag agree.
                 over = self.path_of[above[1]] if above[1] >= 0 and above[0] != "html" else -1
-                stack.append((tag, len(self.parents), skipped, in_article))
+                stack.append((tag, len(self.parents), skipped, in_article, above[4]))
                 if soft is not None:
                     self._soft[len(self.parents)] = soft
                 self.parents.append(above[1])
@@ -240,12 +247,13 @@ class Page:
             while e >= 0 and e not in around:
                 around.add(e)
                 e = self.parents[e]
-        mark(lambda e: e in self._soft and not (2 * held[e] > total and held[e] >= MUCH and (e in around or not marked)))
+        mark(lambda e: e in self._soft and not (2 * held[e] > total and (e in around or not marked)))
         self.blocks = [x for x in self.blocks if x[2] < 0 or not gone[x[2]]]
 
     def best(self) -> tuple[int, float]:
         """The element to read, and the running text under it. From the root on, a child with nearly all of it is gone down to, but not
-        past a heading, not out of an article (out of main only if nothing else is in it), and not into a paragraph."""
+        past a heading of its own level or a title before it, not out of an article (in main only if nothing else is in it), and not into
+        a paragraph."""
         held, children = self._sums(_value), {}
         if not self.blocks:
             return -1, 0.0
@@ -258,13 +266,17 @@ class Page:
                 if parent not in largest or held[e] > held[largest[parent]]:
                     largest[parent] = e
         headed = {self.parents[e] for _, _, e in self.blocks if e >= 0 and self.tags[e] in HEADINGS}
-        at, all_held, all_texts = -1, sum(map(_value, self.blocks)), len(self.blocks)
+        titles = sorted({e for _, _, e in self.blocks if e >= 0 and self.tags[e] == "h1"})
+        at, all_held, all_texts, in_main = -1, sum(map(_value, self.blocks)), len(self.blocks), False
         while at in largest:
             e = largest[at]
-            whole = texts[e] == all_texts
+            # Elements are numbered in page order, so titles between the two are under the one and before the other.
+            if bisect_left(titles, e) > bisect_left(titles, at + 1):
+                break
+            whole, in_main = texts[e] == all_texts, in_main or at >= 0 and self.tags[at] == "main"
             if at >= 0 and (e not in largest or self.tags[e] in PROSE - {"section", "td", "table"}):
                 break
-            if at >= 0 and not whole and (held[e] < NEARLY_ALL * all_held or at in headed or self.tags[at] == "main") or at >= 0 and self.tags[at] == "article":
+            if at >= 0 and not whole and (held[e] < NEARLY_ALL * all_held or at in headed or in_main) or at >= 0 and self.tags[at] == "article":
                 break
             if at < 0 and not whole and held[e] < NEARLY_ALL * all_held:
                 break

@@ -162,3 +162,55 @@ def test_read_back_in_as_many_tasks_as_archives_need(spark, monkeypatch):
     assert got.rdd.getNumPartitions() > 4 and got.count() == 200
     assert {(r["page_id"], r["refers_to"]) for r in got.where("record_type = 'revisit'").collect()} == {(i, i % 50) for i in range(50, 200)}
     assert got.select(F.count_distinct("payload_digest")).first()[0] == 50
+
+
+ARTICLE = "<p>" + "A long run of words that tells what the page is about, with commas and all. " * 4 + "</p>"
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ('<div class="social"><div class="post">{}</div></div>', "{}"),  # however short
+        ("<article>{}<p>Real text here <span class='share'>x</p></article>", "{}\n\nReal text here x"),
+        ("<article>{}<div>Second paragraph text <a class='social'><div>icon</div></a></div></article>", "{}\n\nSecond paragraph text"),
+        ('<article>{}<pre><code><span class="token comment"># note</span></code></pre></article>', "{}\n\n# note"),
+        ("<article>{}<p>The <span class='widget'>foo</span> bar <em class='notice'>is</em> <a class='related'>linked</a>.</p></article>", "{}\n\nThe foo bar is linked."),
+        ("<article><h1 class='promo'>Title</h1>{}</article>", "Title\n\n{}"),
+        ("<div class=title><h1>Title</h1></div><div class=body>{}</div>", "Title\n\n{}"),
+        ("<div class=body>{}</div><div><a class=share>Share</a> <a class=share>Post</a></div>", "{}"),
+        ("<article>{}<p hidden>no</p><p>yes <b hidden>no</b>end</p></article>", "{}\n\nyes end"),
+    ],
+)
+def test_text_around_what_is_left_out(page, want):
+    text = Page(ARTICLE).text([])
+    assert Page(page.replace("{}", ARTICLE)).text([]) == want.replace("{}", text)
+
+
+def test_nested_pages_by_brute_force():
+    rng = random.Random(8)
+    for _ in range(300):
+        n, blocks = 0, []
+
+        def word():
+            nonlocal n
+            n += 1
+            return f"w{n}"
+
+        def inline(depth=0):
+            text = " ".join(word() for _ in range(rng.randrange(2, 12)))
+            if depth < 3 and rng.random() < 0.5:
+                inner = inline(depth + 1)
+                tag = rng.choice(("em", "span", "a", "b"))
+                return text + f" <{tag} class='{rng.choice(('x', 'share', 'comment', 'widget ad', 'promo'))}'>" + inner[0] + f"</{tag}> end", text + " " + inner[1] + " end"
+            return text, text
+
+        def block():
+            source, text = inline()
+            blocks.append(text)
+            return f"<{(tag := rng.choice(('p', 'p', 'h2', 'li', 'blockquote')))}>{source}</{tag}>"
+
+        body = "".join(rng.choice(("{}", "<div>{}</div>", "<section class='part'>{}</section>")).format(block()) for _ in range(rng.randrange(2, 9)))
+        noise = lambda: rng.choice(("<nav>Home</nav>", "<div class='sidebar'><p>side</p></div>", "<aside>a</aside>", "<div class='ad'>buy</div>", "<script>x<p></script>", "<form>f</form>", ""))
+        wrap = rng.choice(("<article>{}</article>", "<main><div class='entry'>{}</div></main>", "<div id='c'><article class='post share'>{}</article></div>"))
+        page = Page(f"<html><body>{noise()}{noise()}{wrap.format(body)}{noise()}<footer>end</footer></body></html>")
+        assert page.text([]) == "\n\n".join(blocks)
