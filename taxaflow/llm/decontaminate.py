@@ -2,8 +2,8 @@
 
 A spaced seed is a fixed mask over a window of words: it hashes the words it selects and ignores the others, so a substituted word at an
 ignored place leaves the hash as it was. The hashes of all windows of the documents meet those of the benchmark. Only hashes and places
-move; the words of both windows are fetched for hits alone. Hits on one diagonal (place in the document less place in the item) are put
-together, and the words that agree along it are counted, so substitutions cost their own place only.
+move; words are fetched for hits alone. Of each diagonal (place in the document less place in the item) with a hit all words are compared, and
+every part of it is judged, so substitutions cost their own place only and no passage hides another.
 """
 
 from __future__ import annotations
@@ -70,48 +70,16 @@ def overlaps(
     min_matched: int = MIN_MATCHED,
     min_identity: float = MIN_IDENTITY,
     max_broadcast_rows: int = MAX_BROADCAST_ROWS,
-) -> DataFrame:
-    """(doc_id, item_id, diagonal, matched, first_word, last_word, row_key): stretches of a document that a benchmark item holds.
-
-    A stretch counts from `min_matched` agreeing words and `min_identity` of its length. Null and empty texts, and texts and items of
-    fewer than SPAN words, match nothing. Items that repeat a row count once, and so do documents that repeat in id and text; null ids
-    stay null. With either table empty there are no rows.
-    """
-    source, items = words_of(docs, benchmark, id_col, text_col, item_col, item_text_col)
-    pair = ["doc_id", "row_key", "item_id", "item_key"]
-    hits = seed_hits(source, items, max_broadcast_rows).select(*pair, "pos", "item_pos").distinct()
-    hits = decisions(hits.select(*[F.col(c).alias(f"hit_{c}") for c in pair], "pos", "item_pos"), "hits", max_broadcast_rows)
-    same_row = (F.col("row_key") == F.col("hit_row_key")) & F.col("doc_id").eqNullSafe(F.col("hit_doc_id"))
-    read = source.join(hits, same_row, "left_semi").select("doc_id", "row_key", word_hashes(F.col("text")).alias("words"))
-    window = lambda words, pos: F.slice(words, F.col(pos) + 1, SPAN)
-    mine = read.join(hits, same_row).select("doc_id", "row_key", "hit_item_id", "hit_item_key", "pos", "item_pos", window("words", "pos").alias("w"))
-    theirs = bounded_broadcast(items, max_broadcast_rows // SPAN)
-    both = mine.join(theirs, (F.col("hit_item_key") == F.col("item_key")) & F.col("hit_item_id").eqNullSafe(F.col("item_id")))
-    pairs = F.arrays_zip("w", window("words", "item_pos").alias("v"))
-    found = both.select("doc_id", "row_key", "item_id", (F.col("pos") - F.col("item_pos")).alias("diagonal"), "pos", F.posexplode(pairs).alias("k", "x"))
-    found = found.where("x.w = x.v").select("doc_id", "row_key", "item_id", "diagonal", (F.col("pos") + F.col("k")).alias("at"))
-    # A place is agreed on by each window over it, by each mask, in each row that repeats: each counts once.
-    found = found.distinct().groupBy("doc_id", "row_key", "item_id", "diagonal")
-    found = found.agg(F.count("*").alias("matched"), F.min("at").cast("long").alias("first_word"), F.max("at").cast("long").alias("last_word"))
-    return found.where((F.col("matched") >= min_matched) & (F.col("matched") >= min_identity * (F.col("last_word") - F.col("first_word") + 1)))
-
-
-def stretches(
-    docs: DataFrame,
-    benchmark: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    item_col: str = "item_id",
-    item_text_col: str = "text",
-    min_matched: int = MIN_MATCHED,
-    min_identity: float = MIN_IDENTITY,
-    max_broadcast_rows: int = MAX_BROADCAST_ROWS,
 ) -> DataFrame:
     """(doc_id, item_id, diagonal, last_word, row_key): words of a document at which a stretch that a benchmark item holds ends.
 
     Where a seed hits, the whole diagonal is read: every agreeing word counts, also between and beside the hits. A stretch is any part of it
     from one agreeing word to another with `min_matched` agreeing words and `min_identity` of its length (in whole percent), so what else
-    agrees on the diagonal can't undo one. Rows are judged as in `overlaps`, which judges each diagonal's hits as one stretch.
+    agrees on the diagonal can't undo one.
+
+    Null and empty texts, and texts and items of fewer than SPAN words, match nothing; texts of any length are read whole. Items that repeat
+    a row count once, and so do documents that repeat in id and text; null ids stay null. With either table empty there are no rows. Extra
+    columns are ignored, whatever their names.
     """
     source, items = words_of(docs, benchmark, id_col, text_col, item_col, item_text_col)
     hits = seed_hits(source, items, max_broadcast_rows)
@@ -138,13 +106,15 @@ def stretches(
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """(doc_id, item_id, matched, n_stretches): for each document and item that overlap, the words of the longest stretch."""
-    return overlaps(docs, benchmark, **options).groupBy("doc_id", "item_id").agg(F.max("matched").alias("matched"), F.count("*").alias("n_stretches"))
+    """(doc_id, item_id, n_diagonals, n_ends): for each document and item that overlap, the diagonals with a stretch, and the words at which
+    one ends. Rows as in `overlaps`."""
+    found = overlaps(docs, benchmark, **options).groupBy("doc_id", "item_id", "diagonal").agg(F.count("*").alias("n"))
+    return found.groupBy("doc_id", "item_id").agg(F.count("*").alias("n_diagonals"), F.sum("n").alias("n_ends"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of `docs` that hold no stretch of a benchmark item. Rows that repeat stay or go together."""
-    bad = stretches(docs, benchmark, id_col, text_col, **options).select(F.col("doc_id").alias("__bad_id"), F.col("row_key").alias("__bad_key")).distinct()
+    bad = overlaps(docs, benchmark, id_col, text_col, **options).select(F.col("doc_id").alias("__bad_id"), F.col("row_key").alias("__bad_key")).distinct()
     bad = decisions(bad, "contaminated")
     key = row_key(docs[id_col].cast("long"), docs[text_col].cast("string"))
     return docs.join(bad, (key == bad["__bad_key"]) & docs[id_col].cast("long").eqNullSafe(bad["__bad_id"]), "left_anti")

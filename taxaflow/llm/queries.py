@@ -122,7 +122,7 @@ from o
 """
 
 _MASKED = " union all ".join(
-    "select doc_id, item_id, d.i as i, d.i - b.i as diagonal, d.v as v, b.v as u from d join b on "
+    "select doc_id, item_id, d.i - b.i as diagonal from d join b on "
     + " and ".join(f"d.v[{k + 1}] = b.v[{k + 1}]" for k in mask)
     for mask in decontaminate.MASKS
 )
@@ -133,10 +133,11 @@ bw as (select item_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') as w
 d as (select doc_id, i, ws[i:i+11] as v from (select doc_id, ws, unnest(range(1, len(ws) - 10)) as i from dw where len(ws) >= 12)),
 b as (select item_id, i, ws[i:i+11] as v from (select item_id, ws, unnest(range(1, len(ws) - 10)) as i from bw where len(ws) >= 12)),
 h as ({_MASKED}),
-p as (select distinct doc_id, item_id, diagonal, i + k - 1 as place from (select *, unnest(range(1, 13)) as k from h) where v[k] = u[k]),
-s as (select doc_id, item_id, diagonal, count(*) as matched, max(place) - min(place) + 1 as stretch from p group by all)
-select doc_id, item_id, max(matched)::bigint as matched, count(*)::bigint as n_stretches
-from s where matched >= 12 and matched >= 0.7 * stretch group by doc_id, item_id
+g as (select distinct doc_id, item_id, diagonal from h),
+w as (select doc_id, item_id, diagonal, dw.ws as ws, bw.ws as items, unnest(range(greatest(diagonal, 0) + 1, least(len(dw.ws), len(bw.ws) + diagonal) + 1)) as place from g join dw using (doc_id) join bw using (item_id)),
+l as (select doc_id, item_id, diagonal, place, 100 * row_number() over (partition by doc_id, item_id, diagonal order by place) - 70 * place as level from w where ws[place] = items[place - diagonal]),
+e as (select *, min(level) over (partition by doc_id, item_id, diagonal order by place rows between unbounded preceding and 11 preceding) as least from l)
+select doc_id, item_id, count(distinct diagonal) as n_diagonals, count(*) as n_ends from e where level - least + 30 >= 0 group by doc_id, item_id
 """
 
 _ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
