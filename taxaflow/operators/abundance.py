@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from taxaflow.functions.names import UNASSIGNED, barcode_no, is_unassigned
-from taxaflow.shared import not_empty
+from taxaflow.shared import never_empty
 
 
 def _positive(ab: DataFrame) -> DataFrame:
@@ -35,21 +35,21 @@ def to_relative(ab: DataFrame) -> DataFrame:
     return ab.join(total, F.col("sample") == F.col("of")).withColumn("value", share).drop("of", "t")
 
 
-def with_taxonomy(ab: DataFrame, taxonomy: DataFrame) -> DataFrame:
-    """`ab` with the taxonomy of its taxa. If none of them is known but samples are, the table is the other way round; if neither, an error."""
-    joined = ab.join(taxonomy, "taxon_id")
-    if joined.isEmpty():
-        other = {"sample": "taxon_id", "taxon_id": "sample"}
-        turned = ab.select(*[F.col(other.get(c, c)).alias(c) for c in ab.columns])
-        known = taxonomy.withColumnRenamed("taxon_id", "of")
-        joined = not_empty(turned.join(known, F.col("taxon_id").cast("string") == F.col("of").cast("string")).drop("of"), "no taxon of the table has a taxonomy")
-    return joined
-
-
 def collapse_rank(ab: DataFrame, taxonomy: DataFrame, rank: str) -> DataFrame:
-    """Sums by sample and name at a rank; null names go."""
-    named = with_taxonomy(ab, taxonomy.select("taxon_id", F.col(rank).alias("name"))).where("name is not null")
-    return named.groupBy("sample", F.col("name").alias("taxon_id")).agg(F.sum("value").alias("value"))
+    """Sums by sample and name at a rank; null names go. If no taxon has a taxonomy but samples do, the table is taken the other way round; if
+    neither have, an error when the rows are read.
+
+    Both ways are joined and summed in one pass; the few sums then tell which it is.
+    """
+    known = taxonomy.select(F.col("taxon_id").cast("string").alias("of"), F.col(rank).alias("name"))
+    sample, taxon = F.col("sample").cast("string"), F.col("taxon_id").cast("string")
+    way = lambda turned, key, rest: F.struct(F.lit(turned).alias("turned"), key.alias("key"), rest.alias("sample"))
+    both = ab.select("value", F.explode(F.array(way(False, taxon, sample), way(True, sample, taxon))).alias("w")).select("value", "w.*")
+    sums = both.join(known, F.col("key") == F.col("of")).groupBy("turned", "sample", "name").agg(F.sum("value").alias("value"))
+    first = sums.agg(F.min("turned").alias("way"))  # one row
+    out = sums.join(F.broadcast(first), F.col("turned") == F.col("way")).where("name is not null")
+    out = out.select(F.col("sample").cast(ab.schema["sample"].dataType).alias("sample"), F.col("name").alias("taxon_id"), "value")
+    return never_empty(out, "no taxon of the table has a taxonomy", sums)
 
 
 def drop_unassigned(ab: DataFrame) -> DataFrame:
@@ -114,7 +114,7 @@ def align_samples(tables: list[DataFrame]) -> DataFrame:
         rows = rows.unionByName(t)
     once = rows.groupBy("sample", "taxon_id").agg(F.sum("value").alias("value"), F.count("*").alias("n"))
     good = once.where(F.assert_true(F.col("n") == 1, F.concat(F.lit("twice in a sample: "), F.col("taxon_id").cast("string"))).isNull()).select("sample", "taxon_id", "value")
-    # The total's row never comes out: it fails or goes. It reads the shuffle that the rows come from.
+    # The total's row never comes out: it fails or goes.
     total = once.agg(F.coalesce(F.sum("value"), F.lit(0.0)).alias("value")).where(F.assert_true(F.col("value") > 0, "the table of abundances is empty or holds zeros only").isNotNull())
     return good.unionByName(total, allowMissingColumns=True)
 

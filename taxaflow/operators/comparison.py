@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from taxaflow.functions.distributions import pearson_p
-from taxaflow.shared import not_empty
+from taxaflow.shared import never_empty
 
 from .abundance import mean_profile, to_relative
 from .ranges import quantiles
@@ -27,8 +27,8 @@ def common_taxa(m1: DataFrame, m2: DataFrame) -> DataFrame:
 
 
 def compare_means(ab1: DataFrame, ab2: DataFrame) -> DataFrame:
-    """Both means on common taxa, their difference, in falling order of the first; an error if no taxon is common."""
-    both = not_empty(common_taxa(mean_profile(ab1), mean_profile(ab2)), "no taxon is common to both")
+    """Both means on common taxa, their difference, in falling order of the first; that no taxon is common is an error when the rows are read."""
+    both = never_empty(common_taxa(mean_profile(ab1), mean_profile(ab2)), "no taxon is common to both")
     return both.select("*", (F.col("mine") - F.col("theirs")).alias("delta"), F.abs(F.col("mine") - F.col("theirs")).alias("abs_delta")).orderBy(F.desc("mine"), "taxon_id")
 
 

@@ -9,51 +9,72 @@ from taxaflow.shared import forget, saved
 
 #: Abundances (a row for each sample and taxon) up to which they are broadcast to the hits.
 MAX_BROADCAST_ABUNDANCES = 2_000_000
+#: The least that an extrapolated share may be of the plain one.
+LEAST_SHARE = 0.01
 
 
-def em_abundance(hits: DataFrame, tol: float = 0.01, max_iter: int = 50, save_every: int = 5) -> DataFrame:
+def _kinds(hits: DataFrame) -> DataFrame:
+    """(sample, h, n, top, kind): reads of a sample with the same hits as one row with their number. A read's hits are one row, as they are few."""
+    of_read = hits.groupBy("sample", "read_id").agg(F.max("loglik").alias("top"), F.sort_array(F.collect_list(F.struct("taxon_id", "loglik"))).alias("h"))
+    of_read = of_read.select("sample", F.transform("h", lambda x: F.struct(x["taxon_id"].alias("taxon_id"), F.exp(x["loglik"] - F.col("top")).alias("l"))).alias("h"), "top")
+    return of_read.groupBy("sample", "h").agg(F.count("*").alias("n"), F.sum("top").alias("top")).withColumn("kind", F.monotonically_increasing_id())
+
+
+def em_abundance(hits: DataFrame, tol: float = 0.01, max_rounds: int = 60, rounds: list[int] | None = None) -> DataFrame:
     """(sample, taxon_id, value) from hits(sample, read_id, taxon_id, loglik).
 
-    E: P(t | r) is proportional to f(t) exp(loglik); M: f(t) is the mean of P over the sample's reads. Ends when no sample's log likelihood
-    gains `tol` in a round; that is looked at, and lineage cut in the shared folder, every `save_every` rounds. A read's hits are one row,
-    as they are few; reads of a sample with the same hits are one row with their number. Each round is a join and two aggregates.
+    E: P(t | r) is proportional to f(t) exp(loglik); M: f(t) is the mean of P over the sample's reads. After two such rounds each sample's
+    shares are carried on by squared extrapolation: with r the first change and v what the second differs from it, to f - 2 a r + a^2 v with
+    a = -|r| / |v|; a third round starts there. A sample whose likelihood is less there than before goes on from its second round, so it
+    never falls. Ends when no sample's log likelihood gains `tol` in a plain round. A round is a join and two aggregates, and is saved in the
+    shared folder. `rounds`, if given, gets their number.
     """
-    of_read = hits.groupBy("sample", "read_id").agg(F.max("loglik").alias("top"), F.sort_array(F.collect_list(F.struct("taxon_id", "loglik"))).alias("h"))
-    of_read = of_read.select("sample", F.transform("h", lambda x: F.struct(x["taxon_id"].alias("taxon_id"), F.exp(x["loglik"] - F.col("top")).alias("l"))).alias("h"), "top")
-    kinds = of_read.groupBy("sample", "h").agg(F.count("*").alias("n"), F.sum("top").alias("top")).withColumn("kind", F.monotonically_increasing_id())
-    kinds = saved(kinds, "hits")
+    kinds = saved(_kinds(hits), "hits")
     like = kinds.select("sample", "kind", "n", F.inline("h"))
-    reads = kinds.groupBy("sample").agg(F.sum("n").alias("reads"), F.sum("top").alias("top"))
+    reads = kinds.groupBy("sample").agg(F.sum("n").alias("reads"))
     taxa = like.select("sample", "taxon_id").distinct()
     k = taxa.groupBy("sample").agg((1 / F.count("*")).alias("f"))
     f = saved(taxa.join(k, "sample").select("sample", "taxon_id", "f"), "abundances")
     small = f.limit(MAX_BROADCAST_ABUNDANCES + 1).count() <= MAX_BROADCAST_ABUNDANCES
-    held, done = f, 0
+    near = F.broadcast if small else lambda df: df
+    done = 0
 
-    def shares(f: DataFrame) -> DataFrame:
-        joint = like.join(F.broadcast(f) if small else f, ["sample", "taxon_id"]).select("sample", "kind", "n", "taxon_id", (F.col("f") * F.col("l")).alias("w"))
-        total = joint.groupBy("sample", "kind").agg(F.sum("w").alias("t"), F.first("n").alias("n"), F.collect_list(F.struct("taxon_id", "w")).alias("of"))
-        return total
-
-    def step(total: DataFrame) -> DataFrame:
-        part = total.select("sample", "n", "t", F.inline("of"))
-        return part.groupBy("sample", "taxon_id").agg(F.sum(F.col("n") * F.col("w") / F.col("t")).alias("s")).join(F.broadcast(reads) if small else reads, "sample").select("sample", "taxon_id", (F.col("s") / F.col("reads")).alias("f"))
-
-    def fit(total: DataFrame, name: str) -> DataFrame:
-        return total.groupBy("sample").agg(F.sum(F.col("n") * F.log("t")).alias(name))
-
-    while done < max_iter:
-        rounds = min(save_every, max_iter - done)
-        for _ in range(rounds - 1):
-            f = step(shares(f))
-        f, done = saved(f, "abundances"), done + rounds - 1
-        forget(held)
-        before = shares(f)
-        f, last = saved(step(before), "abundances"), f
+    def round_of(f: DataFrame) -> DataFrame:
+        """(sample, taxon_id, f, ll): the next abundances, and parts of the log likelihood of those given, which add up to it by sample."""
+        nonlocal done
         done += 1
-        gain = fit(shares(f), "now").join(fit(before, "then"), "sample").agg(F.max(F.col("now") - F.col("then")).alias("gain")).first()["gain"]
-        forget(last)
-        held = f
-        if gain is None or gain < tol:
+        joint = like.join(near(f.select("sample", "taxon_id", "f")), ["sample", "taxon_id"]).select("sample", "kind", "n", "taxon_id", (F.col("f") * F.col("l")).alias("w"))
+        total = joint.groupBy("sample", "kind").agg(F.sum("w").alias("t"), F.first("n").alias("n"), F.collect_list(F.struct("taxon_id", "w")).alias("of"))
+        part = total.select("sample", "n", "t", F.posexplode("of").alias("at", "x")).select("sample", "x.taxon_id", "n", "t", "x.w", "at")
+        ll = F.sum(F.when(F.col("at") == 0, F.col("n") * F.log("t")).otherwise(0.0)).alias("ll")
+        new = part.groupBy("sample", "taxon_id").agg(F.sum(F.col("n") * F.col("w") / F.col("t")).alias("s"), ll).join(near(reads), "sample")
+        return saved(new.select("sample", "taxon_id", (F.col("s") / F.col("reads")).alias("f"), "ll"), "abundances")
+
+    fit = lambda t, name: t.groupBy("sample").agg(F.sum("ll").alias(name))
+    while True:
+        one = round_of(f)
+        two = round_of(one)
+        gain = fit(two, "now").join(fit(one, "then"), "sample").agg(F.max(F.col("now") - F.col("then")).alias("gain")).first()["gain"]
+        if gain is None or gain < tol or done + 1 > max_rounds:
             break
-    return f.select("sample", "taxon_id", F.col("f").alias("value"))
+        both = f.select("sample", "taxon_id", F.col("f").alias("f0")).join(one.select("sample", "taxon_id", F.col("f").alias("f1")), ["sample", "taxon_id"])
+        both = both.join(two.select("sample", "taxon_id", F.col("f").alias("f2")), ["sample", "taxon_id"])
+        both = both.select("*", (F.col("f1") - F.col("f0")).alias("r"), (F.col("f2") - 2 * F.col("f1") + F.col("f0")).alias("v"))
+        size = both.groupBy("sample").agg(F.sqrt(F.sum(F.col("r") * F.col("r"))).alias("r_size"), F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("v_size"))
+        # A step of at least 1 is what two plain rounds make; shares stay above 0 and are made to add up again.
+        step = size.select("sample", F.greatest(F.coalesce(F.col("r_size") / F.nullif("v_size", F.lit(0.0)), F.lit(1.0)), F.lit(1.0)).alias("a"))
+        far = both.join(near(step), "sample").withColumn("g", F.greatest(F.col("f0") + 2 * F.col("a") * F.col("r") + F.col("a") * F.col("a") * F.col("v"), F.col("f2") * LEAST_SHARE))
+        far = far.join(near(far.groupBy("sample").agg(F.sum("g").alias("all"))), "sample")
+        far = saved(far.select("sample", "taxon_id", (F.col("g") / F.col("all")).alias("f")), "abundances")
+        three = round_of(far)
+        better = fit(three, "far").join(fit(two, "near"), "sample").select("sample", (F.col("far") >= F.col("near")).alias("better"))
+        last = f
+        f = two.select("sample", "taxon_id", F.col("f").alias("f2")).join(three.select("sample", "taxon_id", F.col("f").alias("f3")), ["sample", "taxon_id"]).join(near(better), "sample")
+        f = saved(f.select("sample", "taxon_id", F.when(F.col("better"), F.col("f3")).otherwise(F.col("f2")).alias("f")), "abundances")
+        for t in (last, one, two, far, three):
+            forget(t)
+    if rounds is not None:
+        rounds.append(done)
+    for t in (f, one):
+        forget(t)
+    return two.select("sample", "taxon_id", F.col("f").alias("value"))

@@ -446,9 +446,9 @@ def taxa_union(v: Views) -> DataFrame:
     return v.s1.select("taxon_id").union(v.s2.select("taxon_id")).distinct()
 
 
-@query("select taxon_id from s2 except select taxon_id from s1")
+@query(", few as (select taxon_id from s1 where value >= 3) select taxon_id from s2 except select taxon_id from few")
 def taxa_difference(v: Views) -> DataFrame:
-    return v.s2.select("taxon_id").subtract(v.s1.select("taxon_id"))
+    return v.s2.select("taxon_id").subtract(v.s1.where("value >= 3").select("taxon_id"))
 
 
 @query("select sample, taxon_id, round(x, 9) + 0.0 as x, round(y, 9) + 0.0 as y from prof")
@@ -912,6 +912,19 @@ def rarefaction_expected(v: Views) -> DataFrame:
     return rarefaction.rarefaction_expected(v.ab).withColumn("richness", F.round("richness", 3) + 0.0)
 
 
+@query(
+    _DEPTHS
+    + """, kd as (select sample, value::bigint as x, count(*) as c from ab group by 1, 2)
+select dp.sample, dp.d as depth, round(sum(c * (1 - case when n - x < d then 0 else exp((lgamma(n - x + 1.0) - lgamma(n - x - d + 1.0)) - (lgamma(n + 1.0) - lgamma(n - d + 1.0))) end)), 3) + 0.0 as expected, true as near
+from dp join kd using (sample) group by 1, 2"""
+)
+def rarefaction_by_counts(v: Views) -> DataFrame:
+    """ST-19: the mean of ten draws, held against its expectation: within six standard errors at every depth."""
+    drawn = rarefaction.rarefaction_by_counts(v.ab, seed=SEED)
+    both = drawn.join(rarefaction.rarefaction_expected(v.ab).withColumnRenamed("richness", "expected"), ["sample", "depth"])
+    return both.select("sample", "depth", (F.round("expected", 3) + 0.0).alias("expected"), (F.abs(F.col("richness") - F.col("expected")) <= 6 * F.sqrt(F.col("expected") / 10)).alias("near"))
+
+
 @query()
 def em_abundance(v: Views) -> DataFrame:
     """Lines as reads whose part is one of two neighbours; the first of two is a little likelier."""

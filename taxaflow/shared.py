@@ -71,3 +71,12 @@ def not_empty(df: DataFrame, message: str) -> DataFrame:
     if df.isEmpty():
         raise ValueError(message)
     return df
+
+
+def never_empty(df: DataFrame, message: str, of: DataFrame | None = None) -> DataFrame:
+    """`df`; that it, or `of`, has no row is an error when this result is read. The count reads the shuffles that the rows come from.
+
+    For the last step of an operator: what filters the result further may spare the count.
+    """
+    none = (df if of is None else of).agg(F.count("*").alias("__n")).where(F.assert_true(F.col("__n") > 0, message).isNotNull())
+    return df.unionByName(none.select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in df.schema]))

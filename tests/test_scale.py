@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from taxaflow.operators import comparison as C
 from taxaflow.operators import diversity as D
-from taxaflow.operators import hypothesis, ranges
+from taxaflow.operators import em, hypothesis, ranges, rarefaction
 from taxaflow.sources import fastq, sinks, tables
 
 AB = "sample string, taxon_id string, value double"
@@ -148,3 +148,61 @@ def test_published_sets_are_whole(spark, tmp_path, monkeypatch):
         monkeypatch.setattr(sinks, "_point", point)
     sinks.publish({"a": table(3), "b": table(3)}, path, force=True)
     assert of() == [3, 3] and sum(p.name.startswith("version-") for p in (tmp_path / "set").iterdir()) == 1
+
+
+def numpy_em(hits, tol):
+    """Squared extrapolation on one table of hits(sample, read, taxon, likelihood), in NumPy; the number of rounds and the last abundances."""
+    s, r, t, l = (hits[c].to_numpy() for c in ("sample", "read_id", "taxon_id", "loglik"))
+    keys, k = np.unique(np.array([f"{a}|{b}" for a, b in zip(s, t, strict=True)]), return_inverse=True)
+    reads, ri = np.unique(r, return_inverse=True)
+    samples, si = np.unique([x.split("|")[0] for x in keys], return_inverse=True)
+    of_read = np.zeros(len(reads), int)
+    of_read[ri] = si[k]
+    top = np.full(len(reads), -np.inf)
+    np.maximum.at(top, ri, l)
+    like = np.exp(l - top[ri])
+    size = np.bincount(of_read)[si]
+
+    def step(f):
+        w = f[k] * like
+        total = np.bincount(ri, w)
+        return np.bincount(k, w / total[ri]) / size, np.bincount(of_read, np.log(total))
+
+    f, done = 1 / np.bincount(si)[si], 0
+    by = lambda x: np.bincount(si, x)
+    while True:
+        f1, then = step(f)
+        f2, now = step(f1)
+        done += 2
+        if (now - then).max() < tol:
+            return done, dict(zip(keys, f2, strict=True))
+        d, v = f1 - f, f2 - 2 * f1 + f
+        a = np.maximum(np.sqrt(by(d * d)) / np.maximum(np.sqrt(by(v * v)), 1e-300), 1)[si]
+        g = np.maximum(f + 2 * a * d + a * a * v, 0.01 * f2)
+        f3, far = step(g / by(g)[si])
+        done += 1
+        f = np.where((far >= now)[si], f3, f2)
+
+
+def test_em_is_numpys(spark):
+    rng = random.Random(4)
+    rows = [(f"s{i % 2}", f"r{i}", f"t{t}", -rng.random() * 3) for i in range(300) for t in rng.sample(range(8), rng.randrange(1, 4))]
+    hits = spark.createDataFrame(rows, "sample string, read_id string, taxon_id string, loglik double")
+    rounds = []
+    got = {f"{r['sample']}|{r['taxon_id']}": r["value"] for r in em.em_abundance(hits, tol=1e-4, rounds=rounds).collect()}
+    done, want = numpy_em(hits.toPandas(), 1e-4)
+    assert rounds == [done] and got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 for k in want)
+
+
+def test_rarefaction_by_counts_is_as_expected(spark):
+    rng = random.Random(5)
+    ab = spark.createDataFrame([(s, f"t{t}", float(rng.choice((1, 1, 2, 5, 300, 1_000_000)))) for s in ("a", "b") for t in range(150)] + [("c", "t", 1.0), ("d", "t", 0.5)], AB)
+    for block in (1 << 16, 20):
+        got = rarefaction.rarefaction_by_counts(ab, iterations=40, taxa_block=block).toPandas().set_index(["sample", "depth"])["richness"]
+        want = rarefaction.rarefaction_expected(ab).toPandas().set_index(["sample", "depth"])["richness"]
+        assert set(got.index) == set(want.index)
+        assert all(abs(got[k] - want[k]) <= 6 * (want[k] / 40) ** 0.5 + 1e-9 for k in want.index)
+        last = got.groupby("sample").max()
+        assert (last["a"], last["b"], last["c"]) == (150, 150, 1)
+    with pytest.raises(Exception, match="more than 10\\^9"):
+        rarefaction.rarefaction_by_counts(spark.createDataFrame([("a", "t", 2e9)], AB)).collect()
