@@ -342,7 +342,8 @@ def main_text(pages: DataFrame, min_share: float = MIN_SHARE, max_broadcast_host
     """(page_id, url, text, n_chars) for each row of `pages` (page_id, url, html).
 
     A null or empty html gives an empty text. Pages without url or host vote for the host "". Repeated rows each give a row and a vote.
-    An empty table gives no rows.
+    An empty table gives no rows. Pages of any length are read whole, one at a time. Of paths with equal votes that with more running text
+    comes first, then the first in order. Extra columns are ignored, whatever their names.
     """
     host = F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), F.coalesce(host, F.lit("")).alias("host"))

@@ -164,7 +164,8 @@ def pack(docs: DataFrame, vocabulary: str, length: int = LENGTH, sentence_cost:
     stores them, pieces the order of the document; each id lies in exactly one piece, also of repeated rows (which are documents of
     their own). Sequence ids differ across partitions and don't change if a lost task runs again. An empty table gives no rows.
     Nothing is shuffled: each partition ends one sequence early at most. The programme runs over about `block_ids` ids at a time; the
-    last `AGAIN` windows of a run are cut again with what follows, so no window ends for the sake of a run.
+    last `AGAIN` windows of a run are cut again with what follows, so no window ends for the sake of a run. Texts of any length are read whole.
+    Extra columns are ignored, whatever their names.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(_packer(vocabulary, length, sentence_cost, split_cost, end_id, block_ids), SCHEMA)

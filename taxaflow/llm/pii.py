@@ -234,7 +234,7 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Added to the base: cards inside longer digit chains, numbers inside longer phone runs and after tel:, URLs with a user, and account
     numbers after their cue (an IBAN must check out). A null text
     is empty; an empty one has no spans, and its digest is that of the empty string. Repeated rows each give a row, null ids stay null. An
-    empty table gives no rows.
+    empty table gives no rows. Texts of any length are read whole. Extra columns are ignored, whatever their names.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(_arrow_scan, SCHEMA)

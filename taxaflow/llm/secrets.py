@@ -223,7 +223,8 @@ def findings(docs: DataFrame, labelled: DataFrame | None = None, id_col: str = "
 
     labelled: (path, value, before, after, label) to learn from beside planted findings, at most `max_labelled` rows in the order of a hash.
     Null and empty texts have no candidates; a null path is an empty one; a null id stays null. Documents that repeat in id and text give
-    their findings once for each row. An empty table gives no rows.
+    their findings once for each row. An empty table gives no rows. Texts of any length are read whole. Extra columns are ignored, whatever
+    their names.
     """
     columns = ["path", "value", "before", "after", "label"]
     known = planted_findings(docs, id_col, text_col, path_col).select(*columns)

@@ -149,6 +149,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Null and empty texts have fingerprint zero and link like any other. Repeated rows each give a row. A null id takes part in links
     and gets the component of the others; a component of null ids only has a null component_id. An empty table gives no rows.
+    Texts of any length are read whole. Extra columns are ignored, whatever their names.
     """
     of = saved(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
     roots = fingerprint_components(saved(numbered(of, "fp"), "nodes"), max_bits)

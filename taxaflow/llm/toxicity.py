@@ -163,7 +163,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
     """(doc_id, held_out, score, predicted) for each row of `docs`. A null text is an empty one and is scored as such; a null id isn't held out.
 
     Repeated rows each give a row with the same score; of different texts under one labelled id the least is learnt from. Labels of an id
-    that contradict each other don't count. Without documents there are no rows, without labels every score is 0.
+    that contradict each other don't count. Without documents there are no rows, without labels every score is 0. Texts of any length are
+    read whole. Texts on one step of the calibration are told apart by the trees' own probability; equal features have equal scores. Extra
+    columns are ignored, whatever their names.
     """
     scored = Toxicity.fit(docs, labels).score(docs)
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

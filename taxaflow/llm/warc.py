@@ -324,7 +324,8 @@ def round_trip(spark: SparkSession, pages: DataFrame, min_revisit_bytes: int = M
 
     A null html is an empty payload, and empty payloads revisit each other like any. Rows that repeat a page_id with the same payload are
     responses all, if it's the smallest. Pages without id revisit the smallest id with their payload, or are responses if there is none.
-    A null url is an empty one. An empty table gives no rows.
+    A null url is an empty one. An empty table gives no rows. Pages of any length are one record each. Extra columns are ignored, whatever
+    their names.
     """
     archives, index = new_path(spark, "warc"), new_path(spark, "cdx")
     captures = write_archives(pages, archives, min_revisit_bytes)
