@@ -32,8 +32,8 @@ ORDER = 5
 MAX_ENTRIES, MAX_CALIBRATION_ROWS = 1 << 21, 4_000
 #: Different words that a task counts before it hands them on, and calibration pieces of a text, in words.
 HELD_WORDS, PIECES = 200_000, (1, 2, 3, 5, 8, 13, 21, 55)
-#: Different words whose places are looked at together.
-WORDS_AT_ONCE = 50_000
+#: Different words whose places are looked at together, and rows whose different words are.
+WORDS_AT_ONCE, ROWS_AT_ONCE = 25_000, 2_500
 #: Share of right calibration pieces whose cross-entropy a language accepts.
 ACCEPTED_SHARE = 0.999
 NONE = "und"
@@ -230,7 +230,7 @@ def _score(shared):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         models, floor = shared.value
-        for b in batches:
+        for b in (whole.slice(k, ROWS_AT_ONCE) for whole in batches for k in range(0, max(1, whole.num_rows), ROWS_AT_ONCE)):
             number: defaultdict[str, int] = defaultdict(count().__next__)
             texts = []
             for text in b.column(b.num_columns - 1):
