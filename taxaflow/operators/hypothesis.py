@@ -31,7 +31,8 @@ def value_ranks(df: DataFrame, col: str, by: list[str], *sums: Column) -> DataFr
 
 
 def average_rank(df: DataFrame, col: str, by: list[str]) -> DataFrame:
-    """`rank`, ties at their mean, and `t`, the size of each tie."""
+    """`rank`, ties at their mean, and `t`, the size of each tie. Ranks come back to the rows by value, so the rows are saved first."""
+    df = saved(df, "ranked-rows")
     return df.join(value_ranks(df, col, by), [*by, col])
 
 

@@ -2,6 +2,8 @@
 
 The different values of a group are cut into ranges at approximate quantiles, which only decide who works on what. A place among all values is
 what the ranges before hold, a sum over a few ranges, and a place within one range.
+
+Cuts, sizes and places each read the values, so these are saved first: a sum of doubles may differ in its last bit when it is made again.
 """
 
 from __future__ import annotations
@@ -10,12 +12,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from taxaflow.shared import saved
+
 #: Ranges of a group, and the accuracy of the sketch that cuts them.
 RANGES, ACCURACY = 64, 1_000
 
 
 def in_ranges(counts: DataFrame, value: str, by: list[str]) -> tuple[DataFrame, DataFrame]:
     """counts(by, value, t, ..) with `range`, and (by, range, size, before, n) of each range: its rows, those of the ranges before, those of the group."""
+    counts = saved(counts, "values")
     cuts = counts.groupBy(*by).agg(F.percentile_approx(value, [k / RANGES for k in range(1, RANGES)], ACCURACY).alias("cuts"))
     placed = counts.join(cuts, by).withColumn("range", F.size(F.filter("cuts", lambda c: c < F.col(value)))).drop("cuts")
     sizes = placed.groupBy(*by, "range").agg(F.sum("t").alias("size"))

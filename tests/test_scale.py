@@ -91,6 +91,15 @@ def test_ranks_of_a_million_values(spark):
     assert np.allclose(got["v"], rank["v"]) and np.allclose(got["rank"], rank["r"]) and got["t"].sum() == 1_000_000
 
 
+def test_ranks_of_values_that_differ_when_made_again(spark):
+    again = F.udf(lambda x: x + random.random() * 1e-9, "double").asNondeterministic()
+    df = spark.range(500).select(F.lit("g").alias("g"), again(F.col("id").cast("double")).alias("v"))
+    got = hypothesis.average_rank(df, "v", ["g"]).collect()
+    assert sorted(r["rank"] for r in got) == list(range(1, 501)) and all(r["rank"] == int(r["v"]) + 1 for r in got)
+    counts = df.groupBy("g", "v").agg(F.lit(2).alias("t"))
+    assert sorted(r["upto"] for r in ranges.running_counts(counts, "v", ["g"]).collect()) == list(range(2, 1001, 2))
+
+
 def test_a_wide_table_of_many_samples(spark, tmp_path):
     n = 10_050
     ab = spark.range(n).select(F.concat(F.lit("barcode"), "id").alias("sample"), F.explode(F.array(F.lit("species|1|a"), F.lit('species|2|"b"\tc'))).alias("taxon_id"), (F.col("id") + 0.5).alias("value"))
