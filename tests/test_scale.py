@@ -203,6 +203,24 @@ def test_em_is_numpys(spark):
     assert rounds == [done] and got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 for k in want)
 
 
+def test_em_of_small_and_large_samples_is_one(spark, monkeypatch):
+    rng = random.Random(7)
+    rows = [(f"s{i % 3}", f"r{i}", f"t{t}", -rng.random() * 3) for i in range(300) for t in rng.sample(range(8), rng.randrange(1, 4))]
+    rows += [("s9", f"q{i}", f"t{t}", 0.0) for i in range(3) for t in (1, 2)]
+    hits = spark.createDataFrame(rows, "sample string, read_id string, taxon_id string, loglik double")
+    got = []
+    joins = em._by_joins
+    monkeypatch.setattr(em, "_by_joins", lambda *a: got.append("joins") or joins(*a))
+    for limit in (1 << 20, 50, 0):
+        rounds = []
+        out = {(r["sample"], r["taxon_id"]): r["value"] for r in em.em_abundance(hits, tol=1e-4, rounds=rounds, sample_hits=limit).collect()}
+        got.append((rounds, out))
+    assert [x for x in got if x == "joins"] == ["joins"] * 2 and got[0] != "joins"  # samples that fit a block take no join in each round
+    (n1, one), (n2, two), (n3, three) = (x for x in got if x != "joins")
+    assert n1 == n2 == n3 and one.keys() == two.keys() == three.keys()
+    assert all(abs(one[k] - two[k]) < 1e-9 and abs(one[k] - three[k]) < 1e-9 for k in one)
+
+
 def test_rarefaction_by_counts_is_as_expected(spark):
     rng = random.Random(5)
     ab = spark.createDataFrame([(s, f"t{t}", float(rng.choice((1, 1, 2, 5, 300, 1_000_000)))) for s in ("a", "b") for t in range(150)] + [("c", "t", 1.0), ("d", "t", 0.5)], AB)
