@@ -1,8 +1,8 @@
-"""Near copies by MinHash bands and the exact Jaccard similarity of word shingles: the similarity stage behind SimHash.
+"""Near copies by the segment-popcount join of SimHash fingerprints, MinHash bands for what differs more, and the exact Jaccard similarity.
 
-Two texts of similarity 0.8 differ in about 10 of the 64 bits of a SimHash, more than its grid can look around, so the stage that takes
-five words and 0.8 proposes its pairs by MinHash instead. A text is its set of shingles; texts with equal sets are one node. Nodes that
-agree in a band of minima share a cell: a pair of similarity s shares one of `BANDS` bands of `ROWS` minima with probability
+A text is its set of shingles; texts with equal sets are one node. Nodes whose fingerprints the segment-popcount join puts in one class
+share a cell. Two texts of similarity 0.8 differ in about 10 of the 64 bits, more than that grid can look around, so nodes that agree in
+a band of minima share a cell too: a pair of similarity s shares one of `BANDS` bands of `ROWS` minima with probability
 1 - (1 - s^ROWS)^BANDS, which is 0.9998 at 0.8. What shares a cell is compared on the sets themselves, in blocks of bounded size: links
 come out, never the pairs that aren't any.
 """
@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_broadcast, connected_components, decisions, saved
-from .simhash import NO_ID, drop_near_duplicates, numbered, shingle_hashes
+from .simhash import NO_ID, drop_near_duplicates, fingerprint, fingerprint_components, numbered, shingle_hashes
 
 SHINGLE, SIMILARITY, BANDS, ROWS, SEED = 5, 0.8, 28, 6, 42
 #: Nodes of a block, and shingles in it; cells up to which what is known of them is broadcast.
@@ -57,9 +57,10 @@ def _arrow_bands(shingle: int, seed: int, batches: Iterator[pa.RecordBatch]) ->
         return [_signed(xxhash.xxh64_intdigest(raw[8 * ROWS * k : 8 * ROWS * (k + 1)], k)) for k in range(BANDS)]
 
     for b in batches:
-        found = [(value, len(h), bands(h)) for h, value in _hashed_sets(b.column(1), shingle, seed)]
-        values, sizes, cells = zip(*found, strict=True) if found else ((), (), ())
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(values, pa.int64()), pa.array(sizes, pa.int64()), pa.array(cells, pa.list_(pa.int64()))], names=["doc_id", "value", "size", "bands"])
+        found = [(value, len(h), _signed(fingerprint(h)), bands(h)) for h, value in _hashed_sets(b.column(1), shingle, seed)]
+        values, sizes, fps, cells = zip(*found, strict=True) if found else ((), (), (), ())
+        numbers = [pa.array(x, pa.int64()) for x in (values, sizes, fps)]
+        yield pa.RecordBatch.from_arrays([b.column(0), *numbers, pa.array(cells, pa.list_(pa.int64()))], names=["doc_id", "value", "size", "fp", "bands"])
 
 
 def _arrow_sets(shingle: int, seed: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,6 +155,18 @@ def linked_classes(a: DataFrame, b: DataFrame, sets: DataFrame, similarity: floa
     return rows.mapInArrow(partial(_arrow_links, round(100 * similarity)), "u long, v long")
 
 
+def segment_cells(nodes: DataFrame) -> DataFrame:
+    """(node, size, cell): nodes whose fingerprints the segment-popcount join puts in one class share a cell."""
+    roots = fingerprint_components(saved(nodes.groupBy("fp").agg(F.min("node").alias("node")), "fingerprints"))
+    roots = roots.select(F.col("fp").alias("of_fp"), F.xxhash64("root", F.lit(BANDS)).alias("cell"))
+    return nodes.join(roots, F.col("fp") == F.col("of_fp")).select("node", "size", "cell")
+
+
+def band_cells(nodes: DataFrame) -> DataFrame:
+    """(node, size, cell): a cell for each band of minima."""
+    return nodes.select("node", "size", F.explode("bands").alias("cell"))
+
+
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, component_id) for each row of `docs`: the smallest doc_id reachable by links of at least `similarity`, itself included.
 
@@ -163,9 +176,9 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     `near_duplicates`. An empty table gives no rows.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    of = saved(rows.mapInArrow(partial(_arrow_bands, shingle, SEED), "doc_id long, value long, size long, bands array<long>"), "bands")
-    nodes = saved(numbered(of, "value", F.first("size").alias("size"), F.first("bands").alias("bands")), "nodes")
-    cells = nodes.select("node", "size", F.explode("bands").alias("cell"))
+    of = saved(rows.mapInArrow(partial(_arrow_bands, shingle, SEED), "doc_id long, value long, size long, fp long, bands array<long>"), "bands")
+    nodes = saved(numbered(of, "value", *[F.first(c).alias(c) for c in ("size", "fp", "bands")]), "nodes")
+    cells = segment_cells(nodes).union(band_cells(nodes))
     shared = decisions(cells.groupBy(F.col("cell").alias("of_cell")).agg(F.count("*").alias("n")).where("n > 1").select("of_cell", "n"), "shared-cells")
     close = saved(cells.join(shared, F.col("cell") == F.col("of_cell")).drop("of_cell"), "close")
     kinds = close.groupBy("cell").agg(F.max("n").alias("n"), F.min("node").alias("least"), F.max("node").alias("most"), F.bit_xor(F.xxhash64("node")).alias("who"))

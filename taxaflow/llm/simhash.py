@@ -41,17 +41,21 @@ def shingle_hashes(data: bytes, shingle: int = SHINGLE, seed: int = SEED):
     return np.array([digest(text[a:b], seed) for a, b in cuts], np.uint64)
 
 
-def simhash(data: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
-    """The unsigned fingerprint of UTF-8 `data`, by its shingles with repeats; without words it is 0."""
+def fingerprint(h) -> int:
+    """The unsigned fingerprint of shingles' hashes: bits that over half of them have; without any it is 0."""
     import numpy as np
 
-    h = shingle_hashes(data, shingle, seed)
     count = np.zeros(64, np.int64)
     for i in range(0, len(h), 8192):
         count += np.unpackbits(h[i : i + 8192].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * count > len(h), bitorder="little").view(np.uint64)[0])
 
 
+def simhash(data: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
+    """The unsigned fingerprint of UTF-8 `data`, by its shingles with repeats."""
+    return fingerprint(shingle_hashes(data, shingle, seed))
+
+
 def _arrow_fingerprints(shingle: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -148,3 +148,11 @@ def test_near_copies_by_brute_force(spark, tmp_path):
     got = {r["doc_id"]: r["component_id"] for r in minhash.near_copies(rows).collect()}
     assert got == want and len(set(want.values())) < 110
     assert {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, rows, str(tmp_path)).collect()} == set(want.values())
+
+
+def test_near_copies_come_by_the_segment_join(spark, monkeypatch):
+    words = [f"w{i}" for i in range(600)]
+    rows = [(7, " ".join(words)), (3, " ".join([*words[:-1], "x"])), (5, " ".join(f"v{i}" for i in range(600)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(minhash, "band_cells", lambda nodes: nodes.select("node", "size", F.lit(0).cast("long").alias("cell")).limit(0))
+    assert sorted(r["doc_id"] for r in minhash.drop_near_copies(docs).collect()) == [3, 5]
