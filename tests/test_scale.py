@@ -32,6 +32,15 @@ def test_distances_in_blocks(spark, monkeypatch):
     assert every() == one and len(one[0]) == 17 * 16 // 2
 
 
+def test_two_distances_meet_once(spark, monkeypatch):
+    rng = random.Random(9)
+    ab = spark.createDataFrame([(f"s{s}", f"t{t}", float(rng.randrange(0, 4))) for s in range(9) for t in range(20) if rng.random() < 0.4] + [("z", "t0", 0.0)], AB)
+    want = [rows_of(D.bray_curtis(ab)), rows_of(D.jaccard(ab))]
+    met, shared = [], D._shared
+    monkeypatch.setattr(D, "_shared", lambda *a: met.append(1) or shared(*a))
+    assert [rows_of(t) for t in D.bray_and_jaccard(ab)] == want and met == [1]
+
+
 def test_a_taxon_in_all_samples_is_spread(spark):
     ab = spark.range(5_000).select(F.concat(F.lit("s"), "id").alias("sample"), F.lit("t").alias("taxon_id"), F.lit(1.0).alias("value"))
     left, right = D.dealt_to_blocks(ab)
