@@ -120,8 +120,11 @@ def align_samples(tables: list[DataFrame]) -> DataFrame:
 
 
 def to_wide(ab: DataFrame, samples: list[str] | None = None) -> DataFrame:
-    """A row for each taxon and a column for each sample, 0 where absent; for sinks."""
-    return ab.groupBy("taxon_id").pivot("sample", samples).agg(F.sum("value")).na.fill(0.0)
+    """A row for each taxon and a column for each sample, 0 where absent; for sinks.
+
+    Values are dealt by taxon while they are narrow: else each task makes a row of all columns for each taxon it sees, for one value or two.
+    """
+    return ab.repartition("taxon_id").groupBy("taxon_id").pivot("sample", samples).agg(F.sum("value")).na.fill(0.0)
 
 
 def to_long(wide: DataFrame, key: str = "taxon_id") -> DataFrame:

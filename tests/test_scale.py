@@ -10,6 +10,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from taxaflow.operators import abundance as A
 from taxaflow.operators import comparison as C
 from taxaflow.operators import diversity as D
 from taxaflow.operators import em, hypothesis, ranges, rarefaction
@@ -273,3 +274,12 @@ def test_rarefaction_by_counts_is_as_expected(spark):
         assert (last["a"], last["b"], last["c"]) == (150, 150, 1)
     with pytest.raises(Exception, match="more than 10\\^9"):
         rarefaction.rarefaction_by_counts(spark.createDataFrame([("a", "t", 2e9)], AB)).collect()
+
+
+def test_a_wide_table_is_made_of_narrow_rows(spark):
+    ab = spark.createDataFrame([(f"s{k % 3}", f"t{k % 7}", float(k)) for k in range(40)], AB)
+    wide = A.to_wide(ab, ["s0", "s1", "s2"])
+    want = {(f"s{k % 3}", f"t{k % 7}"): sum(float(j) for j in range(40) if j % 3 == k % 3 and j % 7 == k % 7) for k in range(1, 40)}
+    assert {(r[0], r[1]): r[2] for r in A.to_long(wide).collect()} == want
+    # Rows of all columns aren't shuffled: the one exchange is of (sample, taxon_id, value).
+    assert wide._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
