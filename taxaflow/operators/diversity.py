@@ -52,10 +52,10 @@ def cross_pairs(samples1: DataFrame, samples2: DataFrame) -> DataFrame:
 SAMPLE_BLOCK = 256
 
 
-def dealt_to_blocks(ab1: DataFrame, ab2: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def dealt_to_blocks(ab1: DataFrame, ab2: DataFrame | None = None, keys: tuple[str, ...] = ("taxon_id",)) -> tuple[DataFrame, DataFrame]:
     """(taxon_id, i, j, a, x) and (taxon_id, i, j, b, y): the rows of two sides dealt to pairs of sample blocks.
 
-    Within one table a pair of blocks comes once, i up to j; between two tables all pairs of blocks come.
+    Within one table a pair of blocks comes once, i up to j; between two tables all pairs of blocks come. Rows meet in `keys`.
     """
     other = ab1 if ab2 is None else ab2
     samples = ab1.select("sample") if ab2 is None else ab1.select("sample").union(ab2.select("sample"))
@@ -63,23 +63,23 @@ def dealt_to_blocks(ab1: DataFrame, ab2: DataFrame | None = None) -> tuple[DataF
     own = F.pmod(F.xxhash64("sample"), F.greatest("blocks", F.lit(1))).cast("int")
 
     def side(t: DataFrame, name: str, value: str, left: bool) -> DataFrame:
-        t = t.select(F.col("sample").alias(name), "taxon_id", F.col("value").alias(value), "sample").crossJoin(F.broadcast(blocks)).withColumn("own", own).drop("sample")
+        t = t.select(F.col("sample").alias(name), *keys, F.col("value").alias(value), "sample").crossJoin(F.broadcast(blocks)).withColumn("own", own).drop("sample")
         last = F.greatest(F.col("blocks") - 1, F.lit(0))
         rest = F.sequence(F.lit(0), last) if ab2 is not None else F.sequence("own", last) if left else F.sequence(F.lit(0), F.col("own"))
         t = t.withColumn("rest", F.explode(rest)).withColumnsRenamed({"own": "i" if left else "j", "rest": "j" if left else "i"}).drop("blocks")
         # A number of tasks of its own: the rows are few and their pairs many, so sizes don't tell how much work a task has.
-        return t.repartition(int(t.sparkSession.conf.get("spark.sql.shuffle.partitions")), "taxon_id", "i", "j")
+        return t.repartition(int(t.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys, "i", "j")
 
     return side(ab1, "a", "x", True), side(other, "b", "y", False)
 
 
-def _shared(ab1: DataFrame, ab2: DataFrame | None, *terms) -> DataFrame:
+def _shared(ab1: DataFrame, ab2: DataFrame | None, *terms, keys: tuple[str, ...] = ("taxon_id",)) -> DataFrame:
     """Sums, in which x and y can change places, over the taxa that two samples share: pairs a < b of a table, or all pairs with another's.
 
     What a pair of blocks shares in a taxon is combined by pair of samples at once, before its shuffle.
     """
-    left, right = dealt_to_blocks(ab1, ab2)
-    met = left.join(right, ["taxon_id", "i", "j"])
+    left, right = dealt_to_blocks(ab1, ab2, keys)
+    met = left.join(right, [*keys, "i", "j"])
     if ab2 is not None:
         return met.groupBy("a", "b").agg(*terms)
     met = met.where((F.col("i") < F.col("j")) | (F.col("a") < F.col("b")))
@@ -104,14 +104,29 @@ def _pairs_of(sums: DataFrame, other: DataFrame | None = None) -> DataFrame:
     return a.join(b, F.col("a") < F.col("b")) if other is None else a.crossJoin(b)
 
 
-def bray_curtis(ab: DataFrame) -> DataFrame:
-    """1 - 2 sum(min) / (Sa + Sb), 0 for two empty samples; pairs that share nothing come from the list of pairs."""
-    shared = _shared(ab, None, F.sum(F.least("x", "y")).alias("m"))
-    out = _pairs(ab, F.sum("value").alias("s")).join(shared, ["a", "b"], "left")
+def _bray(pairs: DataFrame, shared: DataFrame) -> DataFrame:
+    out = pairs.join(shared, ["a", "b"], "left")
     total = F.col("s_a") + F.col("s_b")
     return out.select("a", "b", F.when(total > 0, 1 - 2 * F.coalesce("m", F.lit(0.0)) / F.nullif(total, F.lit(0.0))).otherwise(0.0).alias("d"))
 
 
+def bray_curtis(ab: DataFrame) -> DataFrame:
+    """1 - 2 sum(min) / (Sa + Sb), 0 for two empty samples; pairs that share nothing come from the list of pairs."""
+    return _bray(_pairs(ab, F.sum("value").alias("s")), _shared(ab, None, F.sum(F.least("x", "y")).alias("m")))
+
+
+def bray_curtis_within(ab: DataFrame, classes: DataFrame) -> DataFrame:
+    """`bray_curtis` of the pairs of one class only; classes(sample, class), a class for each sample, and samples without one are left out.
+
+    Samples meet in their class's taxa alone. The abundances are saved, as both sides of the meeting, the sums and the blocks read them.
+    """
+    if not classes.groupBy("sample").count().where("count > 1").isEmpty():
+        raise ValueError("a sample has more than one class")
+    own = saved(ab.join(classes, "sample").select("sample", "class", "taxon_id", "value"), "class-abundances")
+    pairs = _pairs_of(_sums(own, F.sum("value").alias("s"), F.first("class").alias("class"))).where("class_a = class_b")
+    return _bray(pairs, _shared(own, None, F.sum(F.least("x", "y")).alias("m"), keys=("taxon_id", "class")))
+
+
 def jaccard(ab: DataFrame, mode: str = "presence") -> DataFrame:
     """1 - shared / union on presence, 1 for two empty samples; mode "value": a taxon with different values isn't shared."""
     pos = ab.where(F.col("value") > 0)

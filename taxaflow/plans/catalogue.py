@@ -852,7 +852,8 @@ def published_subsets(v: Views) -> DataFrame:
     k = F.col("n_nationkey")
     s = v.table("nation").select(k.cast("string").alias("sample"), F.when(k % 2 == 0, "bag").otherwise("bulk").alias("type"), F.lit(1).alias("time"), F.when(k % 3 == 0, "x").otherwise("y").alias("grp"))
     tests = s.select("type", "time").distinct().withColumn("published_r2", F.lit(0.1)).withColumn("published_p", F.lit(0.05))
-    out = hypothesis.published_subsets(D.bray_curtis(v.ab), s, tests, PERMUTATIONS)
+    distances = D.bray_curtis_within(v.ab, s.select("sample", F.struct("type", "time").alias("class")))
+    out = hypothesis.published_subsets(distances, s, tests, PERMUTATIONS)
     return _rounded(out, "f", "r2", "p").select("type", "time", "n", "k", "f", "r2", "p", "published_r2", "published_p")
 
 

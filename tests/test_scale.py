@@ -283,3 +283,15 @@ def test_a_wide_table_is_made_of_narrow_rows(spark):
     assert {(r[0], r[1]): r[2] for r in A.to_long(wide).collect()} == want
     # Rows of all columns aren't shuffled: the one exchange is of (sample, taxon_id, value).
     assert wide._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+
+
+def test_distances_within_classes(spark, monkeypatch):
+    rng = random.Random(3)
+    ab = spark.createDataFrame([(f"s{s}", f"t{t}", float(rng.randrange(0, 4))) for s in range(12) for t in range(20) if rng.random() < 0.4] + [("z0", "t0", 0.0), ("z3", "t1", 0.0)], AB)
+    of = {r[0]: int(r[0][1:]) % 3 for r in ab.select("sample").distinct().collect() if r[0] != "s4"}
+    classes = spark.createDataFrame(list(of.items()), "sample string, class int")
+    want = [r for r in rows_of(D.bray_curtis(ab)) if r[0] in of and of.get(r[0]) == of.get(r[1])]
+    monkeypatch.setattr(D, "SAMPLE_BLOCK", 2)
+    assert rows_of(D.bray_curtis_within(ab, classes)) == want and len(want) > 10
+    with pytest.raises(ValueError, match="more than one class"):
+        D.bray_curtis_within(ab, classes.union(spark.createDataFrame([("s1", 0)], classes.schema)))
