@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from taxaflow.operators import abundance as A
 from taxaflow.operators import diversity as D
-from taxaflow.shared import new_path
+from taxaflow.shared import new_path, saved
 from taxaflow.sources import fastq, sinks, tables
 
 from .registry import query, r6
@@ -56,8 +56,8 @@ _NAMED = "'species|' || taxon_id || '|part ' || taxon_id"
 
 def _sample_tables(v: Views, path: str) -> None:
     """Tables of three layouts, a folder for each: other columns, another order, ranks in another case, shares under no telling name; and
-    for each region one of no table at all."""
-    rel = A.to_relative(v.ab)
+    for each region one of no table at all. Each layout reads the shares, so they are saved."""
+    rel = saved(A.to_relative(v.ab), "shares")
     rows = rel.select(F.concat(F.lit("SRR1000"), "sample").alias("sample"), F.col("taxon_id").alias("tax_id"), F.concat(F.lit("part "), "taxon_id").alias("name"), F.col("value").alias("share"), (F.col("value") * 1000).alias("n"), (F.col("sample").cast("int") % 3).alias("k"))
     layouts = (
         ["tax_id", F.col("name").alias("species"), F.col("share").alias("abundance"), F.col("n").alias("estimated counts")],

@@ -14,6 +14,8 @@ from taxaflow.operators import abundance as A
 from taxaflow.operators import comparison as C
 from taxaflow.operators import diversity as D
 from taxaflow.operators import em, hypothesis, ranges, rarefaction
+from taxaflow.plans import files
+from taxaflow.plans.views import Views
 from taxaflow.sources import fastq, sinks, tables
 
 AB = "sample string, taxon_id string, value double"
@@ -295,3 +297,13 @@ def test_distances_within_classes(spark, monkeypatch):
     assert rows_of(D.bray_curtis_within(ab, classes)) == want and len(want) > 10
     with pytest.raises(ValueError, match="more than one class"):
         D.bray_curtis_within(ab, classes.union(spark.createDataFrame([("s1", 0)], classes.schema)))
+
+
+def test_layouts_read_saved_shares(spark, monkeypatch, tmp_path):
+    shares, written = [], []
+    monkeypatch.setattr(files.A, "to_relative", lambda ab, f=files.A.to_relative: shares.append(1) or f(ab))
+    monkeypatch.setattr(files.sinks, "write_sample_tables", lambda rows, path, **_: written.append(rows._jdf.queryExecution().optimizedPlan().toString()))
+    monkeypatch.setattr(files.sinks, "_rename", lambda *_: None)
+    files._sample_tables(Views(spark, "/root/testdata/sf0.001"), str(tmp_path / "tables"))
+    # No layout joins the tables again.
+    assert shares == [1] and len(written) == 3 and not any("Join" in x for x in written)
