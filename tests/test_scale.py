@@ -56,6 +56,24 @@ def test_a_taxon_in_all_samples_is_spread(spark):
     assert D.dealt_to_blocks(ab.limit(0))[0].count() == 0
 
 
+def test_pairs_of_two_studies_by_brute_force(spark, monkeypatch):
+    one, other = [f"s{i}" for i in range(23)] + ["s1", None], [f"s{i}" for i in range(15, 40)] + ["s20", None]
+    sides = [spark.createDataFrame([(s,) for s in x], "sample string") for x in (one, other)]
+    want = sorted((a, b) for a in set(one) for b in set(other) if a and b and a != b)
+    for block in (D.PAIR_BLOCK, 3):
+        monkeypatch.setattr(D, "PAIR_BLOCK", block)
+        assert rows_of(D.cross_pairs(*sides)) == want
+    assert D.cross_pairs(sides[0], sides[1].limit(0)).count() == D.cross_pairs(sides[0].limit(0), sides[1]).count() == 0
+
+
+def test_pairs_are_spread_and_their_files_small(spark, tmp_path):
+    side = spark.range(1_500).select(F.concat(F.lit("s"), "id").alias("sample"))
+    pairs = D.cross_pairs(side, side)
+    assert pairs.select(F.spark_partition_id().alias("task")).groupBy("task").count().where("count > 400000").count() == 4
+    pairs.write.parquet(str(tmp_path / "pairs"))
+    assert sum(f.stat().st_size for f in (tmp_path / "pairs").glob("*.parquet")) < 0.4 * 1_500 * 1_499
+
+
 def test_mantel_in_panels_by_brute_force(spark, monkeypatch):
     rng = np.random.default_rng(1)
     names = [f"s{i:02d}" for i in range(11)]
