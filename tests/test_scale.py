@@ -74,6 +74,26 @@ def test_pairs_are_spread_and_their_files_small(spark, tmp_path):
     assert sum(f.stat().st_size for f in (tmp_path / "pairs").glob("*.parquet")) < 0.4 * 1_500 * 1_499
 
 
+def test_tiles_of_pairs_are_as_many_as_tasks_and_of_bounded_size(spark):
+    side = lambda n: spark.range(n).select(F.concat(F.lit("s"), "id").alias("sample"))
+    tasks = lambda pairs: sorted(r["count"] for r in pairs.groupBy(F.spark_partition_id()).count().collect())
+    partitions = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for n in (1, 8, 12):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            sizes = tasks(D.cross_pairs(side(6_000), side(100)))
+            assert len(sizes) == n and sum(sizes) == 6_000 * 100 - 100 and sizes[-1] < 1.2 * sum(sizes) / n
+        spark.conf.set("spark.sql.shuffle.partitions", 1)
+        for one, other in ((50_000, 4), (4, 50_000)):
+            sizes = tasks(D.cross_pairs(side(one), side(other)))
+            assert sum(sizes) == 4 * 50_000 - 4 and sizes[-1] < 1.1 * 4 * D.TILE_SIDE
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    for n in range(1, 700):
+        a, b = D.tiles(n, 1_000, 1_000)
+        assert n <= a * b <= 1.25 * n + 1 and a <= b
+
+
 def test_mantel_in_panels_by_brute_force(spark, monkeypatch):
     rng = np.random.default_rng(1)
     names = [f"s{i:02d}" for i in range(11)]
